@@ -55,8 +55,10 @@ SELECT doc_id, {classify_sql("lower(text)", "''", "lower(source)", "CAST(NULL AS
 FROM documents""")
 def _(t):
     """Whole documents as messages: the rules over long free text."""
-    return t.raw("documents").select("doc_id", rules.classify(
-        F.col("text"), F.lit(""), F.col("source"), F.lit(None).cast("bigint")).alias("error_category"))
+    lowered = t.raw("documents").select("doc_id", F.inline(F.array(F.struct(
+        F.lower("text").alias("msg"), F.lower("source").alias("node")))))
+    category = rules.classify("msg", "''", "node", "cast(null as bigint)")
+    return lowered.select("doc_id", category.alias("error_category"))
 
 
 @query("e8_resolve", "SELECT id, error_type, error_message, error_category FROM errors")

@@ -10,12 +10,13 @@ such a subtree.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from runlens.functions.errors import resolve
 from runlens.schemas import ERROR
@@ -28,56 +29,68 @@ NO_DETAIL = "Unknown error detail"
 
 
 # --- following references -----------------------------------------------------
+# Paths are written as SQL text: a path of a few steps is a deep expression, and
+# one parsed string is built far faster than its hundreds of column objects.
+# ``let`` evaluates a value once, however often the body mentions it; repeating
+# the inner expression instead would double the plan with every step.
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often it is mentioned.
-
-    Paths nest, so repeating the inner expression would double the size of the
-    plan with every step.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _let(value: str, body: str) -> str:
+    return f"get(transform(array({value}), v -> {body}), 0)"
 
 
-def _follow(doc: Column, value: Column) -> Column:
-    """The element a string member points at; any other member is the value itself."""
+def _variant(value: str, path: str = "'$'", kind: str = "variant") -> str:
+    return f"try_variant_get({value}, {path}, '{kind}')"
 
-    def target(v: Column) -> Column:
-        reference = F.try_variant_get(v, "$", "string")
-        path = F.when(reference.rlike("^[0-9]{1,9}$"), F.concat(F.lit("$["), reference, F.lit("]")))
-        return (F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(doc, path, "variant"))
-                .otherwise(v))
 
-    return _bind(value, target)
+def _follow(doc: str, value: str) -> str:
+    """The element a string member points at; any other member is the value itself."""
+    if not re.fullmatch(r"[\w.]+", value):
+        return _let(value, _follow(doc, "v"))
+    reference = _variant(value, kind="string")
+    path = f"if({reference} rlike '^[0-9]{{1,9}}$', concat('$[', {reference}, ']'), null)"
+    return f"if(schema_of_variant({value}) = 'STRING', {_variant(doc, path)}, {value})"
 
 
-def member(doc: Column, container: Column, key: str | int) -> Column:
-    """Resolved member of a container element (``key`` is a name or a position)."""
-    path = f"$[{key}]" if isinstance(key, int) else f"$.{key}"
-    return _follow(doc, F.try_variant_get(container, path, "variant"))
+def member(doc: str, container: str, *keys: str | int) -> str:
+    """Resolved member of a container element; ``keys`` are names or positions."""
+    for key in keys:
+        path = f"'$[{key}]'" if isinstance(key, int) else f"'$.{key}'"
+        container = _follow(doc, _variant(container, path))
+    return container
 
 
-def _truthy(value: Column) -> Column:
+def _truthy(value: str) -> str:
     """NULL unless the value counts as true: no null, false, 0 or empty text."""
+    return _let(value, f"""case
+        when schema_of_variant(v) = 'STRING' then if({_variant("v", kind="string")} <> '', v, null)
+        when startswith(schema_of_variant(v), 'OBJECT') or startswith(schema_of_variant(v), 'ARRAY') then v
+        when schema_of_variant(v) = 'BOOLEAN' then if({_variant("v", kind="boolean")}, v, null)
+        when schema_of_variant(v) <> 'VOID' and coalesce({_variant("v", kind="double")} <> 0, true) then v end""")
 
-    def test(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        text = F.try_variant_get(v, "$", "string")
-        zero = F.coalesce(F.try_variant_get(v, "$", "double") == 0, F.lit(False))
-        return (F.when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), v)
-                .when(kind == "STRING", F.when(text != "", v))
-                .when(kind == "BOOLEAN", F.when(text == "true", v))
-                .when((kind != "VOID") & ~zero, v))
 
-    return _bind(value, test)
+def _members(container: str, *names: str) -> str:
+    """Several members of one object, not yet followed, in a single look-up."""
+    fields = ", ".join(f"{n}: variant" for n in names)
+    return _variant(container, kind=f"struct<{fields}>")
 
 
-def _text(value: Column) -> Column:
+def _text(value: str) -> str:
     """Text of a leaf, NULL when empty or absent."""
-    return F.try_variant_get(_truthy(value), "$", "string")
+    return _variant(_truthy(value), kind="string")
+
+
+def _first(*values: str) -> str:
+    return f"coalesce({', '.join(values)})"
 
 
 # --- decoding -----------------------------------------------------------------
 
+def _opened(text: str) -> str:
+    """A payload text with its document, which is NULL unless it is a JSON array."""
+    return (f"named_struct('doc', try_parse_json(if({text} rlike '^\\\\s*\\\\[', {text}, null)), "
+            f"'text', {text})")
+
+
 def decode(df: DataFrame, data: str = "data") -> DataFrame:
     """Add ``doc`` (the payload as a variant), its ``root`` and its own text; rows
     that cannot be decoded have no document and drop out.
@@ -85,59 +98,52 @@ def decode(df: DataFrame, data: str = "data") -> DataFrame:
     A payload whose root has a text member ``data`` is a payload inside a
     payload; when that text decodes, it takes the place of the outer one.
     """
-    def document(text: Column) -> Column:
-        return F.try_parse_json(F.when(text.rlike(r"^\s*\["), text))
-
-    def opened(text: Column) -> Column:
-        return F.struct(document(text).alias("doc"), text.alias("text"))
-
-    def innermost(outer: Column) -> Column:
-        doc = outer["doc"]
-        inner = member(doc, F.try_variant_get(doc, "$[0]", "variant"), "data")
-        text = _bind(inner, lambda v: F.when(F.schema_of_variant(v) == "STRING",
-                                             F.try_variant_get(v, "$", "string")))
-        return _bind(_bind(text, opened),
-                     lambda i: F.when(i["doc"].isNotNull(), i).otherwise(outer))
-
-    found = F.filter(F.transform(F.array(F.col(data)), opened), lambda d: d["doc"].isNotNull())
-    return (df.select("*", F.explode(F.transform(found, innermost)).alias("_decoded"))
-            .withColumns({"doc": F.col("_decoded.doc"), "payload_text": F.col("_decoded.text"),
-                          "root": F.try_variant_get("_decoded.doc", "$[0]", "variant")})
-            .drop("_decoded"))
-
-
-def http_status(doc: Column, error: Column) -> Column:
-    """HTTP status of an error object: the first candidate that is a whole number
-    in 100..599. Text counts by its leading digits."""
-
-    def valid(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        digits = F.regexp_extract(F.try_variant_get(v, "$", "string"), r"^\s*([+-]?\d+)", 1)
-        number = F.when(kind == "STRING", digits.try_cast("double")).when(
-            ~kind.isin("BOOLEAN", "VOID"), F.try_variant_get(v, "$", "double"))
-        return _bind(number, lambda n: F.when(
-            (n == F.floor(n)) & n.between(100, 599), n.cast("bigint")))
-
-    def first_truthy(container: Column, *keys: str) -> Column:
-        return _bind(container, lambda c: F.coalesce(*[_truthy(member(doc, c, k)) for k in keys]))
-
-    candidates = [
-        member(doc, error, "httpCode"),
-        member(doc, error, "statusCode"),
-        member(doc, error, "status"),
-        member(doc, member(doc, error, "context"), "httpCode"),
-        first_truthy(member(doc, error, "cause"), "httpCode", "statusCode", "status"),
-        first_truthy(member(doc, error, "response"), "status", "statusCode"),
-    ]
-    return F.coalesce(*[_bind(c, valid) for c in candidates])
-
-
-def _subtree(text: str, path: list[str | int], indent: int | None = None) -> str:
+    found = f"filter(array({_opened(data)}), d -> d.doc is not null)"
+    inner_text = _let(member("o.doc", _variant("o.doc", "'$[0]'"), "data"),
+                      f"if(schema_of_variant(v) = 'STRING', {_variant('v', kind='string')}, null)")
+    inner = _let(inner_text, _opened("v"))
+    innermost = f"transform({found}, o -> {_let(inner, 'if(v.doc is not null, v, o)')})"
+    return (df.select("*", F.expr(f"explode({innermost})").alias("_decoded"))
+            .selectExpr("* except (_decoded)", "_decoded.doc as doc", "_decoded.text as payload_text",
+                        f"{_variant('_decoded.doc', chr(39) + '$[0]' + chr(39))} as root"))
+
+
+ERROR_MEMBERS = ("description", "message", "name", "stack", "node", "httpCode", "statusCode",
+                 "status", "context", "cause", "response")
+NODE_MEMBERS = ("id", "name", "type")
+
+
+def http_status(doc: str, error: str) -> str:
+    """HTTP status of an error: the first candidate that is a whole number in
+    100..599. Text counts by its leading digits. ``error`` is a column holding the
+    :data:`ERROR_MEMBERS` of the error object."""
+
+    def valid(value: str) -> str:
+        number = _let(value, f"""case
+            when schema_of_variant(v) = 'STRING'
+              then try_cast(regexp_extract({_variant("v", kind="string")}, '^\\\\s*([+-]?[0-9]+)', 1) as double)
+            when schema_of_variant(v) not in ('BOOLEAN', 'VOID') then {_variant("v", kind="double")} end""")
+        code = _let(number, "if(v = floor(v) and v between 100 and 599, cast(v as bigint), null)")
+        return code
+
+    def first_truthy(part: str, *keys: str) -> str:
+        return _let(_follow(doc, f"{error}.{part}"), _first(*[_truthy(member(doc, "v", k)) for k in keys]))
+
+    def given(part: str, code: str) -> str:
+        return f"if({error}.{part} is null, null, {code})"
+
+    return _first(
+        *[given(part, valid(_follow(doc, f"{error}.{part}"))) for part in ("httpCode", "statusCode", "status")],
+        given("context", valid(member(doc, _follow(doc, f"{error}.context"), "httpCode"))),
+        given("cause", valid(first_truthy("cause", "httpCode", "statusCode", "status"))),
+        given("response", valid(first_truthy("response", "status", "statusCode"))))
+
+
+def _subtree(items: list, path: list[str | int], indent: int | None = None) -> str:
     """JSON text of the subtree at ``path`` with every reference expanded.
 
     A reference cycle cannot be written as JSON and yields ''.
     """
-    items = json.loads(text)
 
     def follow(value: object) -> object:
         if not isinstance(value, str):
@@ -173,25 +179,27 @@ def _subtree(text: str, path: list[str | int], indent: int | None = None) -> str
         finally:
             open_ids.discard(id(value))
 
-    return json.dumps(expand(node), ensure_ascii=False, indent=indent,
-                      separators=(",", ": " if indent else ":"))
-
+    try:
+        return json.dumps(expand(node), ensure_ascii=False, indent=indent,
+                          separators=(",", ": " if indent else ":"))
+    except (ValueError, RecursionError):
+        return ""
 
-def subtree_json(text: Column, path: list[str | int], indent: int | None = None) -> Column:
-    """Whole subtree of a payload as JSON text, '' when absent or cyclic.
 
-    Arrow batch function; pass NULL for rows that cannot have the subtree.
+def subtree_json(text: Column, paths: list[list[str | int]], indent: int | None = None) -> Column:
+    """Whole subtrees of a payload as JSON text, one per path, '' when absent or
+    cyclic. Arrow batch function; the payload is parsed once for all paths. Pass
+    NULL for rows that cannot have any of the subtrees.
     """
 
-    @F.pandas_udf(StringType())
+    @F.pandas_udf(ArrayType(StringType()))
     def dump(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(value: object) -> str:
-            if not isinstance(value, str):
-                return ""
+        def one(value: object) -> list[str]:
             try:
-                return _subtree(value, path, indent)
-            except (ValueError, RecursionError):
-                return ""
+                items = json.loads(value) if isinstance(value, str) else None
+            except ValueError:
+                items = None
+            return [_subtree(items, path, indent) if isinstance(items, list) else "" for path in paths]
 
         for batch in batches:
             yield batch.map(one)
@@ -205,22 +213,39 @@ def _locate(df: DataFrame, data: str) -> DataFrame:
     """Decoded rows with the error objects and the execution data of both shapes.
 
     ``plain``: the result sits at the root. Otherwise the root is list-like and
-    its first member holds the result.
+    its first member holds the result, which may carry the error directly.
     """
-    doc, root = F.col("doc"), F.col("root")
-    staged = decode(df, data)
-    staged = staged.withColumn("_plain", _truthy(member(doc, root, "resultData")))
-    first = F.coalesce(member(doc, root, 0), member(doc, root, "0"))
-    staged = staged.withColumn(
-        "_base", F.when(F.col("_plain").isNotNull(), root).otherwise(_truthy(first)))
-    base = F.col("_base")
-    staged = staged.withColumns({
-        "_result": F.coalesce("_plain", member(doc, base, "resultData")),
-        "_exec": member(doc, base, "executionData"),
-        # Only the list-like shape may carry the error directly under its root.
-        "_err2": F.when(F.col("_plain").isNull(), member(doc, base, "error")),
-    })
-    return staged.withColumn("_err1", member(doc, F.col("_result"), "error"))
+    first = _truthy(_first(member("doc", "root", 0), member("doc", "root", "0")))
+    return (decode(df, data)
+            .selectExpr("*", f"{_truthy(member('doc', 'root', 'resultData'))} as _plain")
+            .selectExpr("*", f"if(_plain is not null, root, {first}) as _base")
+            .selectExpr("*", f"coalesce(_plain, {member('doc', '_base', 'resultData')}) as _result",
+                        f"{member('doc', '_base', 'executionData')} as _exec",
+                        f"if(_plain is null, {member('doc', '_base', 'error')}, null) as _err2")
+            .selectExpr("*", f"{member('doc', '_result', 'error')} as _err1")
+            .selectExpr("*", f"{_members('_err1', *ERROR_MEMBERS)} as _e1",
+                        f"{_members('_err2', *ERROR_MEMBERS)} as _e2")
+            .selectExpr("*", f"{_members(_follow('doc', '_e1.node'), *NODE_MEMBERS)} as _n1",
+                        f"{_members(_follow('doc', '_e2.node'), *NODE_MEMBERS)} as _n2"))
+
+
+def _field(column: str) -> str:
+    """Text behind one looked-up member; nothing is evaluated where it is absent."""
+    return f"if({column} is null, null, {_text(_follow('doc', column))})"
+
+
+def _either(key: str, first: str = "_e1", second: str = "_e2") -> str:
+    return f"{_field(f'{first}.{key}')}, {_field(f'{second}.{key}')}"
+
+
+def _message(*fallbacks: str) -> str:
+    texts = [_field(f"{error}.{key}") for error in ("_e1", "_e2") for key in ("description", "message")]
+    return _first(*texts, *fallbacks)
+
+
+def _node_name() -> str:
+    return _first(_text(member("doc", "_result", "lastNodeExecuted")),
+                  _either("name", "_n1", "_n2"), f"'{UNKNOWN_NODE}'")
 
 
 def extract(df: DataFrame, data: str = "data", *, with_subtrees: bool = True) -> DataFrame:
@@ -229,65 +254,40 @@ def extract(df: DataFrame, data: str = "data", *, with_subtrees: bool = True) ->
     Input needs ``execution_id``, ``workflow_id``, ``started_at`` and the payload
     text. Output has the columns of the error table except the category.
     """
-    doc = F.col("doc")
-    staged = _locate(df, data)
-    staged = staged.withColumns({
-        "_node1": member(doc, F.col("_err1"), "node"),
-        "_node2": member(doc, F.col("_err2"), "node"),
-        "_stack": member(doc, F.col("_exec"), "nodeExecutionStack"),
-    })
-    size = F.size(F.try_variant_get("_stack", "$", "array<variant>"))
-    last = F.try_variant_get(
-        "_stack", F.when(size > 0, F.concat(F.lit("$["), (size - 1).cast("string"), F.lit("]"))),
-        "variant")
-    staged = staged.withColumn("_frame", _follow(doc, last))
-    # The upstream node is read from the plain shape only.
-    main = member(doc, member(doc, F.col("_frame"), "source"), "main")
-    staged = staged.withColumn(
-        "_source", F.when(F.col("_plain").isNotNull(), member(doc, main, 0)))
-
-    def either(key: str, first: str = "_err1", second: str = "_err2") -> Column:
-        return F.coalesce(_text(member(doc, F.col(first), key)),
-                          _text(member(doc, F.col(second), key)))
-
-    message = F.coalesce(
-        _text(member(doc, F.col("_err1"), "description")),
-        _text(member(doc, F.col("_err1"), "message")),
-        _text(member(doc, F.col("_err2"), "description")),
-        _text(member(doc, F.col("_err2"), "message")), F.lit(""))
-    node_name = F.coalesce(
-        _text(member(doc, F.col("_result"), "lastNodeExecuted")),
-        either("name", "_node1", "_node2"), F.lit(UNKNOWN_NODE))
-    branch = member(doc, F.col("_source"), "previousNodeOutput")
-    runtime = member(doc, F.col("_exec"), "runtimeData")
-
-    has_meta = _truthy(member(doc, F.col("_exec"), "metadata")).isNotNull()
-    has_input = _truthy(member(doc, F.col("_frame"), "data")).isNotNull()
-    prefix = F.col("_plain").isNotNull()
-    raw = F.col("payload_text")
-
-    def dump(present: Column, path: list[str | int]) -> Column:
-        if not with_subtrees:
-            return F.lit("")
-        return F.concat(
-            subtree_json(F.when(present & prefix, raw), path),
-            subtree_json(F.when(present & ~prefix, raw), [0, *path]))
+    size = "size(try_variant_get(_stack, '$', 'array<variant>'))"
+    last = _variant("_stack", f"if({size} > 0, concat('$[', {size} - 1, ']'), null)")
+    staged = (_locate(df, data)
+              .selectExpr("*", f"{member('doc', '_exec', 'nodeExecutionStack')} as _stack")
+              .selectExpr("*", f"{_follow('doc', last)} as _frame")
+              # The upstream node is read from the plain shape only.
+              .selectExpr("*", f"if(_plain is not null, {member('doc', '_frame', 'source', 'main', 0)}, null) as _source"))
+
+    # Both subtrees of both shapes in one Arrow batch call per row that has any.
+    tails = [["executionData", "nodeExecutionStack", -1, "data"], ["executionData", "metadata"]]
+    present = (f"{_truthy(member('doc', '_frame', 'data'))} is not null or "
+               f"{_truthy(member('doc', '_exec', 'metadata'))} is not null")
+    if with_subtrees:
+        staged = staged.withColumn("_dumps", subtree_json(
+            F.expr(f"if({present}, payload_text, null)"), [*tails, *[[0, *tail] for tail in tails]]))
+
+    def dump(i: int) -> Column:
+        return F.expr(f"if(_plain is not null, _dumps[{i}], _dumps[{i + 2}])") if with_subtrees else F.lit("")
 
     return staged.select(
         F.col("execution_id").alias("id"),
         "workflow_id",
-        F.coalesce(either("id", "_node1", "_node2"), F.lit("")).alias("node_id"),
-        node_name.alias("node_name"),
-        F.coalesce(either("type", "_node1", "_node2"), F.lit(UNKNOWN_TYPE)).alias("node_type"),
-        F.coalesce(either("name"), F.lit("")).alias("error_type"),
-        message.alias("error_message"),
-        F.coalesce(either("stack"), F.lit("")).alias("error_stack"),
-        F.coalesce(_text(member(doc, F.col("_source"), "previousNode")), F.lit("")).alias("source_node"),
-        F.try_variant_get(branch, "$", "bigint").alias("source_output_index"),
-        dump(has_input, ["executionData", "nodeExecutionStack", -1, "data"]).alias("input_data"),
-        dump(has_meta, ["executionData", "metadata"]).alias("metadata"),
-        F.coalesce(_text(member(doc, runtime, "source")), F.lit("")).alias("execution_source"),
-        F.coalesce(http_status(doc, F.col("_err1")), http_status(doc, F.col("_err2"))).alias("http_code"),
+        F.expr(_first(_either("id", "_n1", "_n2"), "''")).alias("node_id"),
+        F.expr(_node_name()).alias("node_name"),
+        F.expr(_first(_either("type", "_n1", "_n2"), f"'{UNKNOWN_TYPE}'")).alias("node_type"),
+        F.expr(_first(_either("name"), "''")).alias("error_type"),
+        F.expr(_message("''")).alias("error_message"),
+        F.expr(_first(_either("stack"), "''")).alias("error_stack"),
+        F.expr(_first(_text(member("doc", "_source", "previousNode")), "''")).alias("source_node"),
+        F.expr(_variant(member("doc", "_source", "previousNodeOutput"), kind="bigint")).alias("source_output_index"),
+        dump(0).alias("input_data"),
+        dump(1).alias("metadata"),
+        F.expr(_first(_text(member("doc", "_exec", "runtimeData", "source")), "''")).alias("execution_source"),
+        F.expr(_first(http_status("doc", "_e1"), http_status("doc", "_e2"))).alias("http_code"),
         F.col("started_at").alias("timestamp"),
     )
 
@@ -306,26 +306,12 @@ def trace_lookup(df: DataFrame, data: str = "data", *, full: bool = False) -> Da
     Unlike the extraction above, the list-like shape falls back to the root's own
     ``message``. Undecodable payloads give no row.
     """
-    doc = F.col("doc")
-    staged = _locate(df, data)
-    plain = F.col("_plain").isNotNull()
-    message = F.coalesce(
-        _text(member(doc, F.col("_err1"), "description")),
-        _text(member(doc, F.col("_err1"), "message")),
-        _text(member(doc, F.col("_err2"), "description")),
-        _text(member(doc, F.col("_err2"), "message")),
-        F.when(~plain, _text(member(doc, F.col("_base"), "message"))),
-        F.lit(NO_DETAIL))
-    node = F.coalesce(
-        _text(member(doc, F.col("_result"), "lastNodeExecuted")),
-        _text(member(doc, member(doc, F.col("_err1"), "node"), "name")),
-        _text(member(doc, member(doc, F.col("_err2"), "node"), "name")),
-        F.lit(UNKNOWN_NODE))
-    columns = [F.col("execution_id"), F.col("workflow_id"), node.alias("node_name"),
-               message.alias("message")]
+    own_message = f"if(_plain is null, {_text(member('doc', '_base', 'message'))}, null)"
+    columns = [F.col("execution_id"), F.col("workflow_id"), F.expr(_node_name()).alias("node_name"),
+               F.expr(_message(own_message, f"'{NO_DETAIL}'")).alias("message")]
     if full:
-        columns.append(subtree_json(F.col("payload_text"), [], indent=2).alias("full_error"))
-    return staged.select(*columns)
+        columns.append(subtree_json(F.col("payload_text"), [[]], indent=2)[0].alias("full_error"))
+    return _locate(df, data).select(*columns)
 
 
 def capped(payloads: DataFrame, cap: int = MAX_PAYLOAD_BYTES, data: str = "data") -> DataFrame:

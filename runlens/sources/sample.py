@@ -93,12 +93,17 @@ class SampleTables:
         The message is picked by position from a short fixed list, an array
         literal, so no join is needed.
         """
-        fields = ("node_type", "error_type", "error_message", "error_stack")
-        catalogue = F.array(*[
-            F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, m[1:5])],
-                     F.lit(m[5]).cast("bigint").alias("http_code")) for m in MESSAGES])
+        def literal(value: str | int | None) -> str:
+            if value is None or isinstance(value, int):
+                return "null" if value is None else f"{value}L"
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+        names = ("node_type", "error_type", "error_message", "error_stack", "http_code")
+        entries = ", ".join(
+            "named_struct(" + ", ".join(f"'{n}', {literal(v)}" for n, v in zip(names, m[1:])) + ")"
+            for m in MESSAGES)
         k = F.col("k")
-        chosen = F.get(catalogue, F.pmod(k, F.lit(len(MESSAGES))))
+        chosen = F.expr(f"get(array({entries}), pmod(k, {len(MESSAGES)}))")
         return self.error_events.withColumn("m", chosen).select(
             F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("workflow_id"),
             F.concat(F.lit("node_"), (k % 7).cast("string")).alias("node_name"),

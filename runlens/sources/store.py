@@ -30,7 +30,7 @@ class BlockTable:
         self.spark, self.path, self.schema, self.block_size = spark, path, schema, block_size
 
     def _exists(self) -> bool:
-        return _completed(self.spark, self.path)
+        return any(name.startswith(f"{BLOCK}=") for name in _children(self.spark, self.path))
 
     def read(self) -> DataFrame:
         if not self._exists():

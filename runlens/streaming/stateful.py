@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -99,10 +99,17 @@ class MissingTimer(StatefulProcessor):
         pass
 
 
-def missing_timers(sightings: DataFrame, grace: dt.timedelta, lateness: str = "10 minutes") -> DataFrame:
-    """Ids whose grace period ran out. ``sightings``: ``id``, ``at``, ``found``."""
-    rows = sightings.withWatermark("at", lateness).select(
-        "id", "at", F.unix_millis("at").alias("at_ms"), "found")
+def missing_timers(sightings: DataFrame, grace: dt.timedelta, lateness: str = "10 minutes",
+                   only: Column | None = None) -> DataFrame:
+    """Ids whose grace period ran out. ``sightings``: ``id``, ``at``, ``found``.
+
+    Rows that fail ``only`` move the clock but are not tracked.
+    """
+    rows = sightings.withWatermark("at", lateness)
+    if only is not None:
+        # Mentions the clock column, or the filter would be moved before it.
+        rows = rows.filter(F.when(F.col("at").isNotNull(), only))
+    rows = rows.select("id", "at", F.unix_millis("at").alias("at_ms"), "found")
     return rows.groupBy("id").transformWithStateInPandas(
         statefulProcessor=MissingTimer(int(grace.total_seconds() * 1000)),
         outputStructType="id long, missing_since_ms long, status string",
