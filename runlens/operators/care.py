@@ -43,6 +43,17 @@ def expire_detail(errors: DataFrame, as_of: dt.datetime, input_days: object = IN
     return errors.withColumns(updates) if updates else errors
 
 
+def is_expiring(as_of: dt.datetime, input_days: object = INPUT_RETENTION_DAYS,
+                stack_days: object = STACK_RETENTION_DAYS) -> Column:
+    """Rows that :func:`expire_detail` would change."""
+    condition = F.lit(False)
+    for column, days in (("input_data", input_days), ("error_stack", stack_days)):
+        cutoff = retention_cutoff(days, as_of)
+        if cutoff is not None:
+            condition |= (F.col("timestamp") < ts(cutoff)) & F.col(column).isNotNull()
+    return condition
+
+
 def expired_counts(errors: DataFrame, as_of: dt.datetime, input_days: object = INPUT_RETENTION_DAYS,
                    stack_days: object = STACK_RETENTION_DAYS) -> DataFrame:
     """How many values :func:`expire_detail` clears, per column."""

@@ -32,10 +32,14 @@ class BlockTable:
     def _exists(self) -> bool:
         return any(name.startswith(f"{BLOCK}=") for name in _children(self.spark, self.path))
 
-    def read(self) -> DataFrame:
+    def read(self, above_id: int | None = None) -> DataFrame:
+        """The table, or only ids above a bound, which also skips whole blocks."""
         if not self._exists():
             return self.spark.createDataFrame([], self.schema)
-        return self._files().select(*self.schema.fieldNames())
+        rows = self._files()
+        if above_id is not None:
+            rows = rows.filter((F.col(BLOCK) >= above_id // self.block_size) & (F.col("id") > above_id))
+        return rows.select(*self.schema.fieldNames())
 
     def _files(self) -> DataFrame:
         stored = T.StructType([*self.schema.fields, T.StructField(BLOCK, T.LongType())])
@@ -119,3 +123,9 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 def _remove(spark: SparkSession, path: str) -> None:
     fs, handle = _fs(spark, path)
     fs.delete(handle, True)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a folder."""
+    fs, handle = _fs(spark, path)
+    return fs.getContentSummary(handle).getLength() if fs.exists(handle) else 0
