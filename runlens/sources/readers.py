@@ -29,13 +29,16 @@ def jdbc_table(spark: SparkSession, url: str, table: str, *, lower: int | None =
 
 
 def probed(df: DataFrame, base: T.StructType, optional: T.StructType) -> DataFrame:
-    """The base columns and whichever optional columns this source has."""
-    wanted = T.StructType(base.fields + [
-        f for f in optional.fields if f.name in present_columns(df, optional)])
-    keep = [f.name for f in wanted.fields]
-    extra = ["deleted_at"] if "deleted_at" in df.columns else []
-    return conform(df, wanted) if not extra else conform(df, T.StructType(
-        wanted.fields + [T.StructField("deleted_at", T.TimestampType())])).select(*keep, *extra)
+    """The base columns, which must exist, and whichever optional columns this
+    source has. A soft-delete marker is kept for the filter that needs it."""
+    lacking = [name for name in base.fieldNames() if name not in df.columns]
+    if lacking:
+        raise ValueError(f"source lacks {', '.join(lacking)}")
+    have = present_columns(df, optional)
+    fields = [*base.fields, *(f for f in optional.fields if f.name in have)]
+    if "deleted_at" in df.columns:
+        fields.append(T.StructField("deleted_at", T.TimestampType()))
+    return conform(df, T.StructType(fields))
 
 
 def source_executions(df: DataFrame) -> DataFrame:
