@@ -323,7 +323,7 @@ def _(t):
 @query("r11e_error_groups", f"""
 , grouped AS (
   SELECT error_category, node_name, substr(error_message, 1, 200) AS error_summary,
-    arg_max(node_type, ROW("timestamp", e.id)) AS node_type,
+    arg_max(node_type, ROW("timestamp", node_type)) AS node_type,
     count(*) AS "count", count(DISTINCT workflow_id) AS affected_workflows, min("timestamp") AS first_seen,
     max("timestamp") AS last_seen, list_sort(list(DISTINCT w.name)) AS names
   FROM errors e JOIN workflow_entity w ON e.workflow_id = w.id WHERE {_ERR_WEEK} GROUP BY 1, 2, 3)

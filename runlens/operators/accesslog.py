@@ -73,11 +73,14 @@ def window_starts(spark: SparkSession, hits: DataFrame, window: dt.timedelta) ->
     after = slots.select("key", (F.col("slot") - 2).alias("slot"), F.col("first").alias("_far"))
     jumps = (hits.join(near, ["key", "ms"]).join(after, ["key", "slot"], "left")
              .select("key", "ms", F.coalesce("target", "_far").alias("target"))
-             .filter(F.col("target").isNotNull()).checkpoint())
+             .filter(F.col("target").isNotNull())
+             # A known start needs no pointer; without these, chains never meet.
+             .join(roots.withColumnRenamed("ms", "target"), ["key", "target"], "left_anti")
+             .checkpoint())
     reached = roots.checkpoint()
     while not jumps.isEmpty():
         step = reached.join(jumps, ["key", "ms"]).select("key", F.col("target").alias("ms"))
-        reached = reached.union(step).distinct().checkpoint()
+        reached = reached.union(step.checkpoint())
         hop = jumps.select("key", F.col("ms").alias("target"), F.col("target").alias("_next"))
         jumps = jumps.join(hop, ["key", "target"]).select(
             "key", "ms", F.col("_next").alias("target")).checkpoint()

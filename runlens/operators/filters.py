@@ -27,7 +27,7 @@ def for_workflow_name(executions: DataFrame, workflows: DataFrame, name: str | N
     execution of an unknown workflow drops out only when a name is asked for."""
     if not name:
         return executions
-    ids = workflows.filter(F.col("name") == name).select(F.col("id").alias("workflow_id")).distinct()
+    ids = workflows.filter(F.col("name") == name).select(F.col("id").alias("workflow_id"))
     return executions.join(ids, "workflow_id", "left_semi")
 
 

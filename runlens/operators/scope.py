@@ -37,7 +37,7 @@ class Scope:
         """Visibility of a set of requested ids; an absent id is never visible."""
         if self.visible is None:
             return ids.withColumn("visible", F.lit(True))
-        marked = self.visible.withColumn("_seen", F.lit(True))
+        marked = self.visible.distinct().withColumn("_seen", F.lit(True))
         return (ids.join(marked, ids[key] == marked["visible_workflow_id"], "left")
                 .withColumn("visible", F.coalesce("_seen", F.lit(False)))
                 .drop("_seen", "visible_workflow_id"))
@@ -48,10 +48,11 @@ EVERYTHING = Scope()
 
 def visible_workflows(shared_workflow: DataFrame, project_relation: DataFrame,
                       user_id: str) -> DataFrame:
-    """Workflow ids reachable from a user through project membership."""
-    mine = project_relation.filter(F.col("user_id") == user_id).select("project_id").distinct()
+    """Workflow ids reachable from a user through project membership, possibly more
+    than once: semi-joins do not mind and are spared a shuffle."""
+    mine = project_relation.filter(F.col("user_id") == user_id).select("project_id")
     return (shared_workflow.join(mine, "project_id", "left_semi")
-            .select(F.col("workflow_id").alias("visible_workflow_id")).distinct())
+            .select(F.col("workflow_id").alias("visible_workflow_id")))
 
 
 def resolve_scope(shared_workflow: DataFrame, project_relation: DataFrame, *,

@@ -43,7 +43,7 @@ def incremental(source: DataFrame, high_water_id: int | Column, overlap: int = I
 
 def lookup(source: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Source rows of a set of ids given as a table."""
-    return source.join(ids.select(key).distinct(), key, "left_semi")
+    return source.join(ids.select(key), key, "left_semi")
 
 
 def vanished(ids: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:

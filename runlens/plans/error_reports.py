@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from runlens.functions.errors import health_band, is_structural, is_transient
 from runlens.functions.text import error_summary
 from runlens.functions.timegrid import change_pct, round_half_up, ts
-from runlens.operators.filters import before, within
+from runlens.operators.filters import within
 from runlens.operators.scope import EVERYTHING, Scope
 from runlens.params import BadRequest, ReportRange, parse_range
 from runlens.plans.listing import named
@@ -31,8 +31,7 @@ def error_totals(errors: DataFrame, executions: DataFrame, period: ReportRange,
                  scope: Scope = EVERYTHING) -> DataFrame:
     """Summary row. Errors of both periods are first counted per workflow, node and
     category, so the two distinct counts run over that small table."""
-    rows = errors.filter(before("timestamp", period.prev_start, period.start)
-                         | within("timestamp", period.start, period.end))
+    rows = errors.filter(within("timestamp", period.prev_start, period.end))
     now = within("timestamp", period.start, period.end)
     cells = scope.narrow(rows, "workflow_id").groupBy("workflow_id", "node_name", "error_category").agg(
         F.count_if(now).alias("n"), F.count_if(~now).alias("prev_n"))
@@ -90,21 +89,20 @@ def error_groups(errors: DataFrame, workflows: DataFrame, period: ReportRange, a
     """The fifty largest groups of alike errors.
 
     Alike: same category, node and first 200 characters. Errors are folded per
-    group *and workflow* first; from then on a group has one row per workflow it
-    touches, and distinct workflows are a plain count. Names are looked up for
+    group, workflow and node type first, with counters that hash aggregation can
+    update in place; names are joined to that small table. They are looked up for
     the fifty groups only, and a group's names are trimmed to three before they
     are gathered. The node type is the one of the group's latest error.
     """
     rows = scope.narrow(errors.filter(within("timestamp", period.start, period.end)), "workflow_id")
-    latest = F.struct("timestamp", "id")
     folded = (rows.withColumn("error_summary", error_summary(F.col("error_message")))
-              .groupBy(*GROUP_KEYS, "workflow_id")
-              .agg(F.count("*").alias("n"), F.min("timestamp").alias("first_seen"),
-                   F.max(F.struct(latest.alias("at"), F.col("node_type"))).alias("last")))
+              .groupBy(*GROUP_KEYS, "workflow_id", "node_type")
+              .agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")))
     per_workflow = named(folded, workflows, "workflow_name")
     top = (per_workflow.groupBy(*GROUP_KEYS).agg(
-        F.sum("n").alias("count"), F.count("*").alias("affected_workflows"),
-        F.min("first_seen").alias("first_seen"), F.max("last").alias("last"))
+        F.max(F.struct("last", "node_type")).alias("latest"),
+        F.sum("n").alias("count"), F.count_distinct("workflow_id").alias("affected_workflows"),
+        F.min("first").alias("first_seen"))
         .orderBy(F.desc("count"), *[F.asc_nulls_first(k) for k in GROUP_KEYS]).limit(GROUP_ROWS))
 
     keys = top.select(*[F.col(k).alias(f"top_{k}") for k in GROUP_KEYS])
@@ -114,9 +112,9 @@ def error_groups(errors: DataFrame, workflows: DataFrame, period: ReportRange, a
     gathered = (names.withColumn("rank", rank).filter(F.col("rank") <= GROUP_NAMES)
                 .groupBy(*[F.col(k).alias(f"top_{k}") for k in GROUP_KEYS])
                 .agg(F.array_sort(F.collect_list("workflow_name")).alias("workflow_names")))
-    last_seen = F.col("last.at.timestamp")
+    last_seen = F.col("latest.last")
     return top.join(gathered, same, "left").select(
-        *GROUP_KEYS, F.col("last.node_type").alias("node_type"), "count", "affected_workflows",
+        *GROUP_KEYS, F.col("latest.node_type").alias("node_type"), "count", "affected_workflows",
         "first_seen", last_seen.alias("last_seen"), "workflow_names",
         F.when(last_seen >= ts(as_of - ACTIVE), "active").otherwise("recurring").alias("status"))
 

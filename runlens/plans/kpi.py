@@ -14,7 +14,7 @@ from runlens.functions.timegrid import (
     round_half_up,
     spine,
 )
-from runlens.operators.filters import before, for_workflow_name, within
+from runlens.operators.filters import for_workflow_name, within
 from runlens.operators.scope import EVERYTHING, Scope
 from runlens.params import ReportRange
 
@@ -26,8 +26,7 @@ def kpi_summary(executions: DataFrame, workflows: DataFrame, period: ReportRange
                 workflow: str | None = None, scope: Scope = EVERYTHING) -> DataFrame:
     """Total, errors and mean duration of the period, each count against the period
     before. One scan over both periods; ``error`` counts status 'error' only."""
-    rows = executions.filter(
-        before("started_at", period.prev_start, period.start) | within("started_at", period.start, period.end))
+    rows = executions.filter(within("started_at", period.prev_start, period.end))
     rows = scope.narrow(for_workflow_name(rows, workflows, workflow), "workflow_id")
     now = within("started_at", period.start, period.end)
     failed = F.col("status") == "error"

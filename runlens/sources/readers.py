@@ -56,7 +56,7 @@ def payloads_for(payloads: DataFrame, executions: DataFrame, ids: DataFrame,
     The ids narrow both sides before the text is touched, so the wide column is
     read only for rows that are asked for.
     """
-    wanted = ids.select("id").distinct()
+    wanted = ids.select("id")
     narrowed = payloads.join(wanted.withColumnRenamed("id", "execution_id"), "execution_id", "left_semi")
     owners = (executions.join(wanted, "id", "left_semi")
               .select(F.col("id").alias("execution_id"), "workflow_id", "started_at"))
