@@ -10,7 +10,7 @@ from runlens.catalog.registry import ORACLE_SQL, query
 from runlens.operators import accesslog
 from runlens.schemas import EXECUTION_BASE, EXECUTION_OPTIONAL
 from runlens.session import work_path
-from runlens.sources.sample import SampleTables
+from runlens.sources.sample import SampleTables, executions_of
 from runlens.sources.store import BlockTable
 from runlens.streaming import stateful, sync_stream
 
@@ -21,10 +21,7 @@ def _events(t: SampleTables):
 
 def _live(t: SampleTables):
     """Executions as a stream: the same projection as the batch view."""
-    live = SampleTables(t.spark, t.path)
-    events = _events(t)
-    live.raw = lambda name: events  # type: ignore[method-assign]
-    return live.executions
+    return executions_of(_events(t))
 
 
 def _finish(stream) -> None:
@@ -66,7 +63,6 @@ WHERE event_type = 'signup' AND event_id % 3 <> 0
 def _(t):
     """Open executions go missing at their start; every third is sighted again
     half an hour later."""
-    stateful.use_rocksdb(t.spark)
     path = work_path(t.spark, "timers")
     events = _events(t)
     at = F.col("ts").cast("timestamp")
@@ -81,8 +77,9 @@ def _(t):
             .otherwise(F.array(F.struct(at.alias("at"), F.lit(True).alias("found"))))).alias("s"))
     sightings = both.select("id", "is_open", "s.at", "s.found").filter(
         F.col("at") <= F.lit(_last(t)).cast("timestamp"))
-    _finish(sync_stream.to_parquet(
-        stateful.missing_timers(sightings, dt.timedelta(hours=1), only=F.col("is_open")), path, work_path(t.spark, "checkpoint")))
+    timers = stateful.missing_timers(sightings, dt.timedelta(hours=1), only=F.col("is_open"))
+    with stateful.rocksdb_state(t.spark):
+        _finish(sync_stream.to_parquet(timers, path, work_path(t.spark, "checkpoint")))
     return t.spark.read.schema("id bigint, missing_since_ms bigint, status string").parquet(path).select(
         "id", F.timestamp_millis("missing_since_ms").alias("missing_since"), "status")
 
@@ -121,7 +118,6 @@ def _(t):
     "s.ms * 1000) AS window_start").replace(
     ", CAST(greatest(sum(n) - 1, 0) AS BIGINT) AS blocked", "").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2"))
 def _(t):
-    stateful.use_rocksdb(t.spark)
     path = work_path(t.spark, "windows")
     log = _events(t).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     windows = stateful.hit_windows(log, "event_type", "ts", dt.timedelta(minutes=15))
@@ -129,8 +125,10 @@ def _(t):
     def store(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
 
-    _finish(windows.writeStream.outputMode("update").foreachBatch(store)
-            .option("checkpointLocation", work_path(t.spark, "checkpoint")).trigger(availableNow=True).start())
+    with stateful.rocksdb_state(t.spark):
+        _finish(windows.writeStream.outputMode("update").foreachBatch(store)
+                .option("checkpointLocation", work_path(t.spark, "checkpoint"))
+                .trigger(availableNow=True).start())
     rows = t.spark.read.schema("key string, start_ms bigint, hits bigint, batch bigint").parquet(path)
     return rows.groupBy("key", F.timestamp_millis("start_ms").alias("window_start")).agg(
         F.max_by("hits", "batch").alias("hits"))

@@ -70,10 +70,6 @@ def render_time_text(text: Column, tz: Column | str, pattern: str = "M/d/yyyy, H
     return render_time(moment, tz, pattern)
 
 
-def contains_ci(column: Column, needle: str) -> Column:
-    return F.contains(F.lower(column), F.lit(needle.strip().lower()))
-
-
 def _redact(value: object, keys: frozenset[str], depth: int = 0) -> object:
     if depth > REDACT_DEPTH or not isinstance(value, (dict, list)):
         return value

@@ -49,6 +49,19 @@ MESSAGES: list[tuple[int, str, str, str, str, int | None]] = [
 ]
 
 
+def executions_of(events: DataFrame) -> DataFrame:
+    """Events, batch or stream, as executions."""
+    kind, started = F.col("event_type"), F.col("ts").cast("timestamp")
+    length = F.make_dt_interval(secs=F.col("value").cast("decimal(18,6)"))
+    return events.select(
+        F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("workflow_id"),
+        F.when(kind == "error", "error").when(kind == "signup", "running")
+        .otherwise("success").alias("status"),
+        started.alias("started_at"),
+        F.when(kind != "signup", started + length).alias("stopped_at"),
+        kind.alias("mode"))
+
+
 @dataclass
 class SampleTables:
     """Lazily built tables of one sample folder."""
@@ -70,15 +83,7 @@ class SampleTables:
 
     @cached_property
     def executions(self) -> DataFrame:
-        kind, started = F.col("event_type"), F.col("ts").cast("timestamp")
-        length = F.make_dt_interval(secs=F.col("value").cast("decimal(18,6)"))
-        return self.raw("events").select(
-            F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("workflow_id"),
-            F.when(kind == "error", "error").when(kind == "signup", "running")
-            .otherwise("success").alias("status"),
-            started.alias("started_at"),
-            F.when(kind != "signup", started + length).alias("stopped_at"),
-            kind.alias("mode"))
+        return executions_of(self.raw("events"))
 
     @cached_property
     def error_events(self) -> DataFrame:

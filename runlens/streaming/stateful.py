@@ -1,13 +1,14 @@
 """Per-key state machines: fixed hit windows and the missing-row timer.
 
-Both need ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB
-provider, which :func:`use_rocksdb` does.
+Both need the RocksDB state store, which :func:`rocksdb_state` selects for the
+queries started inside it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started in this block keep their state in RocksDB."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class HitCounter(StatefulProcessor):

@@ -46,7 +46,6 @@ def test_fixed_windows_equal_the_fold(spark, seed, spread):
 
 
 def test_hit_counter_keeps_its_window_between_batches(spark, tmp_path):
-    stateful.use_rocksdb(spark)
     rng = random.Random(7)
     hits = sorted(("k", rng.randrange(600_000)) for _ in range(60))
     src, out = tmp_path / "in", str(tmp_path / "out")
@@ -55,9 +54,10 @@ def test_hit_counter_keeps_its_window_between_batches(spark, tmp_path):
             .coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema("k string, at timestamp").parquet(str(src))
         windows = stateful.hit_windows(stream, "k", "at", dt.timedelta(minutes=1))
-        windows.writeStream.outputMode("update").foreachBatch(
-            lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)) \
-            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        with stateful.rocksdb_state(spark):
+            windows.writeStream.outputMode("update").foreachBatch(
+                lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)) \
+                .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     final = spark.read.parquet(out).groupBy("key", "start_ms").agg(F.max_by("hits", "batch").alias("hits"))
     base = int(ZERO.timestamp() * 1000)
     assert {(r.key, r.start_ms - base): r.hits for r in final.collect()} == fold(hits, 60_000)
