@@ -47,13 +47,18 @@ def _(t):
 
 @query("m2_workflow_upsert", """
 SELECT coalesce(o.id, n.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.active, o.active) AS active
-FROM (SELECT id, 'old ' || name AS name, NOT active AS active FROM workflow_entity WHERE CAST(id AS BIGINT) % 3 <> 0) o
-FULL JOIN (SELECT * FROM workflow_entity WHERE CAST(id AS BIGINT) % 4 <> 0) n ON o.id = n.id""")
+FROM (SELECT CAST(c_custkey AS VARCHAR) AS id, 'old ' || c_name AS name, c_acctbal < 0 AS active
+      FROM customer WHERE c_mktsegment <> 'BUILDING') o
+FULL JOIN (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_acctbal >= 0 AS active
+      FROM customer WHERE c_mktsegment <> 'MACHINERY') n ON o.id = n.id""")
 def _(t):
-    number = F.col("id").cast("bigint")
-    old = t.workflows.filter(number % 3 != 0).select(
-        "id", F.concat(F.lit("old "), F.col("name")).alias("name"), (~F.col("active")).alias("active"))
-    return upsert(old, t.workflows.filter(number % 4 != 0), "id")
+    customers = t.raw("customer")
+    key, balance = F.col("c_custkey").cast("string").alias("id"), F.col("c_acctbal")
+    old = customers.filter("c_mktsegment <> 'BUILDING'").select(
+        key, F.concat(F.lit("old "), F.col("c_name")).alias("name"), (balance < 0).alias("active"))
+    new = customers.filter("c_mktsegment <> 'MACHINERY'").select(
+        key, F.col("c_name").alias("name"), (balance >= 0).alias("active"))
+    return upsert(old, new, "id")
 
 
 @query("m3_refresh_open", """
@@ -71,7 +76,7 @@ def _(t):
 
 _CACHE = """cached AS (
   SELECT to_timestamp(epoch_us(started_at) // 300000000 * 300) AT TIME ZONE 'UTC' AS "timestamp",
-    count(*) AS started_count FROM replica WHERE started_at >= TIMESTAMP '2024-01-29' GROUP BY 1)"""
+    count(*) AS started_count FROM source WHERE started_at >= TIMESTAMP '2024-01-29' GROUP BY 1)"""
 _SERIES = """series AS (
   SELECT TIMESTAMP '2024-01-30 00:05:00' + to_seconds(g.i * 300) AS "timestamp", coalesce(n, 0) AS started_count
   FROM (SELECT unnest(generate_series(CAST(0 AS BIGINT), 287)) AS i) g LEFT JOIN (
@@ -80,7 +85,8 @@ _SERIES = """series AS (
 
 
 def _cached(t):
-    rows = t.replica.filter(F.col("started_at") >= F.lit("2024-01-29").cast("timestamp"))
+    """A cache counted before some executions were known."""
+    rows = t.source.filter(F.col("started_at") >= F.lit("2024-01-29").cast("timestamp"))
     return rows.groupBy(floor_column(F.col("started_at"), volume.STEP_SECONDS).alias("timestamp")).agg(F.count("*").alias("started_count"))
 
 
@@ -98,21 +104,22 @@ def _(t):
 
 
 @query("m6_enqueue", """
-SELECT id, CASE WHEN id % 4 = 1 THEN 'pending' ELSE analytics_status END AS analytics_status,
-  CASE WHEN id % 4 = 1 THEN 0 ELSE analytics_attempts END AS analytics_attempts,
-  CASE WHEN id % 4 <> 1 THEN analytics_next_attempt END AS analytics_next_attempt
-FROM replica""")
+SELECT r.id, CASE WHEN s.id IS NOT NULL THEN 'pending' ELSE analytics_status END AS analytics_status,
+  CASE WHEN s.id IS NOT NULL THEN 0 ELSE analytics_attempts END AS analytics_attempts,
+  CASE WHEN s.id IS NULL THEN analytics_next_attempt END AS analytics_next_attempt
+FROM replica r LEFT JOIN (SELECT id FROM source WHERE status = 'error') s ON s.id = r.id""")
 def _(t):
-    return queue.enqueue(t.replica, t.source.filter("id % 4 = 1").union(t.replica.select(t.source.columns).filter("id % 4 = 1"))) \
-        .select("id", "analytics_status", "analytics_attempts", "analytics_next_attempt")
+    failed = t.source.filter("status = 'error'")
+    return queue.enqueue(t.replica, failed.union(failed)).select("id", "analytics_status", "analytics_attempts", "analytics_next_attempt")
 
 
 @query("m6_outcomes", """
-SELECT id, CASE WHEN id % 2 = 0 THEN 'vanished' WHEN id % 10 = 7 THEN 'retry' ELSE 'done' END AS outcome
+SELECT id, CASE WHEN id NOT IN (SELECT id FROM source) THEN 'vanished' WHEN id % 10 = 7 THEN 'retry'
+  ELSE 'done' END AS outcome
 FROM error_candidates""")
 def _(t):
     asked = t.executions.filter("status = 'error'").select("id")
-    read = payloads_for(t.payloads.filter("execution_id % 2 = 1"), t.executions, asked)
+    read = payloads_for(t.payloads, t.source, asked)
     return queue.outcomes(asked, read, extract(read, with_subtrees=False))
 
 
@@ -125,11 +132,12 @@ SELECT id,
        WHEN o = 'retry' AND analytics_attempts + 1 < 5
          THEN TIMESTAMP '2024-01-31' + to_minutes(CAST(least(pow(2, analytics_attempts + 1), 360) AS BIGINT))
        ELSE analytics_next_attempt END AS analytics_next_attempt
-FROM (SELECT *, CASE id % 6 WHEN 0 THEN 'done' WHEN 1 THEN 'retry' WHEN 2 THEN 'vanished'
-        WHEN 3 THEN 'oversized' END AS o FROM replica)""")
+FROM (SELECT r.*, CASE e.mode WHEN 'click' THEN 'done' WHEN 'error' THEN 'retry' WHEN 'view' THEN 'vanished'
+        WHEN 'purchase' THEN 'oversized' END AS o FROM replica r JOIN execution_entity e ON e.id = r.id)""")
 def _(t):
-    kinds = (F.when(F.col("id") % 6 == 0, queue.DONE).when(F.col("id") % 6 == 1, queue.RETRY)
-             .when(F.col("id") % 6 == 2, queue.VANISHED).when(F.col("id") % 6 == 3, queue.OVERSIZED))
+    mode = F.col("mode")
+    kinds = (F.when(mode == "click", queue.DONE).when(mode == "error", queue.RETRY)
+             .when(mode == "view", queue.VANISHED).when(mode == "purchase", queue.OVERSIZED))
     results = t.executions.select("id", kinds.alias("outcome")).filter("outcome is not null")
     return queue.settle(t.replica, results, AS_OF).select(
         "id", "analytics_status", "analytics_attempts", "analytics_next_attempt")
@@ -142,15 +150,15 @@ SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NOT NULL THEN o.workflow_id
   coalesce(n.http_code, o.http_code) AS http_code,
   CASE WHEN o.id IS NOT NULL THEN o."timestamp" ELSE n."timestamp" END AS "timestamp"
 FROM (SELECT id, 'w' AS workflow_id, 'old' AS error_message, 'unknown' AS error_category, CAST(418 AS BIGINT) AS http_code,
-        TIMESTAMP '2024-01-01' AS "timestamp" FROM errors WHERE id % 3 <> 0) o
-FULL JOIN (SELECT * FROM errors WHERE id % 5 <> 0) n ON o.id = n.id""")
+        TIMESTAMP '2024-01-01' AS "timestamp" FROM errors WHERE error_category <> 'auth') o
+FULL JOIN (SELECT * FROM errors WHERE error_category <> 'unknown') n ON o.id = n.id""")
 def _(t):
     columns = ["id", "workflow_id", "error_message", "error_category", "http_code", "timestamp"]
-    old = t.errors.filter("id % 3 <> 0").select(
+    old = t.errors.filter("error_category <> 'auth'").select(
         "id", F.lit("w").alias("workflow_id"), F.lit("old").alias("error_message"),
         F.lit("unknown").alias("error_category"), F.lit(418).cast("bigint").alias("http_code"),
         F.lit("2024-01-01").cast("timestamp").alias("timestamp"))
-    return upsert(old, t.errors.filter("id % 5 <> 0").select(columns), "id", ERROR_RULES)
+    return upsert(old, t.errors.filter("error_category <> 'unknown'").select(columns), "id", ERROR_RULES)
 
 
 def _detailed(t):

@@ -100,10 +100,10 @@ SELECT coalesce(n.workflow_id, o.workflow_id) AS workflow_id,
   CASE WHEN n.workflow_id IS NOT NULL THEN n.hourly_rate ELSE o.hourly_rate END AS hourly_rate
 FROM workflow_settings o FULL JOIN (
   SELECT CAST(c_custkey AS VARCHAR) AS workflow_id, CAST(c_custkey % 100 AS BIGINT) AS saved_time_seconds,
-    CAST(20.0 AS DOUBLE) AS hourly_rate FROM customer WHERE c_custkey % 2 = 0) n
+    CAST(20.0 AS DOUBLE) AS hourly_rate FROM customer WHERE c_acctbal > 0) n
 ON o.workflow_id = n.workflow_id""")
 def _(t):
-    incoming = t.raw("customer").filter("c_custkey % 2 = 0").select(
+    incoming = t.raw("customer").filter("c_acctbal > 0").select(
         F.col("c_custkey").cast("string").alias("workflow_id"),
         (F.col("c_custkey") % 100).alias("saved_time_seconds"), F.lit(20.0).alias("hourly_rate"))
     return upsert(t.settings, incoming, "workflow_id")
@@ -185,9 +185,9 @@ def _(t):
     return filters.for_workflow_name(t.executions, t.workflows, "Customer#000000005").select("id")
 
 
-@query("p8_soft_delete", """SELECT id FROM execution_entity WHERE id % 10 <> 0""")
+@query("p8_soft_delete", """SELECT id FROM execution_entity WHERE mode <> 'view'""")
 def _(t):
-    marked = t.executions.withColumn("deleted_at", F.when(F.col("id") % 10 == 0, F.col("started_at")))
+    marked = t.executions.withColumn("deleted_at", F.when(F.col("mode") == "view", F.col("started_at")))
     return filters.not_deleted(marked).select("id")
 
 

@@ -231,7 +231,7 @@ def _(t):
 
 @query("r7_volume_cached", _series_sql("2024-01-30 00:05:00"))
 def _(t):
-    cache = volume.refreshed_cache(t.executions, volume.volume_series(t.replica, volume.rolling_origin(AS_OF)), AS_OF)
+    cache = volume.refreshed_cache(t.executions, volume.volume_series(t.source, volume.rolling_origin(AS_OF)), AS_OF)
     return volume.execution_volume(t.executions, cache, AS_OF)
 
 

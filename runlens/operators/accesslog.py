@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,12 +79,14 @@ def window_starts(spark: SparkSession, hits: DataFrame, window: dt.timedelta) ->
              .join(roots.withColumnRenamed("ms", "target"), ["key", "target"], "left_anti")
              .checkpoint())
     reached = roots.checkpoint()
-    while not jumps.isEmpty():
-        step = reached.join(jumps, ["key", "ms"]).select("key", F.col("target").alias("ms"))
-        reached = reached.union(step.checkpoint())
-        hop = jumps.select("key", F.col("ms").alias("target"), F.col("target").alias("_next"))
-        jumps = jumps.join(hop, ["key", "target"]).select(
-            "key", "ms", F.col("_next").alias("target")).checkpoint()
+    with ThreadPoolExecutor(2) as jobs:
+        while not jumps.isEmpty():
+            step = reached.join(jumps, ["key", "ms"]).select("key", F.col("target").alias("ms"))
+            hop = jumps.select("key", F.col("ms").alias("target"), F.col("target").alias("_next"))
+            doubled = jumps.join(hop, ["key", "target"]).select("key", "ms", F.col("_next").alias("target"))
+            # Neither needs the other, so both jobs run at once.
+            step, jumps = jobs.map(lambda df: df.checkpoint(), (step, doubled))
+            reached = reached.union(step)
     return reached
 
 

@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.errors import resolve
-from runlens.functions.timegrid import ts
+from runlens.functions.timegrid import duration_seconds, ts
 from runlens.session import use_utc
 
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
+COPIED = dt.datetime(2024, 1, 25, tzinfo=dt.timezone.utc)
+PRUNED = dt.datetime(2024, 1, 8, tzinfo=dt.timezone.utc)
 
 # Fixed values: (number, node type, class, message, stack, HTTP status).
 MESSAGES: list[tuple[int, str, str, str, str, int | None]] = [
@@ -49,6 +51,20 @@ MESSAGES: list[tuple[int, str, str, str, str, int | None]] = [
 ]
 
 
+# Declared, so that opening a table does not start a job to read its footer.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def executions_of(events: DataFrame) -> DataFrame:
     """Events, batch or stream, as executions."""
     kind, started = F.col("event_type"), F.col("ts").cast("timestamp")
@@ -73,7 +89,7 @@ class SampleTables:
         use_utc(self.spark)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
 
     @cached_property
     def workflows(self) -> DataFrame:
@@ -161,11 +177,12 @@ class SampleTables:
 
     @cached_property
     def replica(self) -> DataFrame:
-        """An earlier copy of the executions: the first four fifths of the ids
-        with ``id % 7 <> 3``, some of them still open, one start missing."""
-        newest = self.executions.agg(F.max("id")).scalar()
-        i = F.col("id")
-        return (self.executions.filter((i * 5 <= newest * 4) & (i % 7 != 3)).select(
+        """An earlier copy of the executions: what had started by the 25th, without
+        the long runs that were committed late. Some rows are still open in it, and
+        some lack their start."""
+        i, seconds = F.col("id"), duration_seconds(F.col("started_at"), F.col("stopped_at"))
+        known = (F.col("started_at") < ts(COPIED)) & (F.coalesce(seconds, F.lit(0.0)) < 120)
+        return (self.executions.filter(known).select(
             "id", "workflow_id",
             F.when(i % 11 == 0, "running").otherwise(F.col("status")).alias("status"),
             F.when(i % 13 != 0, F.col("started_at")).alias("started_at"),
@@ -180,8 +197,11 @@ class SampleTables:
 
     @cached_property
     def source(self) -> DataFrame:
-        """The executions as the source shows them later: some were pruned."""
-        return self.executions.filter(F.col("id") % 9 != 1)
+        """The executions as the source shows them later: short runs were pruned, and
+        so were the open ones of the first week."""
+        seconds = duration_seconds(F.col("started_at"), F.col("stopped_at"))
+        return self.executions.filter(
+            (seconds >= 5) | (F.col("stopped_at").isNull() & (F.col("started_at") >= ts(PRUNED))))
 
     @cached_property
     def payloads(self) -> DataFrame:

@@ -23,9 +23,11 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, *, pattern
 
 
 def upsert_stream(executions: DataFrame, table: BlockTable, checkpoint: str,
-                  order: tuple[str, ...] = ("started_at", "id")) -> StreamingQuery:
+                  order: tuple[str, ...] = ("stopped_at", "started_at")) -> StreamingQuery:
     """Merge every micro-batch into the table and stop when the input is used up.
 
+    Of several deliveries of one id within a batch the finished one counts.
+
     A batch that is replayed after a failure merges the same rows again, with the
     same result. Late rows need no watermark here: they are merged by id.
     """

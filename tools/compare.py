@@ -5,8 +5,6 @@ usage: python tools/compare.py [sample folder] [name prefix ...]
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
 import os
 import sys
 import time
@@ -23,11 +21,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if isinstance(value, decimal.Decimal):
-        return float(value)
-    if isinstance(value, dt.datetime) and value.tzinfo:
-        return value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    return value
+    """The value with its type, so that 2, 2.0, True and Decimal(2) stay apart."""
+    return type(value).__name__, value
 
 
 def normal(columns, rows):
