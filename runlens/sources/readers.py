@@ -53,11 +53,16 @@ def payloads_for(payloads: DataFrame, executions: DataFrame, ids: DataFrame,
                  cap: int = MAX_PAYLOAD_BYTES) -> DataFrame:
     """Capped payloads of a set of execution ids, with workflow and start.
 
-    The ids narrow both sides before the text is touched, so the wide column is
-    read only for rows that are asked for.
+    The ids narrow both sides first. What is left is spread by id, because
+    decoding is costly and a file's row group would otherwise be one task; the
+    join to the owners uses the same partitioning. The number of partitions is
+    given, or adaptive execution would merge them again: payloads compress well
+    and look small.
     """
     wanted = ids.select("id")
-    narrowed = payloads.join(wanted.withColumnRenamed("id", "execution_id"), "execution_id", "left_semi")
+    partitions = int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrowed = (payloads.join(wanted.withColumnRenamed("id", "execution_id"), "execution_id", "left_semi")
+                .repartition(partitions, "execution_id"))
     owners = (executions.join(wanted, "id", "left_semi")
               .select(F.col("id").alias("execution_id"), "workflow_id", "started_at"))
     return capped(narrowed, cap).join(owners, "execution_id")
