@@ -162,3 +162,29 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as signed integers, the way Spark's long has them."""
     return np.ascontiguousarray(x).view(np.int64)
+
+
+_KIND = np.full(256, 2, np.uint8)
+_KIND[_SPACE] = 0
+_KIND[128:] = 1
+for _low, _high in ((48, 58), (65, 91), (97, 123)):
+    _KIND[_low:_high] = 1
+
+
+def tokens(run: Run, lower: bool = False) -> Words:
+    """Like ``words``, but letters and digits part from other marks: ``end!!`` is ``end`` and ``!!``."""
+    buf = _LOWER[run.buf] if lower else run.buf
+    kind = _KIND[buf]
+    edge = np.empty(len(buf), bool)
+    if len(buf):
+        edge[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+        edge[run.starts[run.starts < len(buf)]] = True
+    at = np.flatnonzero(edge)
+    stop = np.append(at[1:], len(buf))
+    solid = kind[at] > 0
+    starts, ends = at[solid], stop[solid]
+    first = np.searchsorted(starts, np.append(run.starts, len(buf)))
+    doc = np.repeat(np.arange(run.n), np.diff(first))
+    ids = digests(digest_table(buf), starts, ends) if len(starts) else np.zeros(0, U64)
+    return Words(starts, ends, doc, first, ids)

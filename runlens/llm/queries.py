@@ -3,6 +3,7 @@
 from runlens.llm import (  # noqa: F401
     exact_dedup,
     mixing,
+    quality,
     sharding,
 )
 from runlens.llm.registry import ORACLE_SQL, QUERIES
