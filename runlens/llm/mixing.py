@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.llm.registry import query, table
+from runlens.llm.registry import query, stored, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 128
 SLOTS_PER_SHARD = 8192
 MAX_SOURCES = 1_000_000
-ROWS_PER_RUN = 200_000
+ROWS_PER_RUN = 4000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -123,7 +123,8 @@ def plan(docs: DataFrame, source: str = "source", row_id: str = "doc_id", text:
     table gives three empty results.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(row_id).alias("_id"), F.col(source).alias("_name"), word_count(F.col(text)).alias("_size"))
+    rows = stored(docs.select(F.col(row_id).alias("_id"), F.col(source).alias("_name"),
+                              word_count(F.col(text)).alias("_size")), "mix-sizes")
     per_source = rows.groupBy("_name").agg(F.sum("_size").alias("words"), F.count("*").alias("rows"))
     held = per_source.limit(MAX_SOURCES + 1).collect()
     if len(held) > MAX_SOURCES:
@@ -182,14 +183,15 @@ def _slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: in
 def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: (mix_shard, source number, slot, block) with the pieces that fill the block."""
     _, pieces, slots = plan(docs, **options)
-    return slots.join(pieces, ["_source", "block"])
+    return slots.hint("merge").join(pieces, ["_source", "block"])
 
 
 def taken_pieces(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces with ``uses``): how often the mix uses each block, joined by index."""
     rows, pieces, slots = plan(docs, **options)
     uses = slots.groupBy("_source", "block").agg(F.count("*").alias("uses"))
-    return rows, pieces.join(uses, ["_source", "block"])
+    # The plan sees few runs of slots before they are exploded and would broadcast what grows with the corpus.
+    return rows, pieces.join(uses.hint("merge"), ["_source", "block"])
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id", source: str = "source",

@@ -5,6 +5,7 @@ from runlens.llm import (  # noqa: F401
     mixing,
     quality,
     sharding,
+    toxicity,
 )
 from runlens.llm.registry import ORACLE_SQL, QUERIES
 
