@@ -14,14 +14,37 @@ their full text instead.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm.registry import query, stored
 from runlens.session import work_path
-from runlens.streaming.stateful import rocksdb_state
 
 ROWS_PER_SALT = 1000
+# Changes are logged instead of whole stores, and a store is closed when its task ends: an executor
+# holds open only the stores of the tasks it runs, however many partitions the state has.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started in this block keep their state in RocksDB."""
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def sha256(text: Column) -> Column:
@@ -52,7 +75,7 @@ def run_stream(spark: SparkSession, path: str, checkpoint: str, updates: str, *,
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-    with rocksdb_state(spark):
+    with disk_state(spark):
         running = (groups.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
                    .trigger(availableNow=True).foreachBatch(write).start())
         running.awaitTermination()
@@ -69,7 +92,7 @@ def groups_of(spark: SparkSession, updates: str) -> DataFrame:
 def collided(rows: DataFrame, groups: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Digests of groups in which a row's bytes differ from those of the row that is kept."""
     many = groups.where("group_size > 1").withColumn("salts", (F.col("group_size") / rows_per_salt).cast("int") + 1)
-    hits = rows.join(many, "digest")
+    hits = stored(rows.join(many, "digest"), "dedup-hits")
     kept = (hits.where(F.col("row") == F.col("keep"))
             .select("digest", F.col("body").alias("kept_body"),
                     F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
