@@ -26,9 +26,9 @@ from runlens.llm.labelled import examples
 from runlens.llm.registry import query, remainder, stored, table
 
 BITS = 18
-MAX_EXAMPLES = 16_384
+MAX_EXAMPLES = 6144
 SHARDS = 8
-PASSES = 4
+PASSES = 3
 UPDATES = 30_000
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.01, 0.01
 THRESHOLD = 0.3
@@ -82,11 +82,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
                 own = slice(run.first, run.first + run.n)
                 yield pa.RecordBatch.from_pydict({
                     "id": ids[own], "y": y[own],
-                    "at": [np.append(at[a:b], size - 1) for a, b in zip(cut[:-1], cut[1:])],
-                    "x": [np.append(x[a:b], 1.0) for a, b in zip(cut[:-1], cut[1:])]})
+                    "at": [np.append(at[a:b], size - 1).astype(np.int32) for a, b in zip(cut[:-1], cut[1:])],
+                    "x": [np.append(x[a:b], 1.0).astype(np.float32) for a, b in zip(cut[:-1], cut[1:])]})
 
     rows = stored(examples(docs, labels, label, limit, **names)
-                  .mapInArrow(vectors, "id long, y int, at array<long>, x array<double>")
+                  .mapInArrow(vectors, "id long, y int, at array<int>, x array<float>")
                   .withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards))), "vectors")
     z, n = np.zeros(size), np.zeros(size)
     for number in range(passes):
