@@ -2,6 +2,7 @@
 
 from runlens.llm import (  # noqa: F401
     exact_dedup,
+    jaccard_join,
     mixing,
     quality,
     sharding,
