@@ -4,6 +4,7 @@ from runlens.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
     jaccard_join,
+    lm,
     mixing,
     quality,
     sharding,
