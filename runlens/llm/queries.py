@@ -8,6 +8,7 @@ from runlens.llm import (  # noqa: F401
     mixing,
     quality,
     sharding,
+    suffix_dedup,
     toxicity,
 )
 from runlens.llm.registry import ORACLE_SQL, QUERIES
