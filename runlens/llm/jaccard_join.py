@@ -165,6 +165,16 @@ def _fits(na: Column, nb: Column, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
 
 
+def _possible(c: Column, a: str, b: str, percent: int) -> Column:
+    """Whether sizes and the sum ``c`` over the first block leave the threshold within reach.
+
+    In the set whose block ends first, what is not shared inside the block is not shared at all.
+    """
+    of = lambda name, side: F.col(f"{side}.{name}")
+    missed = F.when(of("last", a) <= of("last", b), of("n", a) - (of("p", a) - c)).otherwise(of("n", b) - (of("p", b) - c))
+    return missed >= needed(of("n", a), of("n", b), percent)
+
+
 def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int = WORDS,
          percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, n_links, component_id) for every row.
@@ -195,6 +205,10 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     star = (long.join(pivots, ["k", "band"]).where(F.col("nid") != F.col("pivot.nid"))
             .where(_fits(F.col("n"), F.col("pivot.n"), percent))
             .select(F.least("nid", "pivot.nid").alias("a"), F.greatest("nid", "pivot.nid").alias("b")).distinct())
+    rows_of = F.struct("n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), "prefix")
+    star = (star.join(nodes.select(F.col("nid").alias("a"), rows_of.alias("x")), "a")
+            .join(nodes.select(F.col("nid").alias("b"), rows_of.alias("y")), "b")
+            .where(_possible(F.size(F.array_intersect("x.prefix", "y.prefix")), "x", "y", percent)).select("a", "b"))
     first = stored(_verified(rows, nodes, star, words, percent), "jaccard-links")
     roots = components(first)
 
@@ -207,11 +221,9 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     products = (open_.join(other, "k").where((F.col("nid") < F.col("nid_b")) & (F.col("root") != F.col("root_b")))
                 .where(_fits(F.col("n"), F.col("n_b"), percent)))
     sums = products.groupBy("nid", "nid_b").agg(
-        F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("n", "p", "last", "n_b", "p_b", "last_b")])
-    # In the set whose block ends first, what is not shared there is not shared at all.
-    missed = F.when(F.col("last") <= F.col("last_b"), F.col("n") - (F.col("p") - F.col("c"))) \
-        .otherwise(F.col("n_b") - (F.col("p_b") - F.col("c")))
-    left = sums.where(missed >= needed(F.col("n"), F.col("n_b"), percent)) \
+        F.count("*").alias("c"), F.first(F.struct("n", "p", "last")).alias("x"),
+        F.first(F.struct(F.col("n_b").alias("n"), F.col("p_b").alias("p"), F.col("last_b").alias("last"))).alias("y"))
+    left = sums.where(_possible(F.col("c"), "x", "y", percent)) \
         .select(F.col("nid").alias("a"), F.col("nid_b").alias("b"))
     second = _verified(rows, nodes, left, words, percent)
     links = stored(first.union(second).select("a", "b").distinct(), "jaccard-all-links")
