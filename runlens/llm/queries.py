@@ -3,6 +3,7 @@
 from runlens.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
+    html_text,
     jaccard_join,
     lm,
     mixing,
