@@ -3,20 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import sharding
+from runlens.llm import decontamination, jaccard_join, mixing, sharding, toxicity
 from runlens.llm.registry import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples call toxic go."""
+    docs = docs.select(*COLUMNS)
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that n-gram Jaccard links connect, the one with the smallest id stays."""
+    groups = jaccard_join.join(docs.select("doc_id", "text"))
+    stays = stored(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+                   .select(F.col("doc_id").alias("stays")).distinct(), "near-copies")
+    return docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontamination.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and with those of their words, as the mix takes them."""
+    return mixing.mixed_documents(docs.select(*COLUMNS))
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards of near-equal bytes; the last stage, so ``shard`` and ``slot`` follow the columns of documents."""
     return sharding.shard(docs.select(*COLUMNS))
 
 
 STAGES = [
-    ("sharding", shard_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_copies_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
 ]
 
 # Model scores, random draws and sampled splitters have no SQL; tests compare with brute force instead.

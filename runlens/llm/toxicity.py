@@ -218,6 +218,25 @@ def score(docs: DataFrame, model: Model, text: str = "text", row_id: str = "doc_
         .withColumnRenamed("id", row_id)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows whose score is below ``threshold``, columns untouched; they are judged where they are read."""
+    index = model.index
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = np.full(batch.num_rows, -1.0)
+            for run in B.slices(batch[text]):
+                doc, term, count = term_counts(run, index.terms)
+                cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+                for a, b in zip(cut, np.append(cut[1:], len(doc))):
+                    found, cosines = index.nearest(term[a:b], index.weigh(term[a:b], count[a:b]), model.k)
+                    if len(found):
+                        votes[run.first + doc[a]] = index.vote(found, cosines)
+            yield batch.filter(pa.array(model.chance(votes) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
