@@ -41,6 +41,10 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN)
 
 
+def filled_words_of(text: Column) -> Column:
+    return F.filter(words_of(text), lambda x: x != "")
+
+
 def with_shingles(rows: DataFrame) -> DataFrame:
     """Adds ``h``, the digest of the five words of ``w`` from each position on."""
     rows = rows.withColumn("w1", F.transform("w", lambda x: F.xxhash64(x)))
@@ -52,8 +56,7 @@ def with_shingles(rows: DataFrame) -> DataFrame:
 
 def _items(benchmark: DataFrame, text: str, row_id: str) -> DataFrame:
     """(item, words, h) of the items with at least five words."""
-    whole = F.filter(words_of(F.col(text)), lambda x: x != "")
-    rows = with_shingles(benchmark.select(F.col(row_id).alias("item"), whole.alias("w")))
+    rows = with_shingles(benchmark.select(F.col(row_id).alias("item"), filled_words_of(F.col(text)).alias("w")))
     return rows.select("item", "w", "h", F.size("w").alias("words")).where(F.size("h") > 0)
 
 
@@ -155,9 +158,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_id: str
     entered = with_fingerprint(marked, ["key"])
     rows = docs.select(F.col(row_id).alias("doc"), F.col(text).alias("text"))
     near = stored(_candidates(rows, probes), "leak-candidates").withColumnRenamed("doc", "of")
-    read = rows.join(near, F.col("doc").eqNullSafe(F.col("of"))).select("doc", words_of(F.col("text")).alias("w"))
-    read = stored(with_shingles(read).select("doc", "h", (F.col("w")[0] == "").cast("int").alias("shift"),
-                                             F.monotonically_increasing_id().alias("row")), "leak-shingles")
+    read = rows.join(near, F.col("doc").eqNullSafe(F.col("of"))).select("doc", filled_words_of(F.col("text")).alias("w"))
+    read = stored(with_shingles(read).select("doc", "h", F.monotonically_increasing_id().alias("row")), "leak-shingles")
     hits = read.select("row", F.posexplode("h").alias("pos", "probe")).join(probes.select("probe", "words").distinct(), "probe")
     about = hits.groupBy("row").agg(F.collect_set(F.struct("pos", "words")).alias("hits"))
     found = read.join(about, "row")
@@ -165,8 +167,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_id: str
     starts = F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(
         F.sequence(F.greatest(x["pos"] - (x["words"] - WORDS), F.lit(0)), x["pos"]),
         lambda s: F.struct(s.alias("start"), x["words"].alias("words")))))))
-    windows = (found.select("doc", "h", "shift", starts.alias("at"))
-               .select("doc", (F.col("at.start") - F.col("shift")).alias("start"), "at.words", F.slice("h", F.col("at.start") + 1, F.col("at.words") - (WORDS - 1)).alias("h"))
+    windows = (found.select("doc", "h", starts.alias("at"))
+               .select("doc", "at.start", "at.words", F.slice("h", F.col("at.start") + 1, F.col("at.words") - (WORDS - 1)).alias("h"))
                .withColumn("key", F.xxhash64("doc", "start", "words", "h")).where(F.size("h") > 0))
     windows = stored(with_fingerprint(stored(windows, "leak-windows").dropDuplicates(["key"]), ["key"]), "leak-marked")
     pairs = within_radius(windows.select(F.col("key").alias("doc"), "start", "words", "fp"),
