@@ -8,7 +8,7 @@ sizes rule the threshold out is discarded, and only the others get the product o
 as an intersection of their whole sets.
 
 Documents with one and the same set are one row of the matrix. Columns with many rows are first
-multiplied with a few pivot rows each; pairs that these links already connect are not formed again. The
+multiplied with one pivot row per band of sizes; pairs that these links already connect are not formed again. The
 order of n-grams takes the ``MAX_HOT`` most frequent ones of a part of the documents; it decides how many
 pairs are looked at, never which are found.
 """
@@ -30,7 +30,7 @@ WORDS = 3
 PERCENT = 90
 MAX_HOT = 65_536
 PART = 32
-PIVOTS = 4
+PIVOTS = 1
 LONG_COLUMN = 32
 BROADCAST_IDS = 1_000_000
 _HOT = 1 << 62
@@ -196,7 +196,7 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     shared = block.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1")
     block = stored(block.join(shared, "k"), "jaccard-block")
 
-    # Long columns: a few pivot rows each, chosen by digests, among rows of about the same size.
+    # Long columns: pivot rows, chosen by digests, among rows of about the same size.
     long = block.where(F.col("rows") >= LONG_COLUMN).withColumn(
         "band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))))
     chosen = [F.min_by(F.struct("nid", "n"), F.xxhash64("nid", "k", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
