@@ -186,7 +186,7 @@ def _(t):
     return sync.backfill(t.replica, t.source, ["mode"]).select("id", "mode")
 
 
-@query("m9_backfill_chunk", "SELECT id FROM replica WHERE id > 100 AND mode IS NULL ORDER BY id LIMIT 2000")
+@query("m9_backfill_chunk", "SELECT id FROM replica WHERE id > 100 AND mode IS NULL ORDER BY id")
 def _(t):
     return sync.backfill_chunk(t.replica, 100)
 
@@ -241,6 +241,31 @@ def _(t):
     return settings.check_roi_entries(_entries(t), t.workflows, member_scope(t)).select("workflow_id", "reject_reason")
 
 
+_REQUEST = """request AS (
+  SELECT row_number() OVER (ORDER BY p_partkey) AS position, CAST(p_partkey % 60 AS VARCHAR) AS workflow_id,
+    p_size + CAST(0.5 AS DOUBLE) AS saved_time_seconds,
+    CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS hourly_rate
+  FROM part WHERE p_partkey % 60 <> 0)"""
+
+
+@query("m13_updated_settings", f"""
+, {_REQUEST}, last_entries AS (
+  SELECT workflow_id, saved_time_seconds, coalesce(hourly_rate, 0) AS hourly_rate FROM request
+  QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY position DESC) = 1)
+SELECT coalesce(n.workflow_id, o.workflow_id) AS workflow_id,
+  coalesce(n.saved_time_seconds, CAST(o.saved_time_seconds AS DOUBLE)) AS saved_time_seconds,
+  coalesce(n.hourly_rate, o.hourly_rate) AS hourly_rate
+FROM workflow_settings o FULL JOIN last_entries n ON o.workflow_id = n.workflow_id""")
+def _(t):
+    key = F.col("p_partkey")
+    request = t.raw("part").filter(key % 60 != 0).select(
+        key.alias("position"), (key % 60).cast("string").alias("workflow_id"),
+        (F.col("p_size") + F.lit(0.5)).alias("saved_time_seconds"),
+        F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("double")).alias("hourly_rate"))
+    current = t.settings.withColumn("saved_time_seconds", F.col("saved_time_seconds").cast("double"))
+    return settings.update_roi_settings(current, request, t.workflows)
+
+
 @query("m15_carried_over", f"""
 , {_CACHE}, {_SERIES}
 SELECT * FROM series UNION ALL

@@ -36,17 +36,19 @@ def _(t):
 
 
 @query("s2_initial_load", """
-SELECT * FROM execution_entity WHERE started_at > TIMESTAMP '2024-01-17 00:00:00'""")
+SELECT * FROM execution_entity""")
 def _(t):
-    return sync.initial_load(readers.source_executions(t.executions), AS_OF)
+    return sync.initial_load(readers.source_executions(t.executions))
 
 
 @query("s3_incremental_read", """
 SELECT * FROM source
-WHERE id > greatest(0, least((SELECT max(id) FROM replica), (SELECT max(id) FROM source)) - 500)""")
+WHERE id > least((SELECT max(id) FROM replica), (SELECT max(id) FROM source))
+  OR (id >= (SELECT min(id) FROM replica) AND id NOT IN (SELECT id FROM replica))""")
 def _(t):
-    mark = sync.high_water(t.replica, t.source).select("high_water").scalar()
-    return sync.incremental(t.source, mark)
+    low, mark = t.replica.agg(F.min("id")).first()[0], sync.high_water(t.replica, t.source).first()["high_water"]
+    gaps = sync.remaining_gaps(sync.id_ranges(t.spark, low, mark), t.replica)
+    return sync.incremental(t.source, mark, gaps)
 
 
 @query("s4_watermark_clamp", """
@@ -67,10 +69,10 @@ def _(t):
 
 @query("s6_size_capped_payload", """
 SELECT doc_id, CAST(strlen(text) AS BIGINT) AS data_bytes,
-  CASE WHEN strlen(text) <= 5000 THEN md5(text) END AS text_digest
+  md5(text) AS text_digest
 FROM documents""")
 def _(t):
-    rows = capped(t.raw("documents").select("doc_id", F.col("text").alias("data")), cap=5000)
+    rows = capped(t.raw("documents").select("doc_id", F.col("text").alias("data")))
     return rows.select("doc_id", "data_bytes", F.md5("data").alias("text_digest"))
 
 
@@ -197,7 +199,7 @@ def _(t):
 
 
 @query("p10_group_key", """
-SELECT id FROM errors WHERE substr(error_message, 1, 200) = 'something went wrong'""")
+SELECT id FROM errors WHERE error_message = 'something went wrong'""")
 def _(t):
     return t.errors.filter(text.error_summary(F.col("error_message")) == "something went wrong").select("id")
 
@@ -205,7 +207,7 @@ def _(t):
 @query("p11_due", """
 SELECT id FROM replica WHERE analytics_status = 'pending'
   AND (analytics_next_attempt IS NULL OR analytics_next_attempt <= TIMESTAMP '2024-01-31')
-ORDER BY id DESC LIMIT 500""")
+""")
 def _(t):
     return queue.due(t.replica, AS_OF)
 

@@ -13,7 +13,7 @@ from runlens.sources.sample import AS_OF
 
 WEEK = metrics_range(as_of=AS_OF)
 HOURS = metrics_range("2024-01-28T10:20:00Z", "2024-01-30T13:30:00Z", as_of=AS_OF)
-CAPPED = metrics_range("2023-11-01T00:00:00Z", "2024-01-30T13:30:00Z", as_of=AS_OF)
+LONG = metrics_range("2023-11-01T00:00:00Z", "2024-01-30T13:30:00Z", as_of=AS_OF)
 NAME = "Customer#000000005"
 DAY = "2024-01-29T00:00:00Z"
 
@@ -70,9 +70,9 @@ def _(t):
 
 
 @query("r1a_kpi_summary_capped",
-       _summary_sql("2023-12-01 13:30:00", "2024-01-30 13:30:00", "2023-10-02 13:30:00"))
+       _summary_sql("2023-11-01", "2024-01-30 13:30:00", "2023-08-02 10:30:00"))
 def _(t):
-    return kpi.kpi_summary(t.executions, t.workflows, CAPPED)
+    return kpi.kpi_summary(t.executions, t.workflows, LONG)
 
 
 @query("r1b_status_timeline_days", _timeline_sql("2024-01-24", 86_400, 8, "2024-01-24", "2024-01-31"))
@@ -97,13 +97,13 @@ def _(t):
 
 
 @query("r1c_forecast_days", f"""
-, timeline AS ({_timeline_sql("2023-12-01", 86_400, 61, "2023-12-01 13:30:00", "2024-01-30 13:30:00")})
-SELECT bucket_idx, time_val, CASE WHEN bucket_idx = 60 THEN CAST(floor((success_count * (CAST(24 AS DOUBLE) / CAST(13.5 AS DOUBLE))
+, timeline AS ({_timeline_sql("2023-11-01", 86_400, 91, "2023-11-01", "2024-01-30 13:30:00")})
+SELECT bucket_idx, time_val, CASE WHEN bucket_idx = 90 THEN CAST(floor((success_count * (CAST(24 AS DOUBLE) / CAST(13.5 AS DOUBLE))
     + (lag(success_count, 1) OVER (ORDER BY bucket_idx) + lag(success_count, 2) OVER (ORDER BY bucket_idx)) / CAST(2 AS DOUBLE))
     / CAST(2 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) ELSE success_count END AS success_count, error_count
 FROM timeline""")
 def _(t):
-    return kpi.with_forecast(kpi.status_timeline(t.executions, t.workflows, CAPPED), CAPPED)
+    return kpi.with_forecast(kpi.status_timeline(t.executions, t.workflows, LONG), LONG)
 
 
 _SHARE = f"""shares AS (
@@ -114,7 +114,7 @@ _SHARE = f"""shares AS (
   WHERE {_IN_WEEK} GROUP BY w.id, w.name)"""
 
 
-@query("r1d_workflow_share", f", {_SHARE} SELECT * FROM shares")
+@query("r1d_workflow_share", f", {_SHARE} SELECT * FROM shares ORDER BY execution_count DESC, workflow_id")
 def _(t):
     return kpi.workflow_share(t.executions, t.workflows, WEEK)
 
@@ -127,7 +127,7 @@ def _(t):
 SELECT CASE WHEN covered < 9000 THEN workflow_id END AS workflow_id,
   CASE WHEN covered < 9000 THEN workflow_name ELSE 'Rest Workflows' END AS label,
   CAST(sum(execution_count) AS BIGINT) AS execution_count
-FROM running GROUP BY 1, 2""")
+FROM running GROUP BY 1, 2 ORDER BY workflow_id IS NULL, execution_count DESC, workflow_id""")
 def _(t):
     return kpi.pareto(kpi.workflow_share(t.executions, t.workflows, WEEK))
 
@@ -147,7 +147,7 @@ def _(t):
 SELECT w.name, e.status, e.started_at, e.stopped_at, e.id AS exec_id, {_MICROS} / CAST(1000000 AS DOUBLE) AS duration
 FROM execution_entity e JOIN workflow_entity w ON e.workflow_id = w.id
 WHERE stopped_at IS NOT NULL AND started_at < TIMESTAMP '2024-01-15'
-ORDER BY started_at DESC, exec_id DESC LIMIT 100""")
+ORDER BY started_at DESC, exec_id DESC LIMIT 1000""")
 def _(t):
     return listing.execution_listing(t.executions, t.workflows, limit=1000,
                                      after=(AS_OF.replace(day=15), -1))
@@ -178,7 +178,7 @@ SELECT w.id, w.name, coalesce(s.saved_time_seconds, 0) AS saved_time_seconds,
   count(e.id) FILTER (e.started_at >= TIMESTAMP '2024-01-01') AS executions_30d
 FROM workflow_entity w LEFT JOIN workflow_settings s ON w.id = s.workflow_id
 LEFT JOIN execution_entity e ON w.id = e.workflow_id AND e.status = 'success'
-GROUP BY 1, 2, 3, 4""")
+GROUP BY 1, 2, 3, 4 ORDER BY name, id""")
 def _(t):
     return roi.roi_settings(t.workflows, t.settings, t.executions, AS_OF)
 
@@ -210,7 +210,7 @@ def _(t):
 SELECT w.id, w.name, count(*) AS executions, count(*) * coalesce(s.saved_time_seconds, 0) AS time_saved_seconds,
   count(*) * coalesce(s.saved_time_seconds, 0) * coalesce(s.hourly_rate, 0) / CAST(3600 AS DOUBLE) AS money_saved
 {_ROI_FROM} AND e.started_at >= TIMESTAMP '2024-01-24'
-GROUP BY w.id, w.name, s.saved_time_seconds, s.hourly_rate HAVING time_saved_seconds > 0""")
+GROUP BY w.id, w.name, s.saved_time_seconds, s.hourly_rate HAVING time_saved_seconds > 0 ORDER BY time_saved_seconds DESC, w.id""")
 def _(t):
     return roi.roi_top(roi.roi_per_workflow(t.executions, t.workflows, t.settings, preset="7d", as_of=AS_OF))
 
@@ -246,7 +246,7 @@ SELECT w.name AS workflow_name, w.id AS workflow_id, e.id AS exec_id, status, st
   (epoch_us(coalesce(stopped_at, TIMESTAMP '2024-01-31')) - epoch_us(started_at)) / CAST(1000000 AS DOUBLE) AS current_duration
 FROM execution_entity e JOIN workflow_entity w ON e.workflow_id = w.id
 WHERE started_at >= TIMESTAMP '2024-01-29 08:00:00' AND started_at < TIMESTAMP '2024-01-29 14:00:00'
-ORDER BY started_at DESC, exec_id DESC LIMIT 50""")
+ORDER BY started_at DESC, exec_id DESC""")
 def _(t):
     return volume.volume_details(t.executions, t.workflows, "2024-01-29T08:00:00Z", AS_OF, "360")
 
@@ -295,7 +295,7 @@ def _(t):
 
 
 @query("r11b_category_breakdown", f"""
-SELECT error_category, count(*) AS "count" FROM errors WHERE {_ERR_WEEK} GROUP BY 1""")
+SELECT error_category, count(*) AS "count" FROM errors WHERE {_ERR_WEEK} GROUP BY 1 ORDER BY "count" DESC, error_category""")
 def _(t):
     return error_reports.category_breakdown(t.errors, WEEK)
 
@@ -303,7 +303,7 @@ def _(t):
 @query("r11c_daily_trend", """
 SELECT CAST("timestamp" AS DATE) AS day, """ + ", ".join(
     f"nullif(count(*) FILTER (error_category = '{c}'), 0) AS {c}" for c in error_reports.ALL_CATEGORIES) + f"""
-FROM errors WHERE {_ERR_WEEK} GROUP BY 1""")
+FROM errors WHERE {_ERR_WEEK} GROUP BY 1 ORDER BY day""")
 def _(t):
     return error_reports.daily_trend(t.errors, WEEK)
 
@@ -315,23 +315,23 @@ FROM (SELECT w.id AS workflow_id, w.name, count(*) FILTER (status = 'error') AS
       + CAST(0.5 AS DOUBLE)) / CAST(10 AS DOUBLE) AS health_score
   FROM execution_entity e JOIN workflow_entity w ON e.workflow_id = w.id
   WHERE {_IN_WEEK} GROUP BY 1, 2 HAVING error_count > 0)
-ORDER BY health_score, workflow_id LIMIT 15""")
+ORDER BY health_score, workflow_id""")
 def _(t):
     return error_reports.workflow_health(t.executions, t.workflows, WEEK)
 
 
 @query("r11e_error_groups", f"""
 , grouped AS (
-  SELECT error_category, node_name, substr(error_message, 1, 200) AS error_summary,
+  SELECT error_category, node_name, error_message AS error_summary,
     arg_max(node_type, ROW("timestamp", node_type)) AS node_type,
     count(*) AS "count", count(DISTINCT workflow_id) AS affected_workflows, min("timestamp") AS first_seen,
     max("timestamp") AS last_seen, list_sort(list(DISTINCT w.name)) AS names
   FROM errors e JOIN workflow_entity w ON e.workflow_id = w.id WHERE {_ERR_WEEK} GROUP BY 1, 2, 3)
 SELECT error_category, node_name, error_summary, node_type, "count", affected_workflows, first_seen, last_seen,
-  array_to_string(names[1:3], ', ') AS workflow_names,
+  array_to_string(names, ', ') AS workflow_names,
   CASE WHEN last_seen >= TIMESTAMP '2024-01-30' THEN 'active' ELSE 'recurring' END AS status
 FROM grouped
-ORDER BY "count" DESC, error_category, node_name, error_summary NULLS FIRST LIMIT 50""")
+ORDER BY "count" DESC, error_category, node_name, error_summary NULLS FIRST""")
 def _(t):
     groups = error_reports.error_groups(t.errors, t.workflows, WEEK, AS_OF)
     return groups.withColumn("workflow_names", F.concat_ws(", ", "workflow_names"))
@@ -345,21 +345,15 @@ def _(t):
 
 
 @query("r12_source_distribution", """
-SELECT workflow_id, source_node, source_output_index, "count" FROM (
-  SELECT workflow_id, source_node, source_output_index, count(*) AS "count",
-    row_number() OVER (PARTITION BY workflow_id ORDER BY count(*) DESC, source_node, source_output_index) AS rn
-  FROM errors WHERE source_node <> '' AND "timestamp" > TIMESTAMP '2024-01-24' GROUP BY 1, 2, 3)
-WHERE rn <= 5""")
+SELECT workflow_id, source_node, source_output_index, count(*) AS "count"
+FROM errors WHERE source_node <> '' AND "timestamp" > TIMESTAMP '2024-01-24' GROUP BY 1, 2, 3""")
 def _(t):
     return error_reports.source_distribution(t.errors, AS_OF)
 
 
 @query("r12_raw_errors", """
-SELECT exec_id, workflow_id, node_name, node_type, error_message, error_stack, source_node, branch, started_at
-FROM (SELECT id AS exec_id, workflow_id, node_name, node_type, error_message, error_stack, source_node,
-    source_output_index AS branch, "timestamp" AS started_at,
-    row_number() OVER (PARTITION BY workflow_id ORDER BY "timestamp" DESC, id DESC) AS rn FROM errors)
-WHERE rn <= 200""")
+SELECT id AS exec_id, workflow_id, node_name, node_type, error_message, error_stack, source_node,
+  source_output_index AS branch, "timestamp" AS started_at FROM errors""")
 def _(t):
     return error_reports.raw_errors(t.errors)
 
@@ -376,8 +370,8 @@ def _(t):
 SELECT e.id AS exec_id, "timestamp", w.name AS workflow_name
 FROM errors e JOIN workflow_entity w ON e.workflow_id = w.id
 WHERE "timestamp" >= TIMESTAMP '2024-01-05' AND "timestamp" <= TIMESTAMP '2024-01-31' AND error_category = 'auth'
-  AND node_name = 'node_2' AND substr(error_message, 1, 200) = 'Not authenticated'
-ORDER BY "timestamp" DESC, exec_id DESC LIMIT 30""")
+  AND node_name = 'node_2' AND error_message = 'Not authenticated'
+ORDER BY "timestamp" DESC, exec_id DESC""")
 def _(t):
     return error_reports.group_executions(
         t.errors, t.workflows, category="auth", node_name="node_2", summary="Not authenticated",
@@ -406,7 +400,7 @@ def _(t):
 
 @query("w7_m10_keep_last", f", {_RUNS} SELECT id FROM runs WHERE id > (SELECT max(id) FROM runs) - 500")
 def _(t):
-    return keep_last(_runs(t)).select("id")
+    return keep_last(_runs(t), 500).select("id")
 
 
 @query("r16_recent_context", """
@@ -428,7 +422,7 @@ def _(t):
 
 @query("r17_guarded_select", """
 SELECT total_rows, status, n FROM (
-  SELECT status, count(*) AS n FROM execution_entity GROUP BY 1 ORDER BY n DESC LIMIT 50),
+  SELECT status, count(*) AS n FROM execution_entity GROUP BY 1),
  (SELECT count(DISTINCT status) AS total_rows FROM execution_entity)""")
 def _(t):
     rows, total = history.guarded_select(

@@ -21,8 +21,6 @@ from pyspark.sql.types import ArrayType, StringType
 from runlens.functions.errors import resolve
 from runlens.schemas import ERROR
 
-MAX_PAYLOAD_BYTES = 5 * 1024 * 1024
-
 UNKNOWN_NODE = "Unknown Node"
 UNKNOWN_TYPE = "Unknown Type"
 NO_DETAIL = "Unknown error detail"
@@ -314,8 +312,8 @@ def trace_lookup(df: DataFrame, data: str = "data", *, full: bool = False) -> Da
     return _locate(df, data).select(*columns)
 
 
-def capped(payloads: DataFrame, cap: int = MAX_PAYLOAD_BYTES, data: str = "data") -> DataFrame:
-    """Payload text only up to ``cap`` bytes; the true size is always kept."""
+def capped(payloads: DataFrame, cap: int | None = None, data: str = "data") -> DataFrame:
+    """Payload text, if asked only up to ``cap`` bytes; the true size is always kept."""
     size = F.octet_length(data)
-    return payloads.withColumns({data: F.when(size <= cap, F.col(data)),
-                                 "data_bytes": size.cast("bigint")})
+    text = F.col(data) if cap is None else F.when(size <= cap, F.col(data))
+    return payloads.withColumns({data: text, "data_bytes": size.cast("bigint")})

@@ -10,8 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SUMMARY_CHARS = 200
-
 # Field names whose content must never be shown.
 REDACTED_KEYS = [
     "password", "passwd", "pass", "token", "authorization", "auth", "secret", "apikey",
@@ -19,7 +17,6 @@ REDACTED_KEYS = [
     "dashboard_jwt_secret",
 ]
 REDACTED = "[redacted]"
-REDACT_DEPTH = 4
 
 # White space as the web platform trims it, including no-break space and BOM.
 _SPACE = r"[\s\p{Z}\x{FEFF}]"
@@ -34,8 +31,8 @@ def blank_to_null(column: Column) -> Column:
 
 
 def error_summary(message: Column) -> Column:
-    """Grouping key of a message: its first 200 characters."""
-    return F.substring(message, 1, SUMMARY_CHARS)
+    """Grouping key of a message: all of it. Errors that only begin alike stay apart."""
+    return message
 
 
 def safe_timestamp(text: Column) -> Column:
@@ -70,44 +67,42 @@ def render_time_text(text: Column, tz: Column | str, pattern: str = "M/d/yyyy, H
     return render_time(moment, tz, pattern)
 
 
-def _redact(value: object, keys: frozenset[str], depth: int = 0) -> object:
-    if depth > REDACT_DEPTH or not isinstance(value, (dict, list)):
-        return value
-    if isinstance(value, list):
-        return [_redact(v, keys, depth + 1) for v in value]
-    return {k: REDACTED if k.lower() in keys else _redact(v, keys, depth + 1)
-            for k, v in value.items()}
+def _without_secrets(document: object, keys: frozenset[str]) -> tuple[object, bool]:
+    """The document with the values of secret keys replaced, and whether there were any; no recursion."""
+    found, todo = False, [document]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            for key in node:
+                if key.lower() in keys:
+                    node[key], found = REDACTED, True
+        if isinstance(node, (dict, list)):
+            todo.extend(node.values() if isinstance(node, dict) else node)
+    return document, found
 
 
 @F.pandas_udf(StringType())
-def _redact_nested(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     keys = frozenset(REDACTED_KEYS)
 
     def one(text: object) -> object:
         if not isinstance(text, str):
             return None
         try:
-            return json.dumps(_redact(json.loads(text), keys), ensure_ascii=False,
-                              separators=(",", ":"))
-        except ValueError:
-            return text
+            document, found = _without_secrets(json.loads(text), keys)
+            return json.dumps(document, ensure_ascii=False, separators=(",", ":")) if found else text
+        except (ValueError, RecursionError):
+            return REDACTED
 
     for batch in batches:
         yield batch.map(one)
 
 
 def redact_json(column: Column) -> Column:
-    """Replace the values of secret-looking keys in a JSON column.
+    """Replace the values of secret-looking keys in a JSON column, at every depth.
 
-    Three cases, so that Python sees only what needs it: text without such a key
-    passes untouched, a flat object is rewritten by one regular expression, and
-    only objects with nested containers go through the Arrow batch function.
+    One rule for every row: the text is parsed, so escaped key names count too. What has no such key
+    passes as it is; what cannot be parsed, or is nested too deep to be, is hidden whole, since nobody
+    can tell what it holds. NULL stays NULL.
     """
-    names = "|".join(REDACTED_KEYS)
-    has_key = column.rlike(rf'(?i)"({names})"\s*:')
-    flat = ~column.rlike(r'[\[{](?s:.*)[\[{]')
-    scalar = r'("(?:[^"\\]|\\.)*"|[^,}\s]+)'
-    by_regex = F.regexp_replace(column, rf'(?i)("(?:{names})"\s*:\s*){scalar}',
-                                rf'$1"{REDACTED}"')
-    nested = _redact_nested(F.when(has_key & ~flat, column))
-    return F.when(~has_key, column).when(flat, by_regex).otherwise(nested)
+    return _redacted(column)

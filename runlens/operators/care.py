@@ -13,9 +13,8 @@ from runlens.functions.errors import change_kind, resolve
 from runlens.functions.timegrid import ts
 from runlens.schemas import OPEN_STATUSES
 
-INPUT_RETENTION_DAYS = 30
+INPUT_RETENTION_DAYS = 0  # keep
 STACK_RETENTION_DAYS = 0
-RUN_HISTORY = 500
 
 
 # --- retention ------------------------------------------------------------------
@@ -138,8 +137,10 @@ def repair_survey(executions: DataFrame) -> DataFrame:
 
 # --- history and completeness -------------------------------------------------------
 
-def keep_last(df: DataFrame, n: int = RUN_HISTORY, key: str = "id") -> DataFrame:
-    """Rows whose key is within ``n`` of the greatest key."""
+def keep_last(df: DataFrame, n: int | None = None, key: str = "id") -> DataFrame:
+    """Rows whose key is within ``n`` of the greatest key; all without ``n``."""
+    if n is None:
+        return df
     newest = df.agg(F.max(key)).scalar()
     return df.filter(F.col(key) > newest - F.lit(n))
 

@@ -44,7 +44,7 @@ def listing_filter(*, exec_id: int | None = None, status: str | None = None,
     Both timestamps must be present; the upper bound applies to the start.
     """
     if status and status not in LISTING_STATUSES:
-        raise BadRequest("Invalid status filter.")
+        raise BadRequest(f"no such status to filter by: {status}")
     condition = F.col("started_at").isNotNull() & F.col("stopped_at").isNotNull()
     if exec_id is not None:
         condition &= F.col("id") == exec_id

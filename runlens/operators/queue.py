@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from runlens.functions.timegrid import ts
 
 # --- fixed values -----------------------------------------------------------
-BATCH_LIMIT = 500
 MAX_ATTEMPTS = 5
 BACKOFF_CAP_MINUTES = 360
 # ----------------------------------------------------------------------------
@@ -30,9 +29,10 @@ def is_due(as_of: dt.datetime) -> Column:
         F.col("analytics_next_attempt").isNull() | (F.col("analytics_next_attempt") <= ts(as_of)))
 
 
-def due(executions: DataFrame, as_of: dt.datetime, limit: int = BATCH_LIMIT) -> DataFrame:
-    """The newest due ids, one cycle's worth."""
-    return executions.filter(is_due(as_of)).select("id").orderBy(F.desc("id")).limit(limit)
+def due(executions: DataFrame, as_of: dt.datetime, limit: int | None = None) -> DataFrame:
+    """All due ids, or the oldest ``limit`` of them: new failures never keep old ones waiting."""
+    ids = executions.filter(is_due(as_of)).select("id")
+    return ids if limit is None else ids.orderBy("id").limit(limit)
 
 
 def enqueue(executions: DataFrame, ids: DataFrame) -> DataFrame:

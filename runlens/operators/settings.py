@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from runlens.functions.text import safe_timestamp
 from runlens.operators.scope import EVERYTHING, Scope
-from runlens.operators.upsert import upsert
-from runlens.params import MAX_HOURLY_RATE, MAX_SAVED_SECONDS, MAX_SETTINGS_ENTRIES, BadRequest
+from runlens.operators.upsert import latest_by_key, upsert
+from runlens.params import MAX_HOURLY_RATE, MAX_SAVED_SECONDS, BadRequest
 
 
 def check_date_pairs(requests: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -51,19 +51,24 @@ def check_roi_entries(entries: DataFrame, workflows: DataFrame, scope: Scope = E
         .when(outside(rate, MAX_HOURLY_RATE), "hourly_rate out of range")
         .when(F.col("_known").isNull() | ~F.col("visible"), "unknown workflow"))
     return (joined.withColumns({"hourly_rate": rate, "reject_reason": reason})
-            .select("workflow_id", "saved_time_seconds", "hourly_rate", "reject_reason"))
+            .drop("_known", "visible"))
 
 
 def update_roi_settings(current: DataFrame, entries: DataFrame, workflows: DataFrame,
-                        scope: Scope = EVERYTHING) -> DataFrame:
-    """All-or-nothing upsert: one bad entry refuses the whole request."""
-    if entries.limit(MAX_SETTINGS_ENTRIES + 1).count() > MAX_SETTINGS_ENTRIES:
-        raise BadRequest("Too many settings in one request.")
+                        scope: Scope = EVERYTHING, position: str = "position", shown: int = 20) -> DataFrame:
+    """All-or-nothing upsert: one bad entry refuses the whole request.
+
+    Entries may number themselves in a column ``position``; of several for one workflow the last one counts.
+    Seconds keep their fraction. The refusal names up to ``shown`` entries and how many there are.
+    """
+    if position not in entries.columns:
+        entries = entries.withColumn(position, F.monotonically_increasing_id())
     checked = check_roi_entries(entries, workflows, scope)
-    rejects = checked.filter("reject_reason is not null").limit(5).collect()
-    if rejects:
-        shown = ", ".join(f"{r.workflow_id}: {r.reject_reason}" for r in rejects)
-        raise BadRequest(f"Rejected settings: {shown}")
-    accepted = checked.drop("reject_reason").withColumn(
-        "saved_time_seconds", F.col("saved_time_seconds").cast("bigint"))
+    refused = checked.filter("reject_reason is not null")
+    first = refused.limit(shown).collect()
+    if first:
+        reasons = "; ".join(f"{r.workflow_id} ({r.reject_reason})" for r in first)
+        raise BadRequest(f"{refused.count()} entries cannot be stored, among them {reasons}")
+    accepted = latest_by_key(checked, "workflow_id", [position]).select(
+        "workflow_id", F.col("saved_time_seconds").cast("double").alias("saved_time_seconds"), "hourly_rate")
     return upsert(current, accepted, "workflow_id")

@@ -11,14 +11,12 @@ UTC = dt.timezone.utc
 
 # --- fixed values -----------------------------------------------------------
 MIN_YEAR, MAX_YEAR = 2000, 2100
-MAX_RANGE = dt.timedelta(days=60)
 DEFAULT_RANGE = dt.timedelta(days=7)
 DAY_GRID_ABOVE = dt.timedelta(days=4)
 LOOKBACK_HOURS = {"24h": 24, "48h": 48, "7d": 168, "30d": 720}
 PICKER_LOOKBACK_HOURS = {"24h": 24, "48h": 48, "7d": 168, "14d": 336, "30d": 720}
 MAX_SAVED_SECONDS = 86_400
 MAX_HOURLY_RATE = 100_000
-MAX_SETTINGS_ENTRIES = 1_000
 VOLUME_STEP = dt.timedelta(minutes=5)
 VOLUME_BUCKETS = 288
 # ----------------------------------------------------------------------------
@@ -49,14 +47,14 @@ def parse_range(start: object, end: object) -> tuple[dt.datetime, dt.datetime] |
     if start in absent and end in absent:
         return None
     if start in absent or end in absent:
-        raise BadRequest("startDate and endDate must be provided together.")
+        raise BadRequest("a range needs both its start and its end")
     lo, hi = parse_iso_date(start), parse_iso_date(end)
     if lo is None:
-        raise BadRequest(f"startDate is not a valid date: {str(start)[:60]}")
+        raise BadRequest(f"cannot read the start of the range: {start}")
     if hi is None:
-        raise BadRequest(f"endDate is not a valid date: {str(end)[:60]}")
+        raise BadRequest(f"cannot read the end of the range: {end}")
     if lo > hi:
-        raise BadRequest("startDate must be before endDate.")
+        raise BadRequest("the range ends before it starts")
     return lo, hi
 
 
@@ -85,27 +83,27 @@ class ReportRange:
 
     @property
     def bucket_count(self) -> int:
-        """At most 98 hour buckets or 62 day buckets, because the range is capped."""
+        """At most 98 hour buckets, because longer ranges have day buckets: some 37,000 in the years allowed."""
         span = (self.end - self.origin).total_seconds()
         return int(span // self.step_seconds) + 1
 
 
 def metrics_range(start: object = None, end: object = None, *, as_of: dt.datetime,
-                  tz: str = "UTC") -> ReportRange:
-    """KPI range: last seven days by default, capped at sixty days before the end."""
+                  tz: str = "UTC", longest: dt.timedelta | None = None) -> ReportRange:
+    """KPI range: last seven days by default. A caller that wants to show no more than ``longest`` says so."""
     given = parse_range(start, end)
     if given is None:
         hi = parse_iso_date(as_of)
         lo = hi - DEFAULT_RANGE
         return ReportRange(lo, hi, lo - DEFAULT_RANGE, "day", tz)
     lo, hi = given
-    lo = max(lo, hi - MAX_RANGE)
+    lo = max(lo, hi - longest) if longest else lo
     length = hi - lo
     return ReportRange(lo, hi, lo - length, "day" if length > DAY_GRID_ABOVE else "hour", tz)
 
 
 def error_range(start: object = None, end: object = None, *, as_of: dt.datetime) -> ReportRange:
-    """Error-report range: same default, no cap, always a day grid."""
+    """Error-report range: same default, always a day grid."""
     given = parse_range(start, end)
     hi = given[1] if given else parse_iso_date(as_of)
     lo = given[0] if given else hi - DEFAULT_RANGE
@@ -135,9 +133,9 @@ def valid_time_zone(name: object) -> bool:
 def validate_setting(key: object, value: object) -> str | None:
     """None when the global setting may be stored, otherwise the reason it may not."""
     if not isinstance(key, str) or key == "":
-        return "A setting key is required."
+        return "the setting has no key"
     if key != "timezone":
-        return f'Unknown setting "{key}". Allowed: timezone.'
+        return f"{key} cannot be set; only timezone can"
     if not valid_time_zone(value):
-        return f'Invalid value for "{key}", expected an IANA time zone name, for example Europe/Athens.'
+        return f"{key} needs the name of a time zone such as Asia/Tokyo"
     return None

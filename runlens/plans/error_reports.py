@@ -17,9 +17,7 @@ from runlens.params import BadRequest, ReportRange, parse_range
 from runlens.plans.listing import named
 from runlens.schemas import ALL_CATEGORIES
 
-# --- fixed values: how many rows each report shows ------------------------------
-HEALTH_ROWS, GROUP_ROWS, GROUP_NAMES = 15, 50, 3
-RAW_ROWS, SOURCE_ROWS, GROUP_EXECUTION_ROWS = 200, 5, 30
+# --- fixed values ----------------------------------------------------------------
 DRILLDOWN = dt.timedelta(days=7)
 ACTIVE = dt.timedelta(hours=24)
 # ------------------------------------------------------------------------------
@@ -59,64 +57,60 @@ def error_totals(errors: DataFrame, executions: DataFrame, period: ReportRange,
 
 def category_breakdown(errors: DataFrame, period: ReportRange, scope: Scope = EVERYTHING) -> DataFrame:
     rows = scope.narrow(errors.filter(within("timestamp", period.start, period.end)), "workflow_id")
-    return rows.groupBy("error_category").agg(F.count("*").alias("count"))
+    return (rows.groupBy("error_category").agg(F.count("*").alias("count"))
+            .orderBy(F.desc("count"), "error_category"))
 
 
 def daily_trend(errors: DataFrame, period: ReportRange, scope: Scope = EVERYTHING) -> DataFrame:
     """Errors per UTC day, one column per category; an absent pair stays NULL."""
     rows = scope.narrow(errors.filter(within("timestamp", period.start, period.end)), "workflow_id")
     return (rows.groupBy(F.to_date("timestamp").alias("day"))
-            .pivot("error_category", ALL_CATEGORIES).count())
+            .pivot("error_category", ALL_CATEGORIES).count().orderBy("day"))
 
 
 def workflow_health(executions: DataFrame, workflows: DataFrame, period: ReportRange,
-                    scope: Scope = EVERYTHING) -> DataFrame:
-    """The fifteen least healthy workflows among those with errors."""
+                    scope: Scope = EVERYTHING, n: int | None = None) -> DataFrame:
+    """Workflows with errors, the least healthy first; with ``n`` only so many."""
     rows = scope.narrow(executions.filter(within("started_at", period.start, period.end)), "workflow_id")
     stats = rows.groupBy("workflow_id").agg(
         F.count_if(F.col("status") == "error").alias("error_count"), F.count("*").alias("total_runs"))
     score = round_half_up(
         (F.lit(1.0) - F.col("error_count").cast("double") / F.col("total_runs")) * F.lit(100), 1)
-    return (named(stats.filter("error_count > 0"), workflows)
+    ranked = (named(stats.filter("error_count > 0"), workflows)
             .withColumn("health_score", score)
             .withColumn("health_band", health_band(F.col("health_score")))
             .select("workflow_id", "name", "error_count", "total_runs", "health_score", "health_band")
-            .orderBy("health_score", "workflow_id").limit(HEALTH_ROWS))
+            .orderBy("health_score", "workflow_id"))
+    return ranked if n is None else ranked.limit(n)
 
 
 def error_groups(errors: DataFrame, workflows: DataFrame, period: ReportRange, as_of: dt.datetime,
-                 scope: Scope = EVERYTHING) -> DataFrame:
-    """The fifty largest groups of alike errors.
+                 scope: Scope = EVERYTHING, n: int | None = None, names: int | None = None) -> DataFrame:
+    """Groups of alike errors, the largest first; with ``n`` only so many.
 
-    Alike: same category, node and first 200 characters. Errors are folded per
-    group, workflow and node type first, with counters that hash aggregation can
-    update in place; names are joined to that small table. They are looked up for
-    the fifty groups only, and a group's names are trimmed to three before they
-    are gathered. The node type is the one of the group's latest error.
+    Alike: same category, node and message. Errors are folded once per group, workflow and node type, on a
+    digest of the message and with counters that hash aggregation updates in place; workflow names are joined
+    to that small table. A group lists its workflows' names in order, with ``names`` only the first of them.
+    The node type is the one of the group's latest error.
     """
     rows = scope.narrow(errors.filter(within("timestamp", period.start, period.end)), "workflow_id")
     folded = (rows.withColumn("error_summary", error_summary(F.col("error_message")))
-              .groupBy(*GROUP_KEYS, "workflow_id", "node_type")
-              .agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")))
-    per_workflow = named(folded, workflows, "workflow_name")
-    top = (per_workflow.groupBy(*GROUP_KEYS).agg(
-        F.max(F.struct("last", "node_type")).alias("latest"),
-        F.sum("n").alias("count"), F.count_distinct("workflow_id").alias("affected_workflows"),
-        F.min("first").alias("first_seen"))
-        .orderBy(F.desc("count"), *[F.asc_nulls_first(k) for k in GROUP_KEYS]).limit(GROUP_ROWS))
-
-    keys = top.select(*[F.col(k).alias(f"top_{k}") for k in GROUP_KEYS])
-    same = [F.col(k).eqNullSafe(F.col(f"top_{k}")) for k in GROUP_KEYS]
-    names = per_workflow.join(keys, same, "left_semi").select(*GROUP_KEYS, "workflow_name").distinct()
-    rank = F.row_number().over(W.partitionBy(*GROUP_KEYS).orderBy("workflow_name"))
-    gathered = (names.withColumn("rank", rank).filter(F.col("rank") <= GROUP_NAMES)
-                .groupBy(*[F.col(k).alias(f"top_{k}") for k in GROUP_KEYS])
-                .agg(F.array_sort(F.collect_list("workflow_name")).alias("workflow_names")))
+              .withColumn("digest", F.sha2("error_summary", 256))
+              .groupBy("error_category", "node_name", "digest", "workflow_id", "node_type")
+              .agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+                   F.first("error_summary").alias("error_summary")))
+    latest = F.max(F.struct("last", "node_type"))
+    every = F.array_sort(F.collect_set("workflow_name"))
     last_seen = F.col("latest.last")
-    return top.join(gathered, same, "left").select(
-        *GROUP_KEYS, F.col("latest.node_type").alias("node_type"), "count", "affected_workflows",
-        "first_seen", last_seen.alias("last_seen"), "workflow_names",
-        F.when(last_seen >= ts(as_of - ACTIVE), "active").otherwise("recurring").alias("status"))
+    groups = (named(folded, workflows, "workflow_name").groupBy("error_category", "node_name", "digest").agg(
+        F.first("error_summary").alias("error_summary"), latest.alias("latest"), F.sum("n").alias("count"),
+        F.count_distinct("workflow_id").alias("affected_workflows"), F.min("first").alias("first_seen"),
+        (every if names is None else F.slice(every, 1, names)).alias("workflow_names"))
+        .select(*GROUP_KEYS, F.col("latest.node_type").alias("node_type"), "count", "affected_workflows",
+                "first_seen", last_seen.alias("last_seen"), "workflow_names",
+                F.when(last_seen >= ts(as_of - ACTIVE), "active").otherwise("recurring").alias("status"))
+        .orderBy(F.desc("count"), *[F.asc_nulls_first(k) for k in GROUP_KEYS]))
+    return groups if n is None else groups.limit(n)
 
 
 def node_distribution(errors: DataFrame, as_of: dt.datetime, scope: Scope = EVERYTHING) -> DataFrame:
@@ -125,21 +119,26 @@ def node_distribution(errors: DataFrame, as_of: dt.datetime, scope: Scope = EVER
     return rows.groupBy("workflow_id", "node_name").agg(F.count("*").alias("count"))
 
 
-def source_distribution(errors: DataFrame, as_of: dt.datetime, scope: Scope = EVERYTHING) -> DataFrame:
-    """The five upstream branches that lead to most errors, for every workflow."""
+def source_distribution(errors: DataFrame, as_of: dt.datetime, scope: Scope = EVERYTHING,
+                        n: int | None = None) -> DataFrame:
+    """Errors per upstream branch for every workflow; with ``n`` only the branches with most."""
     recent = errors.filter((F.col("timestamp") > ts(as_of - DRILLDOWN)) & (F.col("source_node") != ""))
     counts = scope.narrow(recent, "workflow_id").groupBy(
         "workflow_id", "source_node", "source_output_index").agg(F.count("*").alias("count"))
+    if n is None:
+        return counts
     rank = F.row_number().over(W.partitionBy("workflow_id").orderBy(
         F.desc("count"), "source_node", "source_output_index"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= SOURCE_ROWS).drop("rank")
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
 
 
-def raw_errors(errors: DataFrame, scope: Scope = EVERYTHING) -> DataFrame:
-    """The newest 200 errors of every workflow. Spark trims each workflow to 200
+def raw_errors(errors: DataFrame, scope: Scope = EVERYTHING, n: int | None = None) -> DataFrame:
+    """The errors of every workflow, or the newest ``n`` of each. Spark trims each workflow to ``n``
     rows before the shuffle, so a hot workflow does not pile up in one task."""
-    rank = F.row_number().over(W.partitionBy("workflow_id").orderBy(F.desc("timestamp"), F.desc("id")))
-    rows = scope.narrow(errors, "workflow_id").withColumn("rank", rank).filter(F.col("rank") <= RAW_ROWS)
+    rows = scope.narrow(errors, "workflow_id")
+    if n is not None:
+        rank = F.row_number().over(W.partitionBy("workflow_id").orderBy(F.desc("timestamp"), F.desc("id")))
+        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= n)
     return rows.select(
         F.col("id").alias("exec_id"), "workflow_id", "node_name", "node_type", "error_message",
         "error_stack", "source_node", F.col("source_output_index").alias("branch"),
@@ -160,14 +159,16 @@ def workflow_drilldown(errors: DataFrame, workflows: DataFrame, workflow_id: str
 
 
 def group_executions(errors: DataFrame, workflows: DataFrame, *, category: str, node_name: str,
-                     summary: str, start: object, end: object, scope: Scope = EVERYTHING) -> DataFrame:
-    """The newest thirty executions of one error group."""
+                     summary: str, start: object, end: object, scope: Scope = EVERYTHING,
+                     n: int | None = None) -> DataFrame:
+    """The executions of one error group, newest first; with ``n`` only so many."""
     if not (category and node_name and summary and start and end):
-        raise BadRequest("Missing required parameters")
+        raise BadRequest("category, node, summary and range are all needed")
     lo, hi = parse_range(start, end)
     rows = errors.filter(
         within("timestamp", lo, hi) & (F.col("error_category") == category)
         & (F.col("node_name") == node_name) & (error_summary(F.col("error_message")) == summary))
-    return (named(scope.narrow(rows, "workflow_id"), workflows, "workflow_name")
-            .select(F.col("id").alias("exec_id"), "timestamp", "workflow_name")
-            .orderBy(F.desc("timestamp"), F.desc("exec_id")).limit(GROUP_EXECUTION_ROWS))
+    shown = (named(scope.narrow(rows, "workflow_id"), workflows, "workflow_name")
+             .select(F.col("id").alias("exec_id"), "timestamp", "workflow_name")
+             .orderBy(F.desc("timestamp"), F.desc("exec_id")))
+    return shown if n is None else shown.limit(n)

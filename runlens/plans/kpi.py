@@ -103,7 +103,7 @@ def workflow_share(executions: DataFrame, workflows: DataFrame, period: ReportRa
     share = F.col("execution_count") * F.lit(100.0) / F.nullif(total, F.lit(0))
     return per_workflow.select(
         "workflow_id", "workflow_name", "execution_count",
-        round_half_up(share, 2).alias("percentage"))
+        round_half_up(share, 2).alias("percentage")).orderBy(F.desc("execution_count"), "workflow_id")
 
 
 def pareto(shares: DataFrame) -> DataFrame:
@@ -125,7 +125,8 @@ def pareto(shares: DataFrame) -> DataFrame:
     return (ranked.unionByName(tail)
             .groupBy(F.when(kept, F.col("workflow_id")).alias("workflow_id"),
                      F.when(kept, F.col("workflow_name")).otherwise(REST_LABEL).alias("label"))
-            .agg(F.sum("execution_count").alias("execution_count")))
+            .agg(F.sum("execution_count").alias("execution_count"))
+            .orderBy(F.col("workflow_id").isNull(), F.desc("execution_count"), "workflow_id"))
 
 
 def first_execution_date(executions: DataFrame, scope: Scope = EVERYTHING) -> DataFrame:

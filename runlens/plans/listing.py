@@ -30,7 +30,7 @@ def execution_listing(executions: DataFrame, workflows: DataFrame, *, workflow:
                       scope: Scope = EVERYTHING, **filters: object) -> DataFrame:
     """Newest finished executions, filtered and paged.
 
-    ``after`` is the (start, id) of the last row of the previous page: unlike an
+    Without ``limit`` every row is listed. ``after`` is the (start, id) of the last row of the previous page: unlike an
     offset it costs the same on every page.
     """
     rows = scope.narrow(executions.filter(listing_filter(**filters)), "workflow_id")
@@ -46,30 +46,30 @@ def execution_listing(executions: DataFrame, workflows: DataFrame, *, workflow:
     skip = clamp_int(offset, 0, None, 0)
     if skip:
         page = page.offset(skip)
-    return page.limit(clamp_int(limit, 1, 100, 20))
+    return page if limit in (None, "") else page.limit(clamp_int(limit, 1, None, 1))
 
 
 def slowest_workflows(executions: DataFrame, workflows: DataFrame, as_of: dt.datetime,
-                      scope: Scope = EVERYTHING) -> DataFrame:
-    """Ten workflows with the longest mean run of the last seven days."""
+                      scope: Scope = EVERYTHING, n: int = TOP_N) -> DataFrame:
+    """The ``n`` workflows with the longest mean run of the last seven days."""
     rows = executions.filter((F.col("started_at") > ts(as_of - RECENT)) & F.col("stopped_at").isNotNull())
     length = duration_micros(F.col("started_at"), F.col("stopped_at")).cast("double")
     stats = scope.narrow(rows, "workflow_id").groupBy("workflow_id").agg(
         (F.avg(length) / F.lit(1e6)).alias("avg_duration"), F.count("*").alias("total_runs"))
     return (named(stats, workflows).select("workflow_id", "name", "avg_duration", "total_runs")
-            .orderBy(F.desc("avg_duration"), "workflow_id").limit(TOP_N))
+            .orderBy(F.desc("avg_duration"), "workflow_id").limit(n))
 
 
 def error_hotspots(executions: DataFrame, workflows: DataFrame, as_of: dt.datetime,
-                   scope: Scope = EVERYTHING) -> DataFrame:
-    """Ten workflows with the most errors of the last seven days, with their rate."""
+                   scope: Scope = EVERYTHING, n: int = TOP_N) -> DataFrame:
+    """The ``n`` workflows with the most errors of the last seven days, with their rate."""
     rows = scope.narrow(executions.filter(F.col("started_at") > ts(as_of - RECENT)), "workflow_id")
     stats = rows.groupBy("workflow_id").agg(
         F.count_if(F.col("status") == "error").alias("error_count"), F.count("*").alias("total_runs"))
     rate = F.try_divide(F.col("error_count") * F.lit(100.0), F.col("total_runs"))
     return (named(stats.filter("error_count > 0"), workflows)
             .select("workflow_id", "name", "error_count", "total_runs", rate.alias("error_rate"))
-            .orderBy(F.desc("error_count"), "workflow_id").limit(TOP_N))
+            .orderBy(F.desc("error_count"), "workflow_id").limit(n))
 
 
 def workflow_picker(shares: DataFrame, n: int = 15) -> DataFrame:

@@ -40,7 +40,7 @@ def roi_settings(workflows: DataFrame, settings: DataFrame, executions: DataFram
     return base.join(runs, base["id"] == runs["workflow_id"], "left").select(
         "id", "name", "saved_time_seconds", "hourly_rate",
         F.coalesce("_all", F.lit(0)).alias("execution_count"),
-        F.coalesce("_recent", F.lit(0)).alias("executions_30d"))
+        F.coalesce("_recent", F.lit(0)).alias("executions_30d")).orderBy("name", "id")
 
 
 def _successes(executions: DataFrame, preset: str | None, as_of: dt.datetime, scope: Scope) -> DataFrame:
@@ -73,8 +73,9 @@ def roi_totals(per_workflow: DataFrame) -> DataFrame:
 
 
 def roi_top(per_workflow: DataFrame) -> DataFrame:
-    """Only workflows that saved time."""
-    return per_workflow.filter("time_saved_seconds > 0").drop("rate_seconds")
+    """Only workflows that saved time, the most first."""
+    return (per_workflow.filter("time_saved_seconds > 0").drop("rate_seconds")
+            .orderBy(F.desc("time_saved_seconds"), "id"))
 
 
 def sort_settings(rows: DataFrame, mode: str = "name_asc") -> DataFrame:

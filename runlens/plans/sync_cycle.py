@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from runlens import schemas
 from runlens.functions.errors import RULES_VERSION
-from runlens.functions.payload import MAX_PAYLOAD_BYTES, extract_errors
+from runlens.functions.payload import extract_errors
 from runlens.functions.timegrid import ts
 from runlens.operators import care, queue, sync
 from runlens.operators.scope import access_graph
@@ -24,7 +24,7 @@ from runlens.sources.store import BlockTable, VersionedTable, stored_bytes
 
 log = logging.getLogger(__name__)
 
-VERSION_KEY, BACKFILL_KEY = "classifier_version", "backfill_cursor"
+VERSION_KEY, BACKFILL_KEY, HIGH_KEY = "classifier_version", "backfill_cursor", "high_water"
 
 
 @dataclass
@@ -41,10 +41,11 @@ class Source:
 
 @dataclass
 class Options:
-    id_overlap: int = sync.ID_OVERLAP
+    load_since: dt.datetime | None = None
     grace: dt.timedelta = sync.MISSING_GRACE
-    payload_cap: int = MAX_PAYLOAD_BYTES
-    batch_limit: int = queue.BATCH_LIMIT
+    payload_cap: int | None = None
+    batch_limit: int | None = None
+    keep_runs: int | None = None
     input_days: object = care.INPUT_RETENTION_DAYS
     stack_days: object = care.STACK_RETENTION_DAYS
     block_size: int = 10_000_000
@@ -61,7 +62,7 @@ class Replica:
             "workflows": schemas.WORKFLOW, "workflow_settings": schemas.WORKFLOW_SETTINGS,
             "volume": schemas.VOLUME, "project": schemas.PROJECT,
             "project_relation": schemas.PROJECT_RELATION, "shared_workflow": schemas.SHARED_WORKFLOW,
-            "settings": schemas.SETTINGS, "sync_runs": schemas.SYNC_RUN,
+            "settings": schemas.SETTINGS, "sync_runs": schemas.SYNC_RUN, "id_gaps": schemas.ID_GAP,
         }
         self.small = {name: VersionedTable(spark, f"{root}/{name}", schema) for name, schema in small.items()}
 
@@ -103,8 +104,8 @@ def run_cycle(replica: Replica, source: Source, as_of: dt.datetime,
         _backfill(replica, source, result)
     except Exception as failure:  # recorded, not raised: the next cycle retries
         log.exception("sync cycle failed")
-        result.status, result.error = "failed", str(failure)[:2000]
-    _record(replica, started, result)
+        result.status, result.error = "failed", str(failure)
+    _record(replica, started, options, result)
     return result
 
 
@@ -132,20 +133,22 @@ def _copy_executions(replica: Replica, source: Source, as_of: dt.datetime, optio
                      result: CycleResult) -> None:
     """Refresh open rows, fetch new ones, queue failures and work the queue.
 
-    All of it happens on a working set, the rows that are open, pending or above
-    the re-read bound, and is written back once.
+    All of it happens on a working set, the rows that are open or pending and the
+    ones just fetched, and is written back once. Ids below the high-water mark that
+    never arrived are kept as ranges and asked for in every cycle, so a late commit
+    is found whenever it comes. Ranges are noted before the rows are written and
+    shortened after it: a crash in between only asks again.
     """
     stored = replica.executions.read()
     incoming = source_executions(source.executions)
-    mark = sync.high_water(stored, incoming).first()["high_water"]
+    mark = _high_water(replica, stored, incoming)
     if mark is None:
-        fetched, working = sync.initial_load(incoming, as_of), stored
+        fetched, working = sync.initial_load(incoming, options.load_since), stored
     else:
-        bound = max(0, mark - options.id_overlap)
-        fetched = sync.incremental(incoming, mark, options.id_overlap)
-        working = stored.filter(F.col("status").isin(OPEN_STATUSES)
-                                | (F.col("analytics_status") == "pending") | (F.col("id") > bound))
-    fetched = latest_by_key(fetched.drop("deleted_at"), "id", ["status"]).checkpoint()
+        fetched = sync.incremental(incoming, mark, replica["id_gaps"].read())
+        working = stored.filter(F.col("status").isin(OPEN_STATUSES) | (F.col("analytics_status") == "pending"))
+    fetched = latest_by_key(fetched.drop("deleted_at"), "id", ["stopped_at", "started_at"]).checkpoint()
+    gaps = _note_gaps(replica, fetched, mark)
     working = working.checkpoint()
 
     refreshed = sync.refresh_open(working, sync.lookup(incoming, sync.open_rows(working)), as_of,
@@ -163,6 +166,10 @@ def _copy_executions(replica: Replica, source: Source, as_of: dt.datetime, optio
     results = queue.outcomes(due, read, errors).checkpoint()
     replica.errors.upsert(errors, ERROR_RULES)
     replica.executions.upsert(queue.settle(queued, results, as_of).checkpoint())
+    top = fetched.agg(F.max("id")).first()[0]
+    if top is not None or mark is not None:
+        replica.put_setting(HIGH_KEY, str(max(x for x in (top, mark) if x is not None)))
+    replica["id_gaps"].replace(sync.remaining_gaps(gaps, fetched))
 
     tally = results.agg(
         F.count_if(F.col("outcome") == queue.DONE).alias("done"),
@@ -173,6 +180,34 @@ def _copy_executions(replica: Replica, source: Source, as_of: dt.datetime, optio
         analytics_queued=replica.executions.read().filter("analytics_status = 'pending'").count())
 
 
+def _high_water(replica: Replica, stored: DataFrame, incoming: DataFrame) -> int | None:
+    """The greatest id that a cycle has fetched, never above the source's own maximum.
+
+    A copy that was filled otherwise takes its greatest id, and everything missing below it is a gap.
+    """
+    noted = replica.setting(HIGH_KEY)
+    if noted is not None:
+        last = incoming.agg(F.max("id")).first()[0]
+        return int(noted) if last is None else min(int(noted), last)
+    mark = sync.high_water(stored, incoming).first()["high_water"]
+    if mark is not None:
+        low = stored.agg(F.min("id")).first()[0]
+        replica["id_gaps"].replace(sync.remaining_gaps(sync.id_ranges(replica.spark, low, mark), stored))
+    return mark
+
+
+def _note_gaps(replica: Replica, fetched: DataFrame, mark: int | None) -> DataFrame:
+    """Ranges of ids that had not arrived before this cycle, and those its new rows leave out."""
+    known = replica["id_gaps"].read()
+    low, high = fetched.agg(F.min("id"), F.max("id")).first()
+    begin = low if mark is None else mark + 1
+    if high is not None and high >= begin:
+        fresh = sync.remaining_gaps(sync.id_ranges(replica.spark, begin, high), fetched)
+        replica["id_gaps"].replace(known.union(fresh).distinct())
+        known = replica["id_gaps"].read()
+    return known
+
+
 def _refresh_volume(replica: Replica, as_of: dt.datetime) -> None:
     table, executions = replica["volume"], replica.executions.read()
     cache = table.read()
@@ -218,8 +253,8 @@ def _backfill(replica: Replica, source: Source, result: CycleResult) -> None:
     result.counts["backfilled"] = filled.count()
 
 
-def _record(replica: Replica, started: dt.datetime, result: CycleResult) -> None:
-    """Append the run, keep the last 500. Bookkeeping must not fail the cycle."""
+def _record(replica: Replica, started: dt.datetime, options: Options, result: CycleResult) -> None:
+    """Append the run; with ``keep_runs`` old ones go. Bookkeeping must not fail the cycle."""
     try:
         table = replica["sync_runs"]
         runs = table.read()
@@ -236,6 +271,6 @@ def _record(replica: Replica, started: dt.datetime, result: CycleResult) -> None
         }
         entry = replica.spark.createDataFrame([tuple(row[c] for c in schemas.SYNC_RUN.fieldNames())],
                                               schemas.SYNC_RUN)
-        table.replace(care.keep_last(conform(runs, schemas.SYNC_RUN).unionByName(entry)))
+        table.replace(care.keep_last(conform(runs, schemas.SYNC_RUN).unionByName(entry), options.keep_runs))
     except Exception:
         log.exception("run not recorded")

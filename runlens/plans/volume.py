@@ -15,7 +15,6 @@ from runlens.params import VOLUME_BUCKETS, VOLUME_STEP, BadRequest, clamp_int, p
 from runlens.plans.listing import named
 
 STEP_SECONDS = int(VOLUME_STEP.total_seconds())
-DETAIL_ROWS = 50
 
 
 def rolling_origin(as_of: dt.datetime) -> dt.datetime:
@@ -44,7 +43,7 @@ def execution_volume(executions: DataFrame, cache: DataFrame | None, as_of: dt.d
         return volume_series(executions, parse_range(start, end)[0], scope)
     if scope.restricted or cache is None:
         return volume_series(executions, rolling_origin(as_of), scope)
-    return cache.select("timestamp", "started_count").orderBy("timestamp").limit(1000)
+    return cache.select("timestamp", "started_count").orderBy("timestamp")
 
 
 def refreshed_cache(executions: DataFrame, cache: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -61,18 +60,19 @@ def changed_buckets(executions: DataFrame, cache: DataFrame, as_of: dt.datetime)
 
 
 def volume_details(executions: DataFrame, workflows: DataFrame, time: object, as_of: dt.datetime,
-                   window_minutes: object = None, scope: Scope = EVERYTHING) -> DataFrame:
-    """The newest 50 executions that started in a window; open ones run until now."""
+                   window_minutes: object = None, scope: Scope = EVERYTHING, n: int | None = None) -> DataFrame:
+    """The executions, or the newest ``n``, that started in a window; open ones run until now."""
     start = parse_iso_date(time)
     if start is None:
         raise BadRequest("time must be a valid ISO date")
-    span = dt.timedelta(minutes=clamp_int(window_minutes, 1, 24 * 60, 5))
+    span = dt.timedelta(minutes=clamp_int(window_minutes, 1, None, 5))
     rows = scope.narrow(executions.filter(before("started_at", start, start + span)), "workflow_id")
     stop = F.coalesce(F.col("stopped_at"), ts(as_of))
-    return (named(rows, workflows, "workflow_name").select(
+    shown = (named(rows, workflows, "workflow_name").select(
         "workflow_name", "workflow_id", F.col("id").alias("exec_id"), "status", "started_at",
         "stopped_at", duration_seconds(F.col("started_at"), stop).alias("current_duration"))
-        .orderBy(F.desc("started_at"), F.desc("exec_id")).limit(DETAIL_ROWS))
+        .orderBy(F.desc("started_at"), F.desc("exec_id")))
+    return shown if n is None else shown.limit(n)
 
 
 def resample(series: DataFrame, origin: dt.datetime, minutes: int, as_of: dt.datetime) -> DataFrame:

@@ -62,12 +62,13 @@ ERROR = _schema(
     ("error_category", _S), ("http_code", _L), ("timestamp", _TS),
 )
 
-WORKFLOW_SETTINGS = _schema(("workflow_id", _S), ("saved_time_seconds", _L), ("hourly_rate", _D))
+WORKFLOW_SETTINGS = _schema(("workflow_id", _S), ("saved_time_seconds", _D), ("hourly_rate", _D))
 VOLUME = _schema(("timestamp", _TS), ("started_count", _L))
 PROJECT = _schema(("id", _S), ("name", _S), ("type", _S))
 PROJECT_RELATION = _schema(("project_id", _S), ("user_id", _S), ("role", _S))
 SHARED_WORKFLOW = _schema(("workflow_id", _S), ("project_id", _S), ("role", _S))
 SETTINGS = _schema(("key", _S), ("value", _S))
+ID_GAP = _schema(("low", _L), ("high", _L))
 CHAT = _schema(("id", _L), ("user_id", _S), ("role", _S), ("content", _S), ("sql_used", _S),
                ("created_at", _TS))
 SYNC_RUN = _schema(

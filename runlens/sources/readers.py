@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.functions.payload import MAX_PAYLOAD_BYTES, capped
+from runlens.functions.payload import capped
 from runlens.schemas import (
     EXECUTION_BASE,
     EXECUTION_OPTIONAL,
@@ -50,8 +50,8 @@ def source_workflows(df: DataFrame) -> DataFrame:
 
 
 def payloads_for(payloads: DataFrame, executions: DataFrame, ids: DataFrame,
-                 cap: int = MAX_PAYLOAD_BYTES) -> DataFrame:
-    """Capped payloads of a set of execution ids, with workflow and start.
+                 cap: int | None = None) -> DataFrame:
+    """Payloads of a set of execution ids, with workflow and start.
 
     The ids narrow both sides first. What is left is spread by id, because
     decoding is costly and a file's row group would otherwise be one task; the

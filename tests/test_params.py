@@ -45,9 +45,10 @@ def test_grid_changes_above_four_days(length, unit):
     assert params.metrics_range((end - length).isoformat(), end.isoformat(), as_of=AS_OF).unit == unit
 
 
-def test_range_is_capped_at_sixty_days():
+def test_range_is_as_long_as_asked():
     r = params.metrics_range("2025-01-01", "2026-03-20", as_of=AS_OF)
-    assert r.end - r.start == dt.timedelta(days=60) and r.bucket_count <= 62
+    assert r.end - r.start == dt.timedelta(days=443) and r.bucket_count == 444
+    assert params.metrics_range("2025-01-01", "2026-03-20", as_of=AS_OF, longest=dt.timedelta(days=60)).bucket_count == 61
 
 
 def test_day_grid_in_another_zone():

@@ -11,7 +11,7 @@ from conftest import AS_OF, rows
 from runlens import params
 from runlens.operators.scope import Scope, resolve_scope
 from runlens.params import BadRequest
-from runlens.plans import error_reports, kpi, listing, roi, volume
+from runlens.plans import error_reports, history, kpi, listing, roi, volume
 
 WEEK = params.metrics_range(as_of=AS_OF)
 SCHEMA = "id long, workflow_id string, status string, started_at timestamp, stopped_at timestamp"
@@ -152,7 +152,7 @@ def error_rows(spark, data):
 def test_error_groups(spark):
     at = AS_OF - dt.timedelta(days=2)
     long_text = "x" * 200
-    data = [(i, f"w{i % 5}", "n", "old" if i < 9 else "new", "data", long_text + str(i), at + dt.timedelta(minutes=i))
+    data = [(i, f"w{i % 5}", "n", "old" if i < 9 else "new", "data", long_text, at + dt.timedelta(minutes=i))
             for i in range(10)]
     data += [(50, "w0", "n", "t", "auth", None, AS_OF - dt.timedelta(hours=1)), (51, "gone", "n", "t", "auth", "m", at)]
     workflows = spark.createDataFrame([(f"w{i}", f"Name, {9 - i}") for i in range(5)], "id string, name string")
@@ -161,7 +161,7 @@ def test_error_groups(spark):
     assert len(got) == 2
     group = got["data"]
     assert (group["count"], group.affected_workflows, group.node_type, group.error_summary) == (10, 5, "new", long_text)
-    assert group.workflow_names == ["Name, 5", "Name, 6", "Name, 7"]
+    assert group.workflow_names == [f"Name, {i}" for i in range(5, 10)]
     assert (group.status, got["auth"].status, got["auth"]["count"]) == ("recurring", "active", 1)
 
 
@@ -187,3 +187,35 @@ def test_settings_orders(spark):
     order = {m: [r.id for r in roi.sort_settings(df, m).collect()] for m in ("name_asc", "name_desc", "execs_desc", "time_desc")}
     assert order == {"name_asc": ["2", "1", "3"], "name_desc": ["3", "1", "2"], "execs_desc": ["3", "1", "2"],
                      "time_desc": ["2", "3", "1"]}
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT java_method ('java.util.UUID', 'randomUUID')",
+    "SELECT * FROM parquet.`/root`", "SELECT * FROM other", "SELECT (SELECT max(id) FROM json.`/x`) FROM executions",
+    "WITH a AS (SELECT * FROM csv.`/x`) SELECT * FROM a", "SELECT * FROM range(5)", "SELECT 1 FROM executions WHERE id IN (SELECT id FROM secrets)"])
+def test_guard_refuses(spark, seed, text):
+    with pytest.raises(BadRequest):
+        history.guarded_select(spark, text, {"executions": seed[0]})
+
+
+def test_guard_answers(spark, seed):
+    executions, workflows = seed
+    tables = {"executions": executions, "workflows": workflows}
+    got, total = history.guarded_select(spark, "WITH n AS (SELECT workflow_id, count(*) AS c FROM executions GROUP BY 1) "
+                                               "SELECT name, c FROM n JOIN workflows ON id = workflow_id", tables, n=1)
+    assert got.count() == 1 and total.first()[0] == 2
+    assert history.guarded_select(spark, "SELECT * FROM executions", tables)[0].count() == 40
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("guarded_")]
+    with pytest.raises(BadRequest):
+        history.guarded_select(spark, "SELECT 1", tables, scope=Scope(workflows.selectExpr("id AS visible_workflow_id")))
+
+
+def test_limits_are_the_callers(spark, seed):
+    executions, workflows = seed
+    assert listing.execution_listing(executions, workflows).count() == 40
+    assert listing.execution_listing(executions, workflows, limit=3).count() == 3
+    long = spark.createDataFrame([(i, "wf-a", "n", "t", "x" * 300 + str(i % 70), "auth", AS_OF) for i in range(200)],
+                                 "id long, workflow_id string, node_name string, node_type string, error_message string, "
+                                 "error_category string, timestamp timestamp")
+    groups = error_reports.error_groups(long, workflows, WEEK, AS_OF)
+    assert groups.count() == 70 and error_reports.error_groups(long, workflows, WEEK, AS_OF, n=2, names=1).count() == 2

@@ -148,10 +148,10 @@ def test_access_graph_without_known_columns(spark):
 
 def test_settings_are_all_or_nothing(spark):
     workflows = spark.createDataFrame([("wf-a", "Alpha")], "id string, name string")
-    current = spark.createDataFrame([("wf-a", 1, 1.0)], schemas.WORKFLOW_SETTINGS)
+    current = spark.createDataFrame([("wf-a", 1.0, 1.0)], schemas.WORKFLOW_SETTINGS)
     entry = "workflow_id string, saved_time_seconds double, hourly_rate double"
     good = spark.createDataFrame([("wf-a", 120.0, None)], entry)
-    assert rows(settings.update_roi_settings(current, good, workflows)) == [("wf-a", 120, 0.0)]
+    assert rows(settings.update_roi_settings(current, good, workflows)) == [("wf-a", 120.0, 0.0)]
     for bad in (("wf-a", -1.0, 1.0), ("wf-a", 86401.0, 1.0), ("wf-a", 1.0, 100001.0), (None, 1.0, 1.0),
                 ("nope", 1.0, 1.0), ("wf-a", float("nan"), 1.0), ("wf-a", None, 1.0)):
         with pytest.raises(BadRequest):
@@ -185,10 +185,9 @@ def test_cycle_end_to_end(spark, cycle):
     payloads = [(600, PAYLOAD % "Not authenticated"), (603, "broken")]
     first = run_cycle(replica, source(data, payloads), AS_OF)
     assert (first.status, first.error) == ("ok", None)
-    # The first load goes back fourteen days.
     assert state(replica, "status", "analytics_status", "analytics_attempts") == [
-        (600, "error", "done", 0), (601, "running", None, None), (602, "crashed", "failed", 0), (603, "error", "pending", 1)]
-    assert first.counts["executions"] == 4 and first.counts["errors"] == 3
+        (10, "success", None, None), (600, "error", "done", 0), (601, "running", None, None), (602, "crashed", "failed", 0), (603, "error", "pending", 1)]
+    assert first.counts["executions"] == 5 and first.counts["errors"] == 3
     assert rows(replica.errors.read(), "id", "error_category") == [(600, "auth")]
     assert rows(replica["project_relation"].read(), "project_id", "user_id") == [("user:u1", "u1")]
     assert replica["volume"].read().agg(F.sum("started_count")).first()[0] == 4
@@ -200,7 +199,7 @@ def test_cycle_end_to_end(spark, cycle):
     assert second.status == "ok"
     assert second.counts["executions"] == 2 and second.counts["errors"] == 1
     assert state(replica, "status", "analytics_status") == [
-        (590, "success", None), (600, "error", "done"), (601, "running", None), (602, "crashed", "failed"),
+        (10, "success", None), (590, "success", None), (600, "error", "done"), (601, "running", None), (602, "crashed", "failed"),
         (603, "error", "pending"), (604, "error", "done")]
     missing = {r.id: r.missing_since for r in replica.executions.read().collect()}
     assert missing[601] is not None and missing[600] is None
@@ -236,7 +235,7 @@ def test_cycle_retention_reclassification_and_backfill(spark, cycle):
                                   "error_category string, input_data string, timestamp timestamp")
     replica.errors.upsert(stale)
     data = [(5, "a", "success", old, old, "manual"), (700, "a", "success", AS_OF, AS_OF, "trigger")]
-    result = run_cycle(replica, source(data, [], ", mode string"), AS_OF)
+    result = run_cycle(replica, source(data, [], ", mode string"), AS_OF, Options(input_days=30))
     assert result.status == "ok"
     assert (result.counts["reclassified"], result.counts["purged_input"], result.counts["purged_stack"]) == (1, 1, 0)
     assert rows(replica.errors.read(), "error_message", "error_type", "input_data") == [("real", "TypeError", None)]
@@ -253,4 +252,30 @@ def test_batch_limit_leaves_the_rest_queued(spark, cycle):
     payloads = [(i, PAYLOAD % "boom") for i in range(1, 6)]
     result = run_cycle(replica, source(data, payloads), AS_OF, Options(batch_limit=2))
     assert (result.counts["analytics_done"], result.counts["analytics_queued"]) == (2, 3)
-    assert rows(replica.errors.read(), "id") == [(4,), (5,)]
+    assert rows(replica.errors.read(), "id") == [(1,), (2,)]
+
+
+def test_gaps_of_ids(spark):
+    ranges = sync.id_ranges(spark, 5, 3_000_005)
+    ids = spark.createDataFrame([(5,), (6,), (9,), (1_000_000,), (2_999_999,), (7_000_000,)], "id long")
+    left = sorted(rows(sync.remaining_gaps(ranges, ids)))
+    assert left == [(7, 8), (10, 999_999), (1_000_001, 1_999_999), (2_000_000, 2_999_998), (3_000_000, 3_000_005)]
+    assert sync.id_ranges(spark, 3, 2).count() == 0
+
+
+def test_late_commits_come_however_late(spark, cycle):
+    replica, source = cycle
+    data = [(1, "a", "success", AS_OF, AS_OF), (5_000_000, "a", "success", AS_OF, AS_OF)]
+    run_cycle(replica, source(data, []), AS_OF)
+    data += [(2_000_000, "a", "success", AS_OF, AS_OF), (5_000_001, "a", "error", AS_OF, AS_OF)]
+    assert run_cycle(replica, source(data, [(5_000_001, PAYLOAD % ("x" * 6_000_000))]), AS_OF).counts["executions"] == 2
+    assert [r[0] for r in state(replica, "status")] == [1, 2_000_000, 5_000_000, 5_000_001]
+    assert run_cycle(replica, source(data, []), AS_OF).counts["executions"] == 0
+
+
+def test_last_setting_wins_and_keeps_its_fraction(spark):
+    workflows = spark.createDataFrame([("a", "A", True), ("b", "B", True)], "id string, name string, active boolean")
+    current = spark.createDataFrame([("a", 60.0, 1.0)], "workflow_id string, saved_time_seconds double, hourly_rate double")
+    entries = spark.createDataFrame([(1, "b", 5.0, 1.0), (3, "a", 0.9, None), (2, "a", 7.0, 9.0)] + [(10 + i, "b", float(i), 2.0) for i in range(1500)],
+                                    "position int, workflow_id string, saved_time_seconds double, hourly_rate double")
+    assert rows(settings.update_roi_settings(current, entries, workflows)) == [("a", 0.9, 0.0), ("b", 1499.0, 2.0)]

@@ -6,6 +6,7 @@ usage: python tools/compare.py [sample folder] [name prefix ...]
 from __future__ import annotations
 
 import os
+import re
 import sys
 import time
 
@@ -25,9 +26,15 @@ def plain(value):
     return type(value).__name__, value
 
 
-def normal(columns, rows):
+def ordered(sql):
+    """Whether the statement itself orders its result, so that the order counts."""
+    return re.search(r"ORDER BY [^()]*$", sql.strip()) is not None
+
+
+def normal(columns, rows, in_order=False):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(columns), sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+    typed = [tuple(plain(r[i]) for i in order) for r in rows]
+    return sorted(columns), typed if in_order else sorted(typed, key=repr)
 
 
 def oracle(folder, sql):
@@ -35,12 +42,12 @@ def oracle(folder, sql):
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     cursor = con.execute(sql)
-    return normal([d[0] for d in cursor.description], cursor.fetchall())
+    return normal([d[0] for d in cursor.description], cursor.fetchall(), ordered(sql))
 
 
 def spark_rows(spark, folder, name):
     df = QUERIES[name](spark, folder)
-    return normal(df.columns, [tuple(r) for r in df.collect()])
+    return normal(df.columns, [tuple(r) for r in df.collect()], ordered(ORACLE_SQL.get(name, "")))
 
 
 def main() -> int:
