@@ -410,6 +410,54 @@ def _(t):
     return roi.sort_settings(rows, "time_desc").select("id", "name", "saved_time_seconds")
 
 
+def _ordered(mode: str, order: str) -> None:
+    @query(f"t6_settings_{mode}", f"""
+SELECT w.id, w.name, coalesce(s.saved_time_seconds, 0) AS saved_time_seconds, count(e.id) AS execution_count
+FROM workflow_entity w LEFT JOIN workflow_settings s ON w.id = s.workflow_id
+LEFT JOIN execution_entity e ON w.id = e.workflow_id AND e.status = 'success'
+GROUP BY 1, 2, 3 ORDER BY {order}, w.id""")
+    def _(t):
+        rows = roi.roi_settings(t.workflows, t.settings, t.executions, AS_OF)
+        return roi.sort_settings(rows, mode).select("id", "name", "saved_time_seconds", "execution_count")
+
+
+for _mode, _order in (("name_asc", "w.name"), ("name_desc", "w.name DESC"), ("execs_desc", "execution_count DESC")):
+    _ordered(_mode, _order)
+
+
+@query("p5_bad_status", """
+SELECT event_id AS id, CASE WHEN event_type NOT IN ('success', 'error', 'canceled', 'crashed', 'running')
+  THEN 'no such status' END AS reject_reason FROM events""")
+def _(t):
+    asked = t.raw("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status"))
+    return settings.check_statuses(asked).select("id", "reject_reason")
+
+
+def _member(name: str, expected: str, **who) -> None:
+    @query(name, f"SELECT workflow_id, count(*) AS executions FROM execution_entity WHERE {expected} GROUP BY 1")
+    def _(t):
+        scope = resolve_scope(t.shared_workflow, t.project_relation, **who)
+        return scope.narrow(t.executions, "workflow_id").groupBy("workflow_id").agg(F.count("*").alias("executions"))
+
+
+_member("c1_scope_of_owner", "true", user_id="nobody", role="global:owner")
+_member("c1_scope_of_member", "workflow_id IN (SELECT workflow_id FROM visible)", user_id="7")
+_member("c1_scope_of_stranger", "false", user_id="nobody")
+
+
+@query("c1_scope_without_memberships", "SELECT count(*) AS executions FROM execution_entity")
+def _(t):
+    scope = resolve_scope(t.shared_workflow, t.project_relation.limit(0), user_id="nobody")
+    return scope.narrow(t.executions, "workflow_id").agg(F.count("*").alias("executions"))
+
+
+@query("r15_completeness_of_equals", """
+SELECT count(*) AS source_rows, count(*) AS copy_rows, min(started_at) AS source_first, min(started_at) AS copy_first,
+  true AS same_count, true AS same_content FROM replica""")
+def _(t):
+    return care.completeness(t.replica, t.replica.repartition(3), ["id", "workflow_id", "status"])
+
+
 @query("t7_picker", """
 SELECT w.id AS workflow_id, w.name AS workflow_name, count(*) AS execution_count
 FROM execution_entity e JOIN workflow_entity w ON e.workflow_id = w.id

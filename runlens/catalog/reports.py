@@ -124,10 +124,12 @@ def _(t):
   SELECT *, coalesce(sum(CAST(round(percentage * 100) AS BIGINT)) OVER (
     ORDER BY execution_count DESC, workflow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS covered
   FROM shares)
-SELECT CASE WHEN covered < 9000 THEN workflow_id END AS workflow_id,
-  CASE WHEN covered < 9000 THEN workflow_name ELSE 'Rest Workflows' END AS label,
-  CAST(sum(execution_count) AS BIGINT) AS execution_count
-FROM running GROUP BY 1, 2 ORDER BY workflow_id IS NULL, execution_count DESC, workflow_id""")
+SELECT * FROM (
+  SELECT CASE WHEN covered < 9000 THEN workflow_id END AS workflow_id,
+    CASE WHEN covered < 9000 THEN workflow_name ELSE 'Rest Workflows' END AS label,
+    CAST(sum(execution_count) AS BIGINT) AS execution_count
+  FROM running GROUP BY 1, 2)
+ORDER BY workflow_id IS NULL, execution_count DESC, workflow_id""")
 def _(t):
     return kpi.pareto(kpi.workflow_share(t.executions, t.workflows, WEEK))
 

@@ -9,6 +9,7 @@ from runlens.functions.text import safe_timestamp
 from runlens.operators.scope import EVERYTHING, Scope
 from runlens.operators.upsert import latest_by_key, upsert
 from runlens.params import MAX_HOURLY_RATE, MAX_SAVED_SECONDS, BadRequest
+from runlens.schemas import LISTING_STATUSES
 
 
 def check_date_pairs(requests: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -24,6 +25,12 @@ def check_date_pairs(requests: DataFrame, start: str = "start_date", end: str =
         .when(F.col("start_at") > F.col("end_at"), "start must be before end"))
 
 
+def check_statuses(requests: DataFrame, status: str = "status") -> DataFrame:
+    """Listing requests with a ``reject_reason``; no status at all is fine."""
+    asked = F.nullif(F.col(status), F.lit(""))
+    return requests.withColumn("reject_reason", F.when(~asked.isin(LISTING_STATUSES), "no such status"))
+
+
 def check_settings(entries: DataFrame, zones: list[str]) -> DataFrame:
     """Global settings with a ``reject_reason``. Only ``timezone`` is known."""
     key, value = F.col("key"), F.col("value")
