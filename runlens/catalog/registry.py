@@ -156,10 +156,6 @@ replica AS (
     CASE WHEN status = 'error' THEN CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'done' END END AS analytics_status,
     CAST(id % 5 AS BIGINT) AS analytics_attempts,
     CASE WHEN id % 4 = 0 THEN TIMESTAMP '2024-01-31 00:10:00' END AS analytics_next_attempt
-  FROM execution_entity
-  WHERE started_at < TIMESTAMP '2024-01-25'
-    AND coalesce((epoch_us(stopped_at) - epoch_us(started_at)) / CAST(1000000 AS DOUBLE), 0) < 120),
+  FROM execution_entity WHERE id % 17 <> 3),
 source AS (
-  SELECT * FROM execution_entity
-  WHERE (epoch_us(stopped_at) - epoch_us(started_at)) / CAST(1000000 AS DOUBLE) >= 5
-    OR (stopped_at IS NULL AND started_at >= TIMESTAMP '2024-01-08'))"""
+  SELECT * FROM execution_entity WHERE id % 19 <> 5)"""
