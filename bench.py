@@ -22,7 +22,7 @@ HEADLINE = [
     "r6a_roi_totals", "r6b_roi_workflows", "r7_volume_of_day", "r8_volume_details",
     "r9_resampled_volume", "r11a_error_totals", "r11c_daily_trend", "r11d_workflow_health",
     "r11e_error_groups", "r12_raw_errors", "r13_group_executions", "c2_scoped_reads",
-    "e2_extract_errors", "e7_classify_texts", "e9_rederived_changes", "m1_execution_upsert",
+    "e2_extract_errors", "e7_classify_texts", "e9_rederived_changes", "m1_execution_upsert", "m9_backfill",
     "m3_refresh_open", "m5_changed_buckets", "m6_settle", "m16_fixed_windows", "i3_volume_stream",
 ]
 

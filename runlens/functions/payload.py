@@ -21,6 +21,9 @@ from pyspark.sql.types import ArrayType, StringType
 from runlens.functions.errors import resolve
 from runlens.schemas import ERROR
 
+# A shared subtree is written in full so many times per item of the payload, then referred to.
+GROWTH = 64
+
 UNKNOWN_NODE = "Unknown Node"
 UNKNOWN_TYPE = "Unknown Type"
 NO_DETAIL = "Unknown error detail"
@@ -159,29 +162,61 @@ def _subtree(items: list, path: list[str | int], indent: int | None = None) -> s
     if node in (None, "", 0, False):
         return ""
 
-    open_ids: set[int] = set()
+    return _written(node, items, follow, indent)
+
 
-    def expand(value: object) -> object:
+def _written(root: object, items: list, follow, indent: int | None) -> str:
+    """JSON text of ``root``, without recursion; '' when it contains itself.
+
+    A container met again is written again as long as no more than ``GROWTH`` containers per item of the
+    payload have been written. From then on it is referred to as ``{"$ref":"item"}``, so that a payload of
+    n items never makes more than GROWTH * n containers of text.
+    """
+    dumps = lambda v: json.dumps(v, ensure_ascii=False)
+    number = {id(v): i for i, v in enumerate(items) if isinstance(v, (dict, list))}
+    parts: list[str] = []
+    todo: list = [(root, 1)]
+    open_ids: set[int] = set()
+    met: set[int] = set()
+    written, most = 0, GROWTH * len(items)
+    while todo:
+        step = todo.pop()
+        if isinstance(step, str):
+            parts.append(step)
+            continue
+        value, depth = step
+        if depth == 0:
+            open_ids.discard(value)
+            continue
         if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-            return int(value)
+            value = int(value)
         if not isinstance(value, (dict, list)):
-            return value
-        if id(value) in open_ids:
-            raise ValueError("cycle")
-        open_ids.add(id(value))
-        try:
-            if isinstance(value, dict):
-                return {k: expand(follow(v)) for k, v in value.items()
-                        if not (isinstance(v, str) and follow(v) is None)}
-            return [expand(follow(v)) for v in value]
-        finally:
-            open_ids.discard(id(value))
-
-    try:
-        return json.dumps(expand(node), ensure_ascii=False, indent=indent,
-                          separators=(",", ": " if indent else ":"))
-    except (ValueError, RecursionError):
-        return ""
+            parts.append(dumps(value))
+            continue
+        me = id(value)
+        if me in open_ids:
+            return ""
+        if me in met and written >= most:
+            parts.append(f'{{"$ref":"{number.get(me, "")}"}}')
+            continue
+        written += 1
+        met.add(me)
+        open_ids.add(me)
+        mark, end = ("{", "}") if isinstance(value, dict) else ("[", "]")
+        if isinstance(value, dict):
+            inner = [(dumps(k) + (": " if indent else ":"), follow(v)) for k, v in value.items()
+                     if not (isinstance(v, str) and follow(v) is None)]
+        else:
+            inner = [("", follow(v)) for v in value]
+        line = "\n" + " " * (indent * depth) if indent else ""
+        last = "\n" + " " * (indent * (depth - 1)) if indent and inner else ""
+        todo += [(me, 0), last + end]
+        for i in range(len(inner) - 1, -1, -1):
+            name, child = inner[i]
+            todo += [(child, depth + 1), ("," if i else mark) + line + name]
+        if not inner:
+            todo.append(mark)
+    return "".join(parts)
 
 
 def subtree_json(text: Column, paths: list[list[str | int]], indent: int | None = None) -> Column:

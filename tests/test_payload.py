@@ -103,3 +103,24 @@ def test_outcomes(spark):
 @pytest.mark.parametrize("text", ['[{"a":"1"},{"b":"0"}]', '["1"]'])
 def test_never_fails_on_odd_graphs(spark, text):
     assert extracted(spark, text)[0].error_category == "unparsed"
+
+
+def _chain(n):
+    return [{"resultData": "1"}, *[{"next": str(i + 2), "v": i} for i in range(n)], {"end": True}]
+
+
+def test_deep_subtrees_are_written(spark):
+    items = _chain(10_000)
+    text = payload._subtree(items, ["resultData"])
+    assert text.startswith('{"next":{"next":') and text.endswith('"v":1},"v":0}') and text.count('"next"') == 10_000
+    nested = payload._subtree([{"a": "1", "b": 2.0}, ["2", None, 7], {}], [], indent=2)
+    assert nested == json.dumps({"a": [{}, None, 7], "b": 2}, indent=2)
+
+
+def test_shared_subtrees_grow_within_bounds():
+    items = [{"resultData": "1"}] + [[str(i + 2), str(i + 2)] for i in range(40)] + [{"leaf": True}]
+    text = payload._subtree(items, ["resultData"])
+    assert len(text) < 64 * len(items) * 20 and '"$ref"' in text
+    small = [{"r": "1"}, ["2", "2"], {"x": 1}]
+    assert payload._subtree(small, ["r"]) == '[{"x":1},{"x":1}]'
+    assert payload._subtree([{"r": "0"}], []) == ""
