@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from runlens.llm import decontamination, jaccard_join, mixing, sharding, toxicity
 from runlens.llm.registry import stored, table
 
+#: Rows of whole texts that Spark hands to Python at a time; its own default is sized for narrow rows.
+ARROW_ROWS = "1000"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     docs = docs.select(*COLUMNS)
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that n-gram Jaccard links connect, the one with the smallest id stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     groups = jaccard_join.join(docs.select("doc_id", "text"))
     stays = stored(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
                    .select(F.col("doc_id").alias("stays")).distinct(), "near-copies")
