@@ -36,13 +36,13 @@ def reports(t):
     return {
         "summary": kpi.kpi_summary(e, w, WEEK), "scoped": kpi.kpi_summary(e, w, WEEK, scope=scope),
         "timeline": kpi.with_forecast(kpi.status_timeline(e, w, WEEK), WEEK), "shares": shares,
-        "pareto": kpi.pareto(shares), "listing": listing.execution_listing(e, w, status="success"),
+        "pareto": kpi.pareto(shares), "listing": listing.execution_listing(e, w, status="success", limit=20),
         "slowest": listing.slowest_workflows(e, w, AS_OF), "hotspots": listing.error_hotspots(e, w, AS_OF),
         "roi": roi.roi_totals(roi.roi_per_workflow(e, w, s, as_of=AS_OF)),
         "volume": volume.volume_series(e, volume.rolling_origin(AS_OF)),
         "totals": error_reports.error_totals(x, e, WEEK), "trend": error_reports.daily_trend(x, WEEK),
-        "health": error_reports.workflow_health(e, w, WEEK),
-        "groups": error_reports.error_groups(x, w, WEEK, AS_OF), "raw": error_reports.raw_errors(x),
+        "health": error_reports.workflow_health(e, w, WEEK, n=15),
+        "groups": error_reports.error_groups(x, w, WEEK, AS_OF, n=50), "raw": error_reports.raw_errors(x),
     }
 
 
@@ -74,7 +74,7 @@ def test_top_n_is_not_a_full_sort(stored):
 
 
 def test_groups_are_trimmed_before_the_shuffle(spark, stored):
-    assert "WindowGroupLimit" in plan(error_reports.raw_errors(stored["errors"]))
+    assert "WindowGroupLimit" in plan(error_reports.raw_errors(stored["errors"], n=200))
     chat = SampleTables(spark, FOLDER).raw("conversations")
     assert "WindowGroupLimit" in plan(history.recent_context(chat, "conv_id", "turn"))
 
