@@ -1,7 +1,11 @@
 """Language-model scores by deleted interpolation.
 
-The probability of a token is that of its class after the class before, times that of the word in
-its class. The ``CLASSES`` - 2 most frequent words and the end are classes of their own, all other
+The probability of a token mixes the relative frequency of the word after the word before, from counts
+of all word pairs, with a class model. How much the pairs weigh depends on how often the word before was
+seen, in buckets of powers of two; the weights are learned as those of the class model below, from the
+held-out pairs' ratios of both estimates, summed in steps of 1/``STEPS`` of a power of two.
+
+The class model: the probability of the class after the class before, times that of the word in its class. The ``CLASSES`` - 2 most frequent words and the end are classes of their own, all other
 words share one. As in the base score, words that training never met are one event, the unknown word.
 
 The class sequence is a mixture of maximum-likelihood estimates: after the class before, without
@@ -11,9 +15,9 @@ documents, the likelihood from counts of a part that was held out of them. Insid
 unknown word has the share that words unseen among the kept documents have in the held-out ones, and
 the known ones their relative frequency of the rest. Scoring uses the counts of all training documents.
 
-What is counted per word over the corpus stays a distributed table. On the driver there are at most
-``HEAD`` frequent words and CLASSES**2 class pairs, whatever the corpus; words beyond the frequent
-ones meet their counts in a join.
+What is counted per word and per word pair over the corpus stays a distributed table. On the driver there
+are at most ``HEAD`` frequent words, ``PAIR_HEAD`` frequent pairs and CLASSES**2 class pairs, whatever the
+corpus; words and pairs beyond the frequent ones meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -30,7 +34,10 @@ from runlens.llm.registry import query, remainder, stored, table
 
 FOLDS, LEFT_OUT, HELD = 7, 2, 3
 HEAD = 1 << 17
+PAIR_HEAD = 1 << 19
 CLASSES = 1024
+STEPS = 64
+PAIR_TOKENS = 1 << 21
 OTHER, END = 0, 1
 ROUNDS = 40
 BUCKETS = 40
@@ -73,14 +80,22 @@ def pair_estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def class_model(kept: np.ndarray, held: np.ndarray) -> np.ndarray:
     """log10 P(class | class before) from pair counts of kept and held-out documents."""
+    return class_models(kept, held)[0]
+
+
+def class_models(kept: np.ndarray, held: np.ndarray) -> list[np.ndarray]:
+    """``class_model`` with the counts of all and of kept documents; the weights are the same."""
     k = len(kept)
     two, one, context = pair_estimates(kept.astype(float))
     h, w = np.nonzero(held)
     parts = np.stack([two[h, w], one[w], np.full(len(h), 1 / k)], 1)
     weights = mixture_weights(parts, buckets(context)[h], held[h, w].astype(float))
-    two, one, context = pair_estimates((kept + held).astype(float))
-    mix = weights[buckets(context)]
-    return np.log10(mix[:, :1] * two + mix[:, 1:2] * one[None, :] + mix[:, 2:] / k).astype(np.float32)
+    out = []
+    for counts in (kept + held, kept):
+        two, one, context = pair_estimates(counts.astype(float))
+        mix = weights[buckets(context)]
+        out.append(np.log10(mix[:, :1] * two + mix[:, 1:2] * one[None, :] + mix[:, 2:] / k).astype(np.float32))
+    return out
 
 
 class Tokens:
@@ -92,10 +107,17 @@ class Tokens:
         self.ids = np.insert(w.ids, w.first[1:], B.U64(_END_ID))
         self.doc = np.repeat(np.arange(run.n), n + 1)
 
-    def before(self, cls: np.ndarray) -> np.ndarray:
-        """Class before each token; a text begins after an end."""
+    def before(self, cls: np.ndarray, end: int = END) -> np.ndarray:
+        """Class (or number) before each token; a text begins after an end."""
         first = np.append(True, self.doc[1:] != self.doc[:-1]) if len(cls) else np.zeros(0, bool)
-        return np.where(first, END, np.append(END, cls[:-1]) if len(cls) else cls)
+        return np.where(first, cls.dtype.type(end), np.append(cls.dtype.type(end), cls[:-1]) if len(cls) else cls)
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray, frequent: int) -> np.ndarray:
+    """One number per pair: both places side by side, or below zero a digest if a word is not frequent."""
+    mixed = B.signed(B.mix(B.mix(v.astype(np.int64).view(B.U64) + B.U64(0x9E3779B97F4A7C15)) ^ w.astype(np.int64).view(B.U64)))
+    both = (v >= 0) & (v < frequent) & (w >= 0) & (w < frequent)
+    return np.where(both, np.where(both, v, 0) << 31 | np.where(both, w, 0), mixed | np.int64(-1 << 63))
 
 
 def _folds(rows: DataFrame) -> DataFrame:
@@ -134,10 +156,10 @@ class Head:
             if sizes[b] > room:
                 break
             room, lowest = room - sizes[b], b
-        got = counts.where((band >= lowest) | (F.col("word") == F.lit(_END_ID))).select("word", total.alias("n")).toArrow()
+        got = counts.where((band >= lowest) | (F.col("word") == F.lit(_END_ID))).select("word", total.alias("n"), "kept").toArrow()
         ids, n = got["word"].to_numpy().view(B.U64), got["n"].to_numpy()
         order = np.argsort(ids)
-        self.ids, self.n = ids[order], n[order]
+        self.ids, self.n, self.kept = ids[order], n[order], got["kept"].to_numpy()[order]
         self.cls = np.full(len(self.ids), OTHER, np.int64)
         top = np.lexsort((self.ids, -self.n))
         top = top[self.ids[top] != B.U64(_END_ID)][:classes - 2]
@@ -145,11 +167,24 @@ class Head:
         self.cls[self.ids == B.U64(_END_ID)] = END
 
     @classmethod
-    def of(cls, ids: np.ndarray, n: np.ndarray, classes: np.ndarray) -> Head:
+    def of(cls, ids: np.ndarray, n: np.ndarray, classes: np.ndarray, kept: np.ndarray) -> Head:
         out = cls.__new__(cls)
-        out.ids, out.n, out.cls = ids, n, classes
+        out.ids, out.n, out.cls, out.kept = ids, n, classes, kept
         return out
 
+    def numbers(self, ids: np.ndarray) -> np.ndarray:
+        """Place of each frequent word, digest of any other; digests among the places would be taken for them."""
+        if not len(self.ids):
+            return B.signed(ids)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, at, B.signed(ids))
+
+    def pairs(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the word before, number of the word, key of the pair) of each token."""
+        w = self.numbers(t.ids)
+        v = t.before(w, int(self.numbers(np.array([_END_ID], B.U64))[0]))
+        return v, w, pair_keys(v, w, len(self.ids))
+
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(is frequent, count, class) of each token."""
         if not len(self.ids):
@@ -184,8 +219,126 @@ def _pair_counts(rows: DataFrame, head: Head, classes: int) -> np.ndarray:
     return matrix.reshape(2, classes, classes)
 
 
+def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
+    """(v, w, kept, held, n, rare) of every pair of a word and the word before it in the whole corpus.
+
+    Summed over ``PAIR_TOKENS`` tokens before the shuffle; ``n`` has the documents that are left out of training, too.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+
+        def summed() -> pa.RecordBatch:
+            v, w, key, fold = (np.concatenate(c) for c in zip(*parts))
+            parts.clear()
+            _, first, at = np.unique(key, return_index=True, return_inverse=True)
+            n, held, out = (np.bincount(at[chosen], minlength=len(first)) for chosen in
+                            (slice(None), fold == HELD, fold == LEFT_OUT))
+            return pa.RecordBatch.from_pydict({"v": v[first], "w": w[first], "kept": n - held - out, "held": held, "n": n,
+                                               "rare": (key[first] < 0).astype(np.int8)})
+
+        size = 0
+        for batch in batches:
+            fold = batch["fold"].to_numpy(zero_copy_only=False)
+            for run in B.slices(batch["text"]):
+                t = Tokens(run)
+                parts.append((*head.pairs(t), fold[run.first + t.doc].astype(np.int8)))
+                size += len(t.ids)
+                if size >= PAIR_TOKENS:
+                    yield summed()
+                    size = 0
+        if parts:
+            yield summed()
+
+    return rows.select("text", "fold").mapInArrow(count, "v long, w long, kept long, held long, n long, rare byte").groupBy("v", "w").agg(
+        F.sum("kept").alias("kept"), F.sum("held").alias("held"), F.sum("n").alias("n"), F.max("rare").alias("rare"))
+
+
+def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.ndarray], new: float, other: int,
+                 other_kept: int) -> DataFrame:
+    """(key, n, ratio, bucket, held, held_bucket, held_cell) of every pair.
+
+    ``ratio`` is the pair's relative frequency over the class model's probability, ``bucket`` that of the count of
+    the word before. The last two are the same from kept documents only, the ratio in steps of its logarithm.
+    """
+    send = pairs.sparkSession.sparkContext.broadcast((head.ids, head.n, head.cls, head.kept, *logs))
+    size = len(head.ids)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *frequent, log_every, log_kept = send.value
+        head = Head.of(*frequent)
+        for batch in batches:
+            v, w, kept, held, n, *met = (batch[c].to_numpy(zero_copy_only=False) for c in
+                                         ("v", "w", "kept", "held", "n", "cv", "kv", "cw", "kw"))
+
+            def known(x: np.ndarray, c: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                hit = (x >= 0) & (x < size)
+                at = np.where(hit, x, 0)
+                end = np.where(x == np.int64(_END_ID), END, OTHER)
+                return (np.where(hit, head.n[at], c), np.where(hit, head.kept[at], k), np.where(hit, head.cls[at], end)) \
+                    if size else (c, k, end)
+
+            cv, kv, class_v = known(v, *met[:2])
+            cw, kw, class_w = known(w, *met[2:])
+
+            def lower(log: np.ndarray, c: np.ndarray, total: int) -> np.ndarray:
+                inside = np.where(c > 0, (1 - new) * c / max(total, 1), new)
+                return 10 ** log[class_v, class_w].astype(float) * np.where(class_w == OTHER, inside, 1.0)
+
+            ratio = (kept + held) / (np.maximum(cv, 1) * lower(log_every, cw, other))
+            past = kept / (np.maximum(kv, 1) * lower(log_kept, kw, other_kept))
+            cell = np.where((held > 0) & (kept > 0), np.rint(STEPS * np.log2(np.where(kept > 0, past, 1.0))), -(1 << 15))
+            yield pa.RecordBatch.from_pydict({
+                "key": pair_keys(v, w, size), "n": n, "ratio": ratio.astype(np.float32), "bucket": buckets(cv).astype(np.int8),
+                "held": held, "held_bucket": np.where(held > 0, buckets(kv), 0).astype(np.int8), "held_cell": cell.astype(np.int16)})
+
+    zero = F.lit(0).cast("long")
+    columns = ["v", "w", "kept", "held", "n"]
+    plain = pairs.where(F.col("rare") == 0).select(*columns, *(zero.alias(c) for c in ("cv", "kv", "cw", "kw")))
+    met = pairs.where(F.col("rare") == 1).select(*columns)
+    for x in "vw":
+        # Frequent words carry their counts already; they go past the join under the pair's own digest.
+        on = F.when(F.col(x).between(0, size - 1), F.xxhash64("v", "w")).otherwise(F.col(x))
+        own = counts.select(F.col("word").alias("on"), (F.col("kept") + F.col("held")).alias(f"c{x}"), F.col("kept").alias(f"k{x}"))
+        met = met.withColumn("on", on).join(own, "on", "left").drop("on")
+    met = met.select(*columns, *(F.coalesce(c, zero).alias(c) for c in ("cv", "kv", "cw", "kw")))
+    return stored(plain.unionByName(met).mapInArrow(
+        weigh, "key long, n long, ratio float, bucket byte, held long, held_bucket byte, held_cell short"), "lm-pairs")
+
+
+def _pair_weights(ratios: DataFrame) -> np.ndarray:
+    """How much word pairs weigh against the class model, per bucket of the count of the word before."""
+    got = ratios.where(F.col("held") > 0).groupBy("held_bucket", "held_cell").agg(F.sum("held").alias("n")).toArrow()
+    cell = got["held_cell"].to_numpy().astype(float)
+    ratio = np.where(cell > -(1 << 15), np.exp2(cell / STEPS), 0.0)
+    return mixture_weights(np.stack([ratio, np.ones(len(ratio))], 1), got["held_bucket"].to_numpy().astype(np.int64),
+                           got["n"].to_numpy().astype(float))[:, 0]
+
+
+def _frequent_pairs(gains: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, gains) of the most frequent pairs, whole powers of two of the count, at most ``limit``."""
+    band = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = dict(gains.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect())
+    lowest, room = 64, limit
+    for b in sorted(sizes, reverse=True):
+        if sizes[b] > room:
+            break
+        room, lowest = room - sizes[b], b
+    got = gains.where(band >= lowest).select("key", "gain").toArrow()
+    keys, gain = got["key"].to_numpy(), got["gain"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], gain[order]
+
+
+def _once_a_document(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, times, cuts at documents) with each key once per document."""
+    order = np.lexsort((key, doc))
+    d, k = doc[order], key[order]
+    at = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))) if len(d) else np.zeros(0, np.int64)
+    return k[at], np.diff(np.append(at, len(order))).astype(np.int32), np.searchsorted(d[at], np.arange(n + 1))
+
+
 def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id", head_limit: int = HEAD,
-                    classes: int = CLASSES) -> DataFrame:
+                    classes: int = CLASSES, pair_limit: int = PAIR_HEAD) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     A null text is empty: its one token is the end. Ids may be null or repeat; every row is scored by
@@ -198,7 +351,7 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     n, v, n_kept = counts.agg(F.coalesce(F.sum(every), F.lit(0)), F.count("*"), F.coalesce(F.sum("kept"), F.lit(0))).first()
     head = Head(counts, head_limit, classes)
     matrix = _pair_counts(rows, head, classes)
-    log_class = class_model(matrix[0], matrix[1])
+    log_class, log_kept = class_models(matrix[0], matrix[1])
     # Words of the shared class: how much of the held-out words was never seen among the kept ones.
     own = np.sort(head.ids[head.cls != OTHER])
     shared = counts.where(~F.col("word").isin(B.signed(own).tolist())) if len(own) <= classes else counts
@@ -206,11 +359,14 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
                                            F.coalesce(F.sum(F.when(F.col("kept") == 0, F.col("held"))), F.lit(0))).first()
     new = (unseen + 1) / (other_held + 2)
     floor = np.log10(float(n + v + 1))
+    ratios = _pair_ratios(_word_pairs(rows, head), counts, head, [log_class, log_kept], new, other, other - other_held)
+    weight = F.element_at(F.array(*(F.lit(float(x)) for x in _pair_weights(ratios))), F.col("bucket").cast("int") + 1)
+    gains = ratios.select("key", "n", F.log10(weight * F.col("ratio").cast("double") + 1 - weight).alias("gain"))
     send = docs.sparkSession.sparkContext.broadcast(
-        (head.ids, head.n, head.cls, log_class))
+        (head.ids, head.n, head.cls, head.kept, *_frequent_pairs(gains, pair_limit), log_class))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *frequent, log_class = send.value
+        *frequent, pair_key, pair_gain, log_class = send.value
         head = Head.of(*frequent)
         for batch in batches:
             for run in B.slices(batch["text"]):
@@ -222,27 +378,26 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
                 if not len(head.ids):
                     done = t.ids == B.U64(_END_ID)
                 base = np.bincount(t.doc, np.where(done, np.log10(c + 1.0) - floor, 0), run.n)
+                key = head.pairs(t)[2]
+                at = np.minimum(np.searchsorted(pair_key, key), max(len(pair_key) - 1, 0))
+                met = pair_key[at] == key if len(pair_key) else np.zeros(len(key), bool)
+                model[met] += pair_gain[at[met]]
                 total = np.bincount(t.doc, model, run.n)
-                left = np.flatnonzero(~done)
-                # Words that are not frequent wait for the join with their counts, each once per document.
-                order = left[np.lexsort((t.ids[left], t.doc[left]))]
-                first = np.ones(len(order), bool)
-                first[1:] = (t.doc[order][1:] != t.doc[order][:-1]) | (t.ids[order][1:] != t.ids[order][:-1])
-                at = np.flatnonzero(first)
-                times = np.diff(np.append(at, len(order)))
-                pick = order[at]
-                cut = np.searchsorted(t.doc[pick], np.arange(run.n + 1))
-                waiting = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(B.signed(t.ids[pick])), pa.array(times.astype(np.int32))], ["word", "times"]))
+                # Words and pairs that are not frequent wait for the join with their counts, each once per document.
+                lists = []
+                for name, values, late in (("word", B.signed(t.ids), ~done), ("key", key, ~met)):
+                    value, times, cut = _once_a_document(t.doc[late], values[late], run.n)
+                    lists.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(
+                        [pa.array(value), pa.array(times)], [name, "times"])))
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"].slice(run.first, run.n), pa.array(np.bincount(t.doc, minlength=run.n)),
-                     pa.array(np.bincount(t.doc[done], (c[done] > 0), run.n).astype(np.int64)), pa.array(base), pa.array(total), waiting],
-                    names=["id", "n_tokens", "n_known", "base", "total", "waiting"])
+                     pa.array(np.bincount(t.doc[done], (c[done] > 0), run.n).astype(np.int64)), pa.array(base), pa.array(total), *lists],
+                    names=["id", "n_tokens", "n_known", "base", "total", "waiting", "pairs"])
 
     kind = rows.schema["id"].dataType.simpleString()
     scored = stored(rows.select("id", "text").mapInArrow(
         score, f"id {kind}, n_tokens long, n_known long, base double, total double, "
-               "waiting array<struct<word: long, times: int>>")
+               "waiting array<struct<word: long, times: int>>, pairs array<struct<key: long, times: int>>")
         .withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     waiting = scored.select("row", F.explode("waiting").alias("t")).select("row", "t.*")
     c = F.coalesce(every, F.lit(0))
@@ -252,12 +407,14 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
         (F.col("times") * inside).alias("m"))
     rest = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
                                   F.sum("b").alias("b"), F.sum("m").alias("m"))
-    out = scored.drop("waiting").join(rest, "row", "left")
+    paired = (scored.select("row", F.explode("pairs").alias("t")).select("row", "t.*").join(gains.select("key", "gain"), "key")
+              .groupBy("row").agg(F.sum(F.col("times") * F.col("gain")).alias("g")))
+    out = scored.drop("waiting", "pairs").join(rest, "row", "left").join(paired, "row", "left")
     zero = F.lit(0)
     return out.select(
         F.col("id").alias(row_id), (remainder(F.col("id"), FOLDS) == LEFT_OUT).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("known", zero)).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("total") + F.coalesce("m", zero)).alias("score"))
+        (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("total") + F.coalesce("m", zero) + F.coalesce("g", zero)).alias("score"))
 
 
 @query("op8_lm")

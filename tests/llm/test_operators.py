@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -394,6 +395,24 @@ def test_base_scores_by_hand(odd, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_pairs_of_words_outside_the_classes_count(spark):
+    """Words of the shared class: a pair seen in training scores better than the same words in an order never seen."""
+    rng = random.Random(1)
+    names = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"{a} {a}x" for a in rng.choices(names, k=30)), ) for i in range(300)]
+    left = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(left[0], "w1 w1x w2 w2x w3 w3x"), (left[1], "w1 w2x w2 w3x w3 w1x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for limits in ({"head_limit": 8}, {"head_limit": 1000, "pair_limit": 0}):
+        got = {r.doc_id: r for r in lm.score_documents(docs, classes=2, **limits).collect()}
+        seen, unseen = (got[i] for i in left)
+        assert abs(seen.base_score - unseen.base_score) < 1e-9 and seen.score > unseen.score + 3
+        scores.append({i: round(r.score, 5) for i, r in got.items()})
+    # Where a pair's count lies, on the driver or in the table, changes nothing.
+    assert scores[0] == scores[1]
+
+
 def test_mixture_weights_raise_the_likelihood():
     rng = np.random.default_rng(5)
     kept, held = rng.poisson(3, (20, 20)), rng.poisson(1, (20, 20))
