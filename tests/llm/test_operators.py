@@ -256,6 +256,18 @@ def test_toxicity_on_held_out(spark, prose, odd, none):
     assert len({r.score for r in toxicity.score(docs, empty).collect()}) == 1
 
 
+def test_every_word_that_speaks_for_the_label_is_used(spark, prose):
+    """150 words go with the label alike, each in a few documents: none of them may be cut off."""
+    rows = [(i, prose(8, i) + (f" bad{i // 3 % 150}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(2700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    trained = Counter(i // 3 % 150 for i, _, y in rows if y and zlib.crc32(str(i).encode()) % 5)
+    model = toxicity.train(docs.drop("toxic"), docs.drop("text"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    marked = [i for i, _, y in rows if y and trained[i // 3 % 150] >= 3]
+    assert len(marked) > 800 and all(got[i].evidence and got[i].evidence[0].label == 1 for i in marked)
+    assert len({i // 3 % 150 for i in marked if got[i].score >= 0.5}) > 140
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(3)
     dense = rng.random((700, 20)) * (rng.random((700, 20)) < 0.2)
@@ -270,6 +282,18 @@ def test_nearest_is_exact():
         assert np.allclose(found, every[every > 0], atol=1e-5)
 
 
+def test_short_lists_give_what_blocks_give(monkeypatch):
+    rng = np.random.default_rng(4)
+    dense = rng.random((700, 20)) * (rng.random((700, 20)) < 0.2)
+    index = toxicity.BlockMaxIndex(np.arange(20, dtype=np.uint64), np.ones(20), np.arange(700), np.zeros(700), dense)
+    queries = [(np.sort(rng.choice(20, 4, replace=False)), rng.random(4) + 0.1) for _ in range(30)]
+    whole = [index.nearest(*q, 15, leave_out=3) for q in queries]
+    monkeypatch.setattr(toxicity, "SHORT_LISTS", -1)
+    for (near, cosines), q in zip(whole, queries):
+        got = index.nearest(*q, 15, leave_out=3)
+        assert np.array_equal(got[0], near) and np.array_equal(got[1], cosines)
+
+
 # ---------------------------------------------------------------- 6 mixing
 
 @settings(max_examples=100, deadline=None)
