@@ -177,12 +177,12 @@ def _possible(c: Column, a: str, b: str, percent: int) -> Column:
 
 def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int = WORDS,
          percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, n_links, component_id) for every row.
+    """(id, n_shingles, component_id) for every row.
 
     Two rows link when their sets reach the threshold. A text without words, or null, has an empty set and
     links with nothing, so its component is its own id. Rows with equal sets count as one node of the
-    graph; ``n_links`` counts the other nodes that a row's node was compared with and linked to, which may
-    be fewer than all where nodes were connected otherwise. Fewer than ``words`` words are one shingle.
+    graph; links inside a component that is connected already are not looked for, so there is no count of
+    links. Fewer than ``words`` words are one shingle.
     Rows without an id take part, but a component is named by its smallest id that is not null.
     """
     rows = docs.select(F.col(row_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -229,17 +229,14 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     links = stored(first.union(second).select("a", "b").distinct(), "jaccard-all-links")
 
     roots = components(links)
-    degree = links.select(F.col("a").alias("nid")).union(links.select(F.col("b").alias("nid"))).groupBy("nid").agg(
-        F.count("*").alias("n_links"))
     placed = (nodes.select("node", "nid", "id")
-              .join(roots.withColumnRenamed("node", "nid"), "nid", "left").join(degree, "nid", "left")
-              .withColumns({"root": F.coalesce("root", "nid"), "n_links": F.coalesce("n_links", F.lit(0))}))
+              .join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+              .withColumn("root", F.coalesce("root", "nid")))
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    placed = placed.join(named, "root").select("node", "n_links", "component_id")
+    placed = placed.join(named, "root").select("node", "component_id")
     filled = F.when(F.col("n") > 0, F.col("node"))
     out = matrix.select("id", "n", filled.alias("node")).join(placed, "node", "left")
     return out.select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -492,6 +492,11 @@ def test_join_of_a_near_copy_family(spark, prose, seed):
     assert got == join_by_hand(rows)
 
 
+def test_join_claims_no_count_of_links(odd):
+    """Pairs inside a connected component are not compared, so a count of links would be too low."""
+    assert jaccard_join.join(odd).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     assert {r.node: r.root for r in components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
