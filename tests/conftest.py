@@ -8,10 +8,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from fixed import AS_OF  # noqa: E402
 from runlens.session import build_session  # noqa: E402
 
-AS_OF = dt.datetime(2026, 8, 20, 12, 0, tzinfo=dt.timezone.utc)
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -36,8 +35,3 @@ def seed(spark):
     workflows = spark.createDataFrame([("wf-a", "Alpha", True), ("wf-b", "Beta", True)],
                                       "id string, name string, active boolean")
     return executions, workflows
-
-
-def rows(df, *columns):
-    picked = df.select(*columns) if columns else df
-    return sorted([tuple(r) for r in picked.collect()], key=repr)

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from fixed import rows
 from runlens.functions import text
 from runlens.operators import accesslog
 from runlens.streaming import stateful

@@ -11,7 +11,7 @@ from runlens.params import BadRequest
 from runlens.plans.history import check_select
 from runlens.operators.care import retention_cutoff
 
-from conftest import AS_OF
+from fixed import AS_OF
 
 
 @pytest.mark.parametrize("bad", ["foo", "", None, {}, [], "2026-13-45", "0202-01-01T00:00:00Z", "3000-01-01"])

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, rows
+from fixed import AS_OF, rows
 from runlens import params
 from runlens.operators.scope import Scope, resolve_scope
 from runlens.params import BadRequest

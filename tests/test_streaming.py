@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from conftest import AS_OF, rows
+from fixed import AS_OF, rows
 from runlens import schemas
 from runlens.sources.store import BlockTable
 from runlens.streaming import sync_stream

@@ -8,7 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF, rows
+from fixed import AS_OF, rows
 from runlens import schemas
 from runlens.functions.errors import RULES_VERSION
 from runlens.operators import care, queue, settings, sync
