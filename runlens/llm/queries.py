@@ -1,6 +1,7 @@
 """All named queries of the text operators."""
 
 from runlens.llm import (  # noqa: F401
+    alignment,
     decontamination,
     exact_dedup,
     html_text,
