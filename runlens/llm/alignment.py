@@ -37,7 +37,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs whose counts travel with every task.
 HEAD = 1 << 20
 #: Characters of text that are aligned at a time, and bytes of known segments that a task keeps between slices.
-SLICE, KNOWN = 4 << 20, 64 << 20
+SLICE, KNOWN = 2 << 20, 48 << 20
 #: White space and what follows up to the next space after a character that is no white space.
 _SEGMENT = re.compile(r"\s+\S*(?:[^\S ]\s*\S*)*")
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
