@@ -12,6 +12,7 @@ from runlens.llm import (  # noqa: F401
     sharding,
     suffix_dedup,
     toxicity,
+    warc,
 )
 from runlens.llm.registry import ORACLE_SQL, QUERIES
 

@@ -27,8 +27,8 @@ def test_same_rows(spark, name):
         assert got == compare.oracle(FOLDER, ORACLE_SQL[name])
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_takes_each_stage_to_effect(spark):
