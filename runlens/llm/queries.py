@@ -4,6 +4,7 @@ from runlens.llm import (  # noqa: F401
     alignment,
     decontamination,
     exact_dedup,
+    hard_negatives,
     html_text,
     jaccard_join,
     lm,
