@@ -17,9 +17,17 @@ def _read(t):
     return payloads_for(t.payloads, t.executions, t.executions.filter("status = 'error'"))
 
 
-@query("e1_decode_payload", "SELECT id AS execution_id FROM error_candidates WHERE id % 10 <> 7")
+@query("e1_decode_payload", """
+SELECT id AS execution_id, 22 + 0 * id AS n_items, id % 10 IN (2, 5) AS listed, 's' || error_message AS message,
+  '{"row":' || CAST(id AS VARCHAR) || '}' AS input_data
+FROM error_candidates WHERE id % 10 <> 7""")
 def _(t):
-    return payload.decode(_read(t)).select("execution_id")
+    decoded = payload.decode(_read(t), subtrees=True)
+    root, first = ("resultData", "error", "message"), (0, "resultData", "error", "message")
+    return decoded.select(
+        "execution_id", F.col("n_items").cast("bigint").alias("n_items"), F.expr(f"{payload.leaf(0)} is not null").alias("listed"),
+        F.expr(f"coalesce({payload.leaf(*root)}, {payload.leaf(*first)})").alias("message"),
+        F.expr("greatest(subtrees[0], subtrees[2])").alias("input_data"))
 
 
 @query("e2_extract_errors", """

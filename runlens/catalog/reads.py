@@ -96,6 +96,27 @@ def _(t):
     return trace_lookup(readers.payloads_for(t.payloads, t.executions, ids))
 
 
+@query("s8_full_trace", """
+SELECT id AS execution_id, coalesce(nullif(error_message, ''), 'Unknown error detail') AS message,
+  error_message AS trace_message, error_stack AS trace_stack, node_name AS trace_node, node_type AS trace_type,
+  source_node AS trace_source, CAST(id AS VARCHAR) AS trace_input, '2' AS trace_retries
+FROM error_candidates WHERE id % 10 <> 7""")
+def _(t):
+    ids = t.executions.filter("status = 'error'")
+    traces = trace_lookup(readers.payloads_for(t.payloads, t.executions, ids), full=True)
+
+    def at(path: str, name: str):
+        """A member of the trace, which is one object or a list of one."""
+        return F.coalesce(*[F.get_json_object("full_error", f"${start}.{path}") for start in ("", "[0]")]).alias(name)
+
+    frame = "executionData.nodeExecutionStack[0]"
+    return traces.select(
+        "execution_id", "message", at("resultData.error.message", "trace_message"), at("resultData.error.stack", "trace_stack"),
+        at("resultData.error.node.name", "trace_node"), at("resultData.error.node.type", "trace_type"),
+        at(f"{frame}.source.main[0].previousNode", "trace_source"), at(f"{frame}.data.row", "trace_input"),
+        at("executionData.metadata.retries", "trace_retries"))
+
+
 @query("s9_keyed_upsert", """
 SELECT coalesce(n.workflow_id, o.workflow_id) AS workflow_id,
   CASE WHEN n.workflow_id IS NOT NULL THEN n.saved_time_seconds ELSE o.saved_time_seconds END AS saved_time_seconds,

@@ -2,283 +2,309 @@
 
 A payload is one JSON array. Element 0 is the root; inside objects and arrays a
 *string* is the index of another element, while numbers and booleans stand for
-themselves. Fixed paths are followed with variant expressions, so decoding runs
-in the JVM; only a whole-subtree dump needs Python, and only for rows that have
-such a subtree.
+themselves. Each payload is parsed once, in Arrow batches where it is read: a small
+helper follows the wanted paths from element to element and returns what they lead
+to, and subtrees that are wanted whole. Which of it counts is decided by column
+expressions. Payload texts go no further than that one step.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from runlens.functions.errors import resolve
 from runlens.schemas import ERROR
 
-# A shared subtree is written in full so many times per item of the payload, then referred to.
-GROWTH = 64
+# Characters of a subtree's text that a cell can hold. Sharing makes longer ones out of small payloads;
+# they cannot be written as a tree, like a cycle.
+TEXT_LIMIT = 1 << 28
 
 UNKNOWN_NODE = "Unknown Node"
 UNKNOWN_TYPE = "Unknown Type"
 NO_DETAIL = "Unknown error detail"
 
+# --- the wanted paths ---------------------------------------------------------
+# Member names are those of the payload format.
 
-# --- following references -----------------------------------------------------
-# Paths are written as SQL text: a path of a few steps is a deep expression, and
-# one parsed string is built far faster than its hundreds of column objects.
-# ``let`` evaluates a value once, however often the body mentions it; repeating
-# the inner expression instead would double the plan with every step.
+_ERROR = [("description",), ("message",), ("name",), ("stack",), ("node", "id"), ("node", "name"), ("node", "type"),
+          ("httpCode",), ("statusCode",), ("status",), ("context", "httpCode"), ("cause", "httpCode"),
+          ("cause", "statusCode"), ("cause", "status"), ("response", "status"), ("response", "statusCode")]
+_FRAME = ("executionData", "nodeExecutionStack", -1)
+_SOURCE = (*_FRAME, "source", "main", 0)
+_BODY = [("resultData",), ("resultData", "lastNodeExecuted"), ("executionData", "runtimeData", "source"),
+         (*_SOURCE, "previousNode"), (*_SOURCE, "previousNodeOutput"), *[("resultData", "error", *p) for p in _ERROR]]
+_WHOLE = {"input": (*_FRAME, "data"), "metadata": ("executionData", "metadata")}
+#: The result sits at the root, or in the first member of a list-like root, which may carry the error directly.
+LEAVES = [*_BODY, (0,), *[(0, *p) for p in _BODY], (0, "message"), *[(0, "error", *p) for p in _ERROR]]
+_AT = {path: i for i, path in enumerate(LEAVES)}
 
-def _let(value: str, body: str) -> str:
-    return f"get(transform(array({value}), v -> {body}), 0)"
 
+# --- following them -----------------------------------------------------------
 
-def _variant(value: str, path: str = "'$'", kind: str = "variant") -> str:
-    return f"try_variant_get({value}, {path}, '{kind}')"
-
-
-def _follow(doc: str, value: str) -> str:
+def _reference(items: list, value: object) -> object:
     """The element a string member points at; any other member is the value itself."""
-    if not re.fullmatch(r"[\w.]+", value):
-        return _let(value, _follow(doc, "v"))
-    reference = _variant(value, kind="string")
-    path = f"if({reference} rlike '^[0-9]{{1,9}}$', concat('$[', {reference}, ']'), null)"
-    return f"if(schema_of_variant({value}) = 'STRING', {_variant(doc, path)}, {value})"
+    if not isinstance(value, str):
+        return value
+    at = int(value) if value.isascii() and value.isdigit() and len(value) < 10 else len(items)
+    return items[at] if at < len(items) else None
 
 
-def member(doc: str, container: str, *keys: str | int) -> str:
-    """Resolved member of a container element; ``keys`` are names or positions."""
-    for key in keys:
-        path = f"'$[{key}]'" if isinstance(key, int) else f"'$.{key}'"
-        container = _follow(doc, _variant(container, path))
-    return container
+def _member(items: list, container: object, key: str | int) -> object:
+    if isinstance(container, dict):
+        return _reference(items, container.get(str(key)))
+    if isinstance(container, list) and isinstance(key, int) and container:
+        return _reference(items, container[key])
+    return None
 
 
-def _truthy(value: str) -> str:
-    """NULL unless the value counts as true: no null, false, 0 or empty text."""
-    return _let(value, f"""case
-        when schema_of_variant(v) = 'STRING' then if({_variant("v", kind="string")} <> '', v, null)
-        when startswith(schema_of_variant(v), 'OBJECT') or startswith(schema_of_variant(v), 'ARRAY') then v
-        when schema_of_variant(v) = 'BOOLEAN' then if({_variant("v", kind="boolean")}, v, null)
-        when schema_of_variant(v) <> 'VOID' and coalesce({_variant("v", kind="double")} <> 0, true) then v end""")
+def _tree(paths: list[tuple]) -> dict:
+    """Paths as nested mappings, so that a common start is followed once; the place of a path lies under None."""
+    tree: dict = {}
+    for i, path in enumerate(paths):
+        node = tree
+        for key in path:
+            node = node.setdefault(key, {})
+        node[None] = i
+    return tree
 
 
-def _members(container: str, *names: str) -> str:
-    """Several members of one object, not yet followed, in a single look-up."""
-    fields = ", ".join(f"{n}: variant" for n in names)
-    return _variant(container, kind=f"struct<{fields}>")
+def _collect(items: list, container: object, tree: dict, out: list) -> None:
+    for key, below in tree.items():
+        if key is not None and (value := _member(items, container, key)) is not None:
+            if None in below:
+                out[below[None]] = value
+            if len(below) > (None in below):
+                _collect(items, value, below, out)
 
 
-def _text(value: str) -> str:
-    """Text of a leaf, NULL when empty or absent."""
-    return _variant(_truthy(value), kind="string")
-
-
-def _first(*values: str) -> str:
-    return f"coalesce({', '.join(values)})"
-
-
-# --- decoding -----------------------------------------------------------------
-
-def _opened(text: str) -> str:
-    """A payload text with its document, which is NULL unless it is a JSON array."""
-    return (f"named_struct('doc', try_parse_json(if({text} rlike '^\\\\s*\\\\[', {text}, null)), "
-            f"'text', {text})")
-
-
-def decode(df: DataFrame, data: str = "data") -> DataFrame:
-    """Add ``doc`` (the payload as a variant), its ``root`` and its own text; rows
-    that cannot be decoded have no document and drop out.
-
-    A payload whose root has a text member ``data`` is a payload inside a
-    payload; when that text decodes, it takes the place of the outer one.
-    """
-    found = f"filter(array({_opened(data)}), d -> d.doc is not null)"
-    inner_text = _let(member("o.doc", _variant("o.doc", "'$[0]'"), "data"),
-                      f"if(schema_of_variant(v) = 'STRING', {_variant('v', kind='string')}, null)")
-    inner = _let(inner_text, _opened("v"))
-    innermost = f"transform({found}, o -> {_let(inner, 'if(v.doc is not null, v, o)')})"
-    return (df.select("*", F.expr(f"explode({innermost})").alias("_decoded"))
-            .selectExpr("* except (_decoded)", "_decoded.doc as doc", "_decoded.text as payload_text",
-                        f"{_variant('_decoded.doc', chr(39) + '$[0]' + chr(39))} as root"))
+def opened(text: str | None) -> list | None:
+    """The elements of a payload, or of the payload inside it; None unless the text is a JSON array."""
+    def parsed(text: object) -> list | None:
+        try:
+            items = _decoder().decode(text) if isinstance(text, str) else None
+        except (ValueError, RecursionError):
+            return None
+        return items if isinstance(items, list) else None
 
+    items = parsed(text)
+    inner = parsed(_member(items, items[0], "data")) if items else None
+    return items if inner is None else inner
 
-ERROR_MEMBERS = ("description", "message", "name", "stack", "node", "httpCode", "statusCode",
-                 "status", "context", "cause", "response")
-NODE_MEMBERS = ("id", "name", "type")
 
+def _refuse(name: str) -> None:
+    raise ValueError(name)
 
-def http_status(doc: str, error: str) -> str:
-    """HTTP status of an error: the first candidate that is a whole number in
-    100..599. Text counts by its leading digits. ``error`` is a column holding the
-    :data:`ERROR_MEMBERS` of the error object."""
 
-    def valid(value: str) -> str:
-        number = _let(value, f"""case
-            when schema_of_variant(v) = 'STRING'
-              then try_cast(regexp_extract({_variant("v", kind="string")}, '^\\\\s*([+-]?[0-9]+)', 1) as double)
-            when schema_of_variant(v) not in ('BOOLEAN', 'VOID') then {_variant("v", kind="double")} end""")
-        code = _let(number, "if(v = floor(v) and v between 100 and 599, cast(v as bigint), null)")
-        return code
+@lru_cache(1)
+def _decoder() -> json.JSONDecoder:
+    return json.JSONDecoder(parse_constant=_refuse)
 
-    def first_truthy(part: str, *keys: str) -> str:
-        return _let(_follow(doc, f"{error}.{part}"), _first(*[_truthy(member(doc, "v", k)) for k in keys]))
 
-    def given(part: str, code: str) -> str:
-        return f"if({error}.{part} is null, null, {code})"
+def _inside(value: object, follow) -> list[tuple[str | None, object]]:
+    """Names and followed members of a container; a reference that leads nowhere leaves an object."""
+    if isinstance(value, dict):
+        return [(k, follow(v)) for k, v in value.items() if not (isinstance(v, str) and follow(v) is None)]
+    return [(None, follow(v)) for v in value]
 
-    return _first(
-        *[given(part, valid(_follow(doc, f"{error}.{part}"))) for part in ("httpCode", "statusCode", "status")],
-        given("context", valid(member(doc, _follow(doc, f"{error}.context"), "httpCode"))),
-        given("cause", valid(first_truthy("cause", "httpCode", "statusCode", "status"))),
-        given("response", valid(first_truthy("response", "status", "statusCode"))))
 
+def _leaf(value: object) -> str:
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        value = int(value)
+    return json.dumps(value, ensure_ascii=False)
 
-def _subtree(items: list, path: list[str | int], indent: int | None = None) -> str:
-    """JSON text of the subtree at ``path`` with every reference expanded.
 
-    A reference cycle cannot be written as JSON and yields ''.
+def _tree_size(root: object, follow) -> int | None:
+    """Characters of the text of ``root``, each container counted once however often it is met; None if it contains itself."""
+    size: dict[int, int | None] = {}
+    todo: list = [(root, False)]
+    while todo:
+        value, left = todo.pop()
+        if not isinstance(value, (dict, list)) or (not left and size.get(id(value), 0)):
+            continue
+        inner = _inside(value, follow)
+        if left:
+            size[id(value)] = 2 + sum((len(k) + 4 if k is not None else 1) + (size[id(v)] if isinstance(v, (dict, list)) else len(_leaf(v)))
+                                      for k, v in inner)
+            continue
+        if id(value) in size:  # entered and not left
+            return None
+        size[id(value)] = 0
+        todo.append((value, True))
+        for _, v in inner:
+            if isinstance(v, (dict, list)):
+                if size.get(id(v)) == 0:
+                    return None
+                todo.append((v, False))
+    return size.get(id(root), 0)
+
+
+def _written(root: object, follow, indent: int | None) -> str:
+    """JSON text of ``root`` with every shared container in full, without recursion.
+
+    '' when it contains itself, or when sharing makes it longer than ``TEXT_LIMIT``.
     """
-
-    def follow(value: object) -> object:
-        if not isinstance(value, str):
-            return value
-        return items[int(value)] if value.isdigit() and int(value) < len(items) else None
-
-    node = items[0] if items else None
-    for step in path:
-        if isinstance(node, dict):
-            node = follow(node.get(str(step)))
-        elif isinstance(node, list) and isinstance(step, int) and node:
-            node = follow(node[step])
-        else:
-            return ""
-    if node in (None, "", 0, False):
+    size = _tree_size(root, follow)
+    if size is None or size > TEXT_LIMIT:
         return ""
-
-    return _written(node, items, follow, indent)
-
-
-def _written(root: object, items: list, follow, indent: int | None) -> str:
-    """JSON text of ``root``, without recursion; '' when it contains itself.
-
-    A container met again is written again as long as no more than ``GROWTH`` containers per item of the
-    payload have been written. From then on it is referred to as ``{"$ref":"item"}``, so that a payload of
-    n items never makes more than GROWTH * n containers of text.
-    """
-    dumps = lambda v: json.dumps(v, ensure_ascii=False)
-    number = {id(v): i for i, v in enumerate(items) if isinstance(v, (dict, list))}
     parts: list[str] = []
     todo: list = [(root, 1)]
-    open_ids: set[int] = set()
-    met: set[int] = set()
-    written, most = 0, GROWTH * len(items)
     while todo:
         step = todo.pop()
         if isinstance(step, str):
             parts.append(step)
             continue
         value, depth = step
-        if depth == 0:
-            open_ids.discard(value)
-            continue
-        if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-            value = int(value)
         if not isinstance(value, (dict, list)):
-            parts.append(dumps(value))
+            parts.append(_leaf(value))
             continue
-        me = id(value)
-        if me in open_ids:
-            return ""
-        if me in met and written >= most:
-            parts.append(f'{{"$ref":"{number.get(me, "")}"}}')
-            continue
-        written += 1
-        met.add(me)
-        open_ids.add(me)
         mark, end = ("{", "}") if isinstance(value, dict) else ("[", "]")
-        if isinstance(value, dict):
-            inner = [(dumps(k) + (": " if indent else ":"), follow(v)) for k, v in value.items()
-                     if not (isinstance(v, str) and follow(v) is None)]
-        else:
-            inner = [("", follow(v)) for v in value]
+        inner = _inside(value, follow)
         line = "\n" + " " * (indent * depth) if indent else ""
-        last = "\n" + " " * (indent * (depth - 1)) if indent and inner else ""
-        todo += [(me, 0), last + end]
+        todo.append(("\n" + " " * (indent * (depth - 1)) if indent and inner else "") + end)
         for i in range(len(inner) - 1, -1, -1):
             name, child = inner[i]
-            todo += [(child, depth + 1), ("," if i else mark) + line + name]
+            label = "" if name is None else json.dumps(name, ensure_ascii=False) + (": " if indent else ":")
+            todo += [(child, depth + 1), ("," if i else mark) + line + label]
         if not inner:
             todo.append(mark)
     return "".join(parts)
 
 
-def subtree_json(text: Column, paths: list[list[str | int]], indent: int | None = None) -> Column:
-    """Whole subtrees of a payload as JSON text, one per path, '' when absent or
-    cyclic. Arrow batch function; the payload is parsed once for all paths. Pass
-    NULL for rows that cannot have any of the subtrees.
-    """
+def _marked(value: object) -> str:
+    """A value with a letter for its kind before it: text, number, boolean, container."""
+    if isinstance(value, str):
+        return "s" + value
+    if isinstance(value, bool):
+        return "btrue" if value else "bfalse"
+    return ("o" if isinstance(value, (dict, list)) else "n") + _leaf(value)
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def dump(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(value: object) -> list[str]:
-            try:
-                items = json.loads(value) if isinstance(value, str) else None
-            except ValueError:
-                items = None
-            return [_subtree(items, path, indent) if isinstance(items, list) else "" for path in paths]
 
+def _whole(items: list, path: tuple, indent: int | None = None) -> str:
+    """JSON text of the subtree at ``path``, '' when absent, without content or not to be written."""
+    node: object = items[0] if items else None
+    for key in path:
+        node = _member(items, node, key)
+    if node in (None, "", 0, False):
+        return ""
+    return _written(node, lambda v: _reference(items, v), indent)
+
+
+def decode(df: DataFrame, data: str = "data", *, subtrees: bool = False, full: bool = False) -> DataFrame:
+    """The rows that can be decoded, without the text but with what it holds: ``n_items``, ``leaves`` (one marked value
+    per path of :data:`LEAVES`), and on request the ``subtrees`` of both shapes and the ``full`` trace.
+
+    A payload whose root has a text member ``data`` is a payload inside a
+    payload; when that text decodes, it takes the place of the outer one.
+    """
+    keep = [c for c in df.columns if c != data]
+    tree = _tree(LEAVES)
+    whole = [*_WHOLE.values(), *[(0, *p) for p in _WHOLE.values()]] if subtrees else []
+    strings = pa.list_(pa.string())
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.map(one)
+            rows, kept = [], []
+            for i, text in enumerate(batch.column(data)):
+                items = opened(text.as_py())
+                if items is None:
+                    continue
+                out: list = [None] * len(LEAVES)
+                if items:
+                    _collect(items, items[0], tree, out)
+                kept.append(i)
+                rows.append((len(items), [None if v is None else _valid(_marked(v)) for v in out], [_valid(_whole(items, p)) for p in whole],
+                             _valid(_whole(items, (), 2)) if full else None))
+            columns = list(zip(*rows)) or [[], [], [], []]
+            part = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in keep), pa.array(columns[0], pa.int32()), pa.array(columns[1], strings),
+                 pa.array(columns[2], strings), pa.array(columns[3], pa.string())],
+                names=[*keep, "n_items", "leaves", "subtrees", "full"])
 
-    return dump(text)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    return df.mapInArrow(follow, f"{shape}, n_items int, leaves array<string>, subtrees array<string>, full string")
 
 
-# --- extraction ---------------------------------------------------------------
+def _valid(text: str | None) -> str | None:
+    """Half a surrogate pair cannot be stored and becomes a question mark."""
+    return text if text is None or text.isascii() else text.encode("utf-8", "replace").decode()
 
-def _locate(df: DataFrame, data: str) -> DataFrame:
-    """Decoded rows with the error objects and the execution data of both shapes.
 
-    ``plain``: the result sits at the root. Otherwise the root is list-like and
-    its first member holds the result, which may carry the error directly.
-    """
-    first = _truthy(_first(member("doc", "root", 0), member("doc", "root", "0")))
-    return (decode(df, data)
-            .selectExpr("*", f"{_truthy(member('doc', 'root', 'resultData'))} as _plain")
-            .selectExpr("*", f"if(_plain is not null, root, {first}) as _base")
-            .selectExpr("*", f"coalesce(_plain, {member('doc', '_base', 'resultData')}) as _result",
-                        f"{member('doc', '_base', 'executionData')} as _exec",
-                        f"if(_plain is null, {member('doc', '_base', 'error')}, null) as _err2")
-            .selectExpr("*", f"{member('doc', '_result', 'error')} as _err1")
-            .selectExpr("*", f"{_members('_err1', *ERROR_MEMBERS)} as _e1",
-                        f"{_members('_err2', *ERROR_MEMBERS)} as _e2")
-            .selectExpr("*", f"{_members(_follow('doc', '_e1.node'), *NODE_MEMBERS)} as _n1",
-                        f"{_members(_follow('doc', '_e2.node'), *NODE_MEMBERS)} as _n2"))
+# --- columns ------------------------------------------------------------------
 
+def leaf(*path: str | int) -> str:
+    """What a path leads to, as SQL; see :func:`decode`."""
+    return f"leaves[{_AT[path]}]"
 
-def _field(column: str) -> str:
-    """Text behind one looked-up member; nothing is evaluated where it is absent."""
-    return f"if({column} is null, null, {_text(_follow('doc', column))})"
+
+def _truthy(value: str) -> str:
+    """NULL unless the value counts as true: no null, false, 0 or empty text."""
+    return (f"case left({value}, 1) when 's' then if(length({value}) > 1, {value}, null) when 'o' then {value} "
+            f"when 'b' then if({value} = 'btrue', {value}, null) when 'n' then if(try_cast(substr({value}, 2) as double) = 0, null, {value}) end")
+
+
+def _text(value: str) -> str:
+    """Text of a leaf, NULL when empty or absent."""
+    return f"substr({_truthy(value)}, 2)"
 
 
-def _either(key: str, first: str = "_e1", second: str = "_e2") -> str:
-    return f"{_field(f'{first}.{key}')}, {_field(f'{second}.{key}')}"
+def _number(value: str) -> str:
+    """A number, or the leading digits of a text."""
+    return (f"case left({value}, 1) when 's' then try_cast(regexp_extract({value}, '^s\\\\s*([+-]?[0-9]+)', 1) as double) "
+            f"when 'n' then try_cast(substr({value}, 2) as double) end")
+
+
+def _first(*values: str) -> str:
+    return f"coalesce({', '.join(values)})"
+
+
+def _http_status(*error: str | int) -> str:
+    """HTTP status of an error: the first candidate that is a whole number in 100..599. Text counts by its leading digits."""
+    def at(*path: str) -> str:
+        return leaf(*error, *path)
+
+    def truthy(part: str, *keys: str) -> str:
+        return _first(*[_truthy(at(part, k)) for k in keys])
+
+    places = [at("httpCode"), at("statusCode"), at("status"), at("context", "httpCode"),
+              truthy("cause", "httpCode", "statusCode", "status"), truthy("response", "status", "statusCode")]
+    codes = [f"get(filter(array({_number(p)}), v -> v = floor(v) and v between 100 and 599), 0)" for p in places]
+    return f"cast({_first(*codes)} as bigint)"
+
+
+_PLAIN = f"({_truthy(leaf('resultData'))}) is not null"
+_ROOT = ("resultData", "error")
+_LISTED, _DIRECT = (0, *_ROOT), (0, "error")
+
+
+def _pick(plain: str, *listed: str) -> str:
+    """Values of the shape at hand; a list-like root counts only when it has a first member."""
+    return f"if({_PLAIN}, {plain}, if(({_truthy(leaf(0))}) is not null, {_first(*listed)}, null))"
+
+
+def _either(*path: str) -> str:
+    return _pick(_text(leaf(*_ROOT, *path)), _text(leaf(*_LISTED, *path)), _text(leaf(*_DIRECT, *path)))
+
+
+def _body(*path: str | int) -> str:
+    return _pick(_text(leaf(*path)), _text(leaf(0, *path)))
 
 
 def _message(*fallbacks: str) -> str:
-    texts = [_field(f"{error}.{key}") for error in ("_e1", "_e2") for key in ("description", "message")]
-    return _first(*texts, *fallbacks)
+    def texts(*error: str | int) -> list[str]:
+        return [_text(leaf(*error, key)) for key in ("description", "message")]
+
+    return _first(_pick(_first(*texts(*_ROOT)), *texts(*_LISTED), *texts(*_DIRECT)), *fallbacks)
 
 
 def _node_name() -> str:
-    return _first(_text(member("doc", "_result", "lastNodeExecuted")),
-                  _either("name", "_n1", "_n2"), f"'{UNKNOWN_NODE}'")
+    return _first(_body("resultData", "lastNodeExecuted"), _either("node", "name"), f"'{UNKNOWN_NODE}'")
 
 
 def extract(df: DataFrame, data: str = "data", *, with_subtrees: bool = True) -> DataFrame:
@@ -287,40 +313,25 @@ def extract(df: DataFrame, data: str = "data", *, with_subtrees: bool = True) ->
     Input needs ``execution_id``, ``workflow_id``, ``started_at`` and the payload
     text. Output has the columns of the error table except the category.
     """
-    size = "size(try_variant_get(_stack, '$', 'array<variant>'))"
-    last = _variant("_stack", f"if({size} > 0, concat('$[', {size} - 1, ']'), null)")
-    staged = (_locate(df, data)
-              .selectExpr("*", f"{member('doc', '_exec', 'nodeExecutionStack')} as _stack")
-              .selectExpr("*", f"{_follow('doc', last)} as _frame")
-              # The upstream node is read from the plain shape only.
-              .selectExpr("*", f"if(_plain is not null, {member('doc', '_frame', 'source', 'main', 0)}, null) as _source"))
-
-    # Both subtrees of both shapes in one Arrow batch call per row that has any.
-    tails = [["executionData", "nodeExecutionStack", -1, "data"], ["executionData", "metadata"]]
-    present = (f"{_truthy(member('doc', '_frame', 'data'))} is not null or "
-               f"{_truthy(member('doc', '_exec', 'metadata'))} is not null")
-    if with_subtrees:
-        staged = staged.withColumn("_dumps", subtree_json(
-            F.expr(f"if({present}, payload_text, null)"), [*tails, *[[0, *tail] for tail in tails]]))
-
     def dump(i: int) -> Column:
-        return F.expr(f"if(_plain is not null, _dumps[{i}], _dumps[{i + 2}])") if with_subtrees else F.lit("")
+        return F.expr(_pick(f"subtrees[{i}]", f"subtrees[{i + len(_WHOLE)}]", "''")) if with_subtrees else F.lit("")
 
-    return staged.select(
+    # The upstream node is read from the plain shape only.
+    return decode(df, data, subtrees=with_subtrees).select(
         F.col("execution_id").alias("id"),
         "workflow_id",
-        F.expr(_first(_either("id", "_n1", "_n2"), "''")).alias("node_id"),
+        F.expr(_first(_either("node", "id"), "''")).alias("node_id"),
         F.expr(_node_name()).alias("node_name"),
-        F.expr(_first(_either("type", "_n1", "_n2"), f"'{UNKNOWN_TYPE}'")).alias("node_type"),
+        F.expr(_first(_either("node", "type"), f"'{UNKNOWN_TYPE}'")).alias("node_type"),
         F.expr(_first(_either("name"), "''")).alias("error_type"),
         F.expr(_message("''")).alias("error_message"),
         F.expr(_first(_either("stack"), "''")).alias("error_stack"),
-        F.expr(_first(_text(member("doc", "_source", "previousNode")), "''")).alias("source_node"),
-        F.expr(_variant(member("doc", "_source", "previousNodeOutput"), kind="bigint")).alias("source_output_index"),
-        dump(0).alias("input_data"),
-        dump(1).alias("metadata"),
-        F.expr(_first(_text(member("doc", "_exec", "runtimeData", "source")), "''")).alias("execution_source"),
-        F.expr(_first(http_status("doc", "_e1"), http_status("doc", "_e2"))).alias("http_code"),
+        F.expr(f"if({_PLAIN}, {_first(_text(leaf(*_SOURCE, 'previousNode')), chr(39) * 2)}, '')").alias("source_node"),
+        F.expr(f"if({_PLAIN}, try_cast(substr({leaf(*_SOURCE, 'previousNodeOutput')}, 2) as bigint), null)").alias("source_output_index"),
+        F.coalesce(dump(0), F.lit("")).alias("input_data"),
+        F.coalesce(dump(1), F.lit("")).alias("metadata"),
+        F.expr(_first(_body("executionData", "runtimeData", "source"), "''")).alias("execution_source"),
+        F.expr(_pick(_http_status(*_ROOT), _http_status(*_LISTED), _http_status(*_DIRECT))).alias("http_code"),
         F.col("started_at").alias("timestamp"),
     )
 
@@ -339,12 +350,12 @@ def trace_lookup(df: DataFrame, data: str = "data", *, full: bool = False) -> Da
     Unlike the extraction above, the list-like shape falls back to the root's own
     ``message``. Undecodable payloads give no row.
     """
-    own_message = f"if(_plain is null, {_text(member('doc', '_base', 'message'))}, null)"
+    own_message = _pick("null", _text(leaf(0, "message")))
     columns = [F.col("execution_id"), F.col("workflow_id"), F.expr(_node_name()).alias("node_name"),
                F.expr(_message(own_message, f"'{NO_DETAIL}'")).alias("message")]
     if full:
-        columns.append(subtree_json(F.col("payload_text"), [[]], indent=2)[0].alias("full_error"))
-    return _locate(df, data).select(*columns)
+        columns.append(F.col("full").alias("full_error"))
+    return decode(df, data, full=full).select(*columns)
 
 
 def capped(payloads: DataFrame, cap: int | None = None, data: str = "data") -> DataFrame:

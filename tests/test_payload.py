@@ -109,18 +109,39 @@ def _chain(n):
     return [{"resultData": "1"}, *[{"next": str(i + 2), "v": i} for i in range(n)], {"end": True}]
 
 
-def test_deep_subtrees_are_written(spark):
+def test_deep_subtrees_are_written():
     items = _chain(10_000)
-    text = payload._subtree(items, ["resultData"])
+    text = payload._whole(items, ("resultData",))
     assert text.startswith('{"next":{"next":') and text.endswith('"v":1},"v":0}') and text.count('"next"') == 10_000
-    nested = payload._subtree([{"a": "1", "b": 2.0}, ["2", None, 7], {}], [], indent=2)
+    nested = payload._whole([{"a": "1", "b": 2.0}, ["2", None, 7], {}], (), indent=2)
     assert nested == json.dumps({"a": [{}, None, 7], "b": 2}, indent=2)
 
 
-def test_shared_subtrees_grow_within_bounds():
-    items = [{"resultData": "1"}] + [[str(i + 2), str(i + 2)] for i in range(40)] + [{"leaf": True}]
-    text = payload._subtree(items, ["resultData"])
-    assert len(text) < 64 * len(items) * 20 and '"$ref"' in text
-    small = [{"r": "1"}, ["2", "2"], {"x": 1}]
-    assert payload._subtree(small, ["r"]) == '[{"x":1},{"x":1}]'
-    assert payload._subtree([{"r": "0"}], []) == ""
+def _doubling(n):
+    return [{"resultData": "1"}, *[[str(i + 2), str(i + 2)] for i in range(n)], {"leaf": True}]
+
+
+def test_shared_subtrees_have_one_form():
+    def tree(n):
+        return {"leaf": True} if n == 0 else [tree(n - 1)] * 2
+
+    for n in (1, 3, 12):
+        assert payload._whole(_doubling(n), ("resultData",)) == json.dumps(tree(n), separators=(",", ":"))
+    assert payload._whole([{"r": "0"}], ()) == ""
+    assert payload._whole([{"r": "1"}, ["2"], {"x": "1"}], ("r",)) == ""
+
+
+def test_what_no_cell_can_hold_is_not_written():
+    assert payload._whole(_doubling(200), ("resultData",)) == ""
+
+
+def test_odd_leaves(spark):
+    got = extracted(spark, '[{"resultData":"1"},{"error":"2"},{"message":"3","name":"\u00b2","status":"4"},"half \\ud800 pair"," 404x"]',
+                    '[{"resultData":"1"},{"error":"2"},{"message":NaN}]', "[" * 5000 + "]" * 5000)
+    assert got[0].error_message == "half ? pair" and got[0].http_code == 404
+    assert 1 not in got
+
+
+def test_decoding_is_one_arrow_step(spark):
+    plan = payload.extract(frame(spark, PLAIN))._jdf.queryExecution().executedPlan().toString()
+    assert "transform(array(" not in plan and plan.count("MapInArrow") == 1 and "EvalPython" not in plan
