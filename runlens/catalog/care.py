@@ -10,6 +10,7 @@ from runlens.functions.payload import extract
 from runlens.functions.timegrid import floor_column
 from runlens.operators import accesslog, care, queue, settings, sync
 from runlens.operators.upsert import (
+    different_rows,
     ERROR_RULES,
     EXECUTION_RULES,
     insert_missing,
@@ -103,6 +104,18 @@ def _(t):
     return volume.refreshed_cache(t.executions, _cached(t), AS_OF)
 
 
+@query("m5_merged_deltas", f"""
+, {_SERIES.replace("execution_entity", "source")} SELECT * FROM series""")
+def _(t):
+    """The cache of an earlier copy, brought up to date by what differs between the copies alone."""
+    old = t.replica.select("id", "started_at")
+    new = t.source.select("id", "started_at")
+    cache = volume.volume_series(old, volume.rolling_origin(AS_OF))
+    gone = old.join(new, "id", "left_anti")
+    changed = different_rows(old, new)
+    return volume.merged_cache(cache, old.join(changed, "id", "left_semi").union(gone), changed, AS_OF)
+
+
 @query("m6_enqueue", """
 SELECT r.id, CASE WHEN s.id IS NOT NULL THEN 'pending' ELSE analytics_status END AS analytics_status,
   CASE WHEN s.id IS NOT NULL THEN 0 ELSE analytics_attempts END AS analytics_attempts,

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from runlens.catalog.registry import query
 from runlens.functions import text, timegrid
 from runlens.functions.payload import capped, trace_lookup
-from runlens.operators import care, filters, queue, settings, sync
+from runlens.operators import arrivals, care, filters, queue, settings, sync
 from runlens.operators.scope import access_graph, resolve_scope
 from runlens.operators.upsert import upsert
 from runlens.params import metrics_range
@@ -47,8 +47,8 @@ WHERE id > least((SELECT max(id) FROM replica), (SELECT max(id) FROM source))
   OR (id >= (SELECT min(id) FROM replica) AND id NOT IN (SELECT id FROM replica))""")
 def _(t):
     low, mark = t.replica.agg(F.min("id")).first()[0], sync.high_water(t.replica, t.source).first()["high_water"]
-    gaps = sync.remaining_gaps(sync.id_ranges(t.spark, low, mark), t.replica)
-    return sync.incremental(t.source, mark, gaps)
+    blocks = arrivals.arrived(arrivals.blocks(t.spark, low, mark), t.replica, AS_OF)
+    return sync.incremental(t.source, mark, arrivals.asked(blocks, AS_OF, None))
 
 
 @query("s4_watermark_clamp", """

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,11 +82,11 @@ def _collect(items: list, container: object, tree: dict, out: list) -> None:
                 _collect(items, value, below, out)
 
 
-def opened(text: str | None) -> list | None:
+def opened(text: str | None, decoder: json.JSONDecoder) -> list | None:
     """The elements of a payload, or of the payload inside it; None unless the text is a JSON array."""
     def parsed(text: object) -> list | None:
         try:
-            items = _decoder().decode(text) if isinstance(text, str) else None
+            items = decoder.decode(text) if isinstance(text, str) else None
         except (ValueError, RecursionError):
             return None
         return items if isinstance(items, list) else None
@@ -101,11 +100,6 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
-@lru_cache(1)
-def _decoder() -> json.JSONDecoder:
-    return json.JSONDecoder(parse_constant=_refuse)
-
-
 def _inside(value: object, follow) -> list[tuple[str | None, object]]:
     """Names and followed members of a container; a reference that leads nowhere leaves an object."""
     if isinstance(value, dict):
@@ -208,10 +202,11 @@ def decode(df: DataFrame, data: str = "data", *, subtrees: bool = False, full: b
     strings = pa.list_(pa.string())
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder(parse_constant=_refuse)
         for batch in batches:
             rows, kept = [], []
             for i, text in enumerate(batch.column(data)):
-                items = opened(text.as_py())
+                items = opened(text.as_py(), decoder)
                 if items is None:
                     continue
                 out: list = [None] * len(LEAVES)

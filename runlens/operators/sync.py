@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from runlens.functions.timegrid import ts
+from runlens.operators.arrivals import late_rows
 from runlens.operators.filters import not_deleted
 from runlens.schemas import FAILED_STATUSES, OPEN_STATUSES
 
 # --- fixed values -----------------------------------------------------------
 MISSING_GRACE = dt.timedelta(hours=1)
-GAP_BLOCK = 1_000_000
 # ----------------------------------------------------------------------------
 
 
@@ -34,43 +33,11 @@ def high_water(local: DataFrame, source: DataFrame) -> DataFrame:
         F.when(local_max.isNotNull(), F.least(local_max, F.col("source_max"))).alias("high_water"))
 
 
-def id_ranges(spark: SparkSession, low: int, high: int) -> DataFrame:
-    """(low, high) ranges of ids that cover low..high, none longer than a block of ids."""
-    first, last = low // GAP_BLOCK, high // GAP_BLOCK
-    block = F.col("id") * F.lit(GAP_BLOCK)
-    return spark.range(first, last + 1 if high >= low else first).select(
-        F.greatest(block, F.lit(low)).alias("low"), F.least(block + F.lit(GAP_BLOCK - 1), F.lit(high)).alias("high"))
-
-
-def remaining_gaps(ranges: DataFrame, ids: DataFrame) -> DataFrame:
-    """What is left of the ranges once ``ids`` have arrived, as ranges again.
-
-    A range lies inside one block, so the ids meet the ranges in an equi-join and every window
-    has at most a block of ids.
-    """
-    block = lambda c: F.floor(F.col(c) / F.lit(GAP_BLOCK))
-    arrived = ids.select(F.col("id").alias("at"), block("id").alias("block")).distinct()
-    inside = (ranges.withColumn("block", block("low")).join(arrived, "block")
-              .where(F.col("at").between(F.col("low"), F.col("high"))).select("low", "high", "at"))
-    edges = ranges.select("low", "high", F.explode(F.array(F.col("low") - 1, F.col("high") + 1)).alias("at"))
-    following = F.lead("at").over(W.partitionBy("low", "high").orderBy("at"))
-    return (inside.union(edges).withColumn("next", following).where(F.col("next") - F.col("at") > 1)
-            .select((F.col("at") + 1).alias("low"), (F.col("next") - 1).alias("high")))
-
-
-def incremental(source: DataFrame, high_water_id: int, gaps: DataFrame | None = None) -> DataFrame:
-    """Live rows above the high-water id, and below it those whose ids have never arrived.
-
-    ``gaps`` are the ids below the mark that the copy lacks, so a commit is found however late it is.
-    """
+def incremental(source: DataFrame, high_water_id: int, blocks: DataFrame | None = None) -> DataFrame:
+    """Live rows above the high-water id, and below it those of ``blocks`` whose ids have never arrived."""
     rows = source.filter(F.col("id") > F.lit(high_water_id))
-    if gaps is not None:
-        block = lambda c: F.floor(F.col(c) / F.lit(GAP_BLOCK))
-        low, high = F.col("low"), F.col("high")
-        missing = gaps.where(low <= high_water_id).select("low", "high", block("low").alias("_block"))
-        late = source.filter(F.col("id") <= F.lit(high_water_id)).withColumn("_block", block("id"))
-        late = late.join(missing, (late["_block"] == missing["_block"]) & late["id"].between(low, high), "left_semi")
-        rows = rows.unionByName(late.drop("_block"))
+    if blocks is not None:
+        rows = rows.unionByName(late_rows(source.filter(F.col("id") <= F.lit(high_water_id)), blocks))
     return not_deleted(rows)
 
 

@@ -103,6 +103,11 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, compare: list[str]) -
     return joined.filter(~same).select(*[new[c] for c in new.columns])
 
 
+def different_rows(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``new`` that ``old`` has not got in the same form, null-safe over all columns."""
+    return changed_rows(old, new, key, [c for c in new.columns if c != key])
+
+
 def insert_missing(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     """Rows of ``primary`` plus those rows of ``fallback`` whose key is not in it."""
     return primary.unionByName(

@@ -13,10 +13,11 @@ from runlens import schemas
 from runlens.functions.errors import RULES_VERSION
 from runlens.functions.payload import extract_errors
 from runlens.functions.timegrid import ts
-from runlens.operators import care, queue, sync
+from runlens.operators import arrivals, care, queue, sync
 from runlens.operators.scope import access_graph
-from runlens.operators.upsert import ERROR_RULES, EXECUTION_RULES, latest_by_key, upsert
-from runlens.plans.volume import changed_buckets, refreshed_cache
+from runlens.operators.upsert import ERROR_RULES, EXECUTION_RULES, different_rows, latest_by_key, upsert
+from runlens.params import VOLUME_BUCKETS, VOLUME_STEP
+from runlens.plans.volume import merged_cache, refreshed_cache, rolling_origin
 from runlens.schemas import FAILED_STATUSES, OPEN_STATUSES, conform, present_columns
 from runlens.session import shared_dir, use_utc
 from runlens.sources.readers import payloads_for, source_executions, source_workflows
@@ -25,6 +26,7 @@ from runlens.sources.store import BlockTable, VersionedTable, stored_bytes
 log = logging.getLogger(__name__)
 
 VERSION_KEY, BACKFILL_KEY, HIGH_KEY = "classifier_version", "backfill_cursor", "high_water"
+AUDIT_KEY, ACTIVE_KEY, RECOUNT_KEY = "gap_audit", "active_ids", "volume_recount"
 
 
 @dataclass
@@ -46,6 +48,9 @@ class Options:
     payload_cap: int | None = None
     batch_limit: int | None = None
     keep_runs: int | None = None
+    # Ids that stay away for so long are asked for in audits alone.
+    gap_patience: dt.timedelta = dt.timedelta(days=1)
+    audit_every: dt.timedelta = dt.timedelta(days=1)
     input_days: object = care.INPUT_RETENTION_DAYS
     stack_days: object = care.STACK_RETENTION_DAYS
     block_size: int = 10_000_000
@@ -62,20 +67,24 @@ class Replica:
             "workflows": schemas.WORKFLOW, "workflow_settings": schemas.WORKFLOW_SETTINGS,
             "volume": schemas.VOLUME, "project": schemas.PROJECT,
             "project_relation": schemas.PROJECT_RELATION, "shared_workflow": schemas.SHARED_WORKFLOW,
-            "settings": schemas.SETTINGS, "sync_runs": schemas.SYNC_RUN, "id_gaps": schemas.ID_GAP,
+            "settings": schemas.SETTINGS, "sync_runs": schemas.SYNC_RUN, "open_blocks": schemas.OPEN_BLOCK, "active": schemas.ACTIVE,
         }
+        self.known: dict[str, str] | None = None  # a handful of settings, read once in a cycle
         self.small = {name: VersionedTable(spark, f"{root}/{name}", schema) for name, schema in small.items()}
 
     def __getitem__(self, name: str) -> VersionedTable:
         return self.small[name]
 
     def setting(self, key: str) -> str | None:
-        row = self["settings"].read().filter(F.col("key") == key).first()
-        return row["value"] if row else None
+        if self.known is None:
+            self.known = {r["key"]: r["value"] for r in self["settings"].read().collect()}
+        return self.known.get(key)
 
     def put_setting(self, key: str, value: str) -> None:
-        entry = self.spark.createDataFrame([(key, value)], schemas.SETTINGS)
-        self["settings"].replace(upsert(self["settings"].read(), entry, "key"))
+        if self.setting(key) != value:
+            entry = self.spark.createDataFrame([(key, value)], schemas.SETTINGS)
+            self["settings"].replace(upsert(self["settings"].read(), entry, "key"))
+            self.known[key] = value
 
 
 @dataclass
@@ -87,18 +96,20 @@ class CycleResult:
 
 def run_cycle(replica: Replica, source: Source, as_of: dt.datetime,
               options: Options | None = None) -> CycleResult:
-    """One pass. Every table is written at most once, after everything that goes
-    into it is known, so a pass that fails leaves each table as it was or as it
-    should be, and the next pass carries on. The run itself is always recorded."""
+    """One pass. Every table is written after everything that goes into it is known,
+    and only where rows differ, so a pass that fails leaves each table as it was or as it
+    should be, the next pass carries on, and a pass without news writes nothing. The run
+    itself is always recorded."""
     options = options or Options()
     shared_dir(replica.spark)
+    replica.known = None
     started = dt.datetime.now(dt.timezone.utc)
     result = CycleResult()
     try:
         _copy_workflows(replica, source, result)
         _copy_access(replica, source)
-        _copy_executions(replica, source, as_of, options, result)
-        _refresh_volume(replica, as_of)
+        before, after = _copy_executions(replica, source, as_of, options, result)
+        _refresh_volume(replica, before, after, as_of)
         _reclassify(replica, result)
         _expire(replica, as_of, options, result)
         _backfill(replica, source, result)
@@ -112,7 +123,7 @@ def run_cycle(replica: Replica, source: Source, as_of: dt.datetime,
 def _copy_workflows(replica: Replica, source: Source, result: CycleResult) -> None:
     """Workflows are merged and never deleted."""
     table = replica["workflows"]
-    table.replace(upsert(table.read(), source_workflows(source.workflows), "id"))
+    table.put(upsert(table.read(), source_workflows(source.workflows), "id"))
     result.counts["workflows"] = table.read().count()
 
 
@@ -124,32 +135,33 @@ def _copy_access(replica: Replica, source: Source) -> None:
     try:
         graph = access_graph(source.project, source.project_relation, source.shared_workflow)
         for name, table in (graph or {}).items():
-            replica[name].replace(table)
+            replica[name].put(table)
     except Exception:
         log.exception("access graph not refreshed")
 
 
 def _copy_executions(replica: Replica, source: Source, as_of: dt.datetime, options: Options,
-                     result: CycleResult) -> None:
+                     result: CycleResult) -> tuple[DataFrame, DataFrame]:
     """Refresh open rows, fetch new ones, queue failures and work the queue.
 
     All of it happens on a working set, the rows that are open or pending and the
-    ones just fetched, and is written back once. Ids below the high-water mark that
-    never arrived are kept as ranges and asked for in every cycle, so a late commit
-    is found whenever it comes. Ranges are noted before the rows are written and
-    shortened after it: a crash in between only asks again.
+    ones just fetched; what differs afterwards is written back, and returned as it was
+    and as it is. The ids of open and pending rows are a small table, so the working set
+    is read from their blocks alone. Ids below the high-water mark that never arrived
+    are kept as bitmaps and asked for again. Open blocks and active ids are noted before
+    the rows are written and shortened after it: a crash in between only asks again.
     """
-    stored = replica.executions.read()
     incoming = source_executions(source.executions)
-    mark = _high_water(replica, stored, incoming)
+    mark = _high_water(replica, incoming, as_of)
+    audit = _audit_due(replica, as_of, options)
+    known = replica["open_blocks"].read()
     if mark is None:
-        fetched, working = sync.initial_load(incoming, options.load_since), stored
+        fetched = sync.initial_load(incoming, options.load_since)
     else:
-        fetched = sync.incremental(incoming, mark, replica["id_gaps"].read())
-        working = stored.filter(F.col("status").isin(OPEN_STATUSES) | (F.col("analytics_status") == "pending"))
+        fetched = sync.incremental(incoming, mark, arrivals.asked(known, as_of, options.gap_patience, audit))
     fetched = latest_by_key(fetched.drop("deleted_at"), "id", ["stopped_at", "started_at"]).checkpoint()
-    gaps = _note_gaps(replica, fetched, mark)
-    working = working.checkpoint()
+    blocks = _note_blocks(replica, fetched, mark)
+    working = _working(replica).checkpoint()
 
     refreshed = sync.refresh_open(working, sync.lookup(incoming, sync.open_rows(working)), as_of,
                                   grace=options.grace)
@@ -164,55 +176,96 @@ def _copy_executions(replica: Replica, source: Source, as_of: dt.datetime, optio
     read = payloads_for(source.payloads, incoming, due, options.payload_cap).checkpoint()
     errors = extract_errors(read, ts(as_of)).checkpoint()
     results = queue.outcomes(due, read, errors).checkpoint()
-    replica.errors.upsert(errors, ERROR_RULES)
-    replica.executions.upsert(queue.settle(queued, results, as_of).checkpoint())
+    settled = conform(queue.settle(queued, results, as_of), schemas.EXECUTION).checkpoint()
+    changed = different_rows(working, settled).checkpoint()
+    active = settled.filter(_is_active()).select("id")
+
+    before = replica.executions.of_ids(changed).checkpoint()
+    if not changed.isEmpty():
+        replica["active"].put(replica["active"].read().union(active).distinct())
+        # Still set from a cycle that was cut off: what that one changed is counted nowhere.
+        replica.put_setting(RECOUNT_KEY, "yes" if replica.setting(RECOUNT_KEY) in (None, "no") else "again")
+        if not errors.isEmpty():
+            replica.errors.upsert(errors, ERROR_RULES)
+        replica.executions.upsert(changed)
+    replica["active"].put(active)
+    replica.put_setting(ACTIVE_KEY, "yes")
     top = fetched.agg(F.max("id")).first()[0]
     if top is not None or mark is not None:
         replica.put_setting(HIGH_KEY, str(max(x for x in (top, mark) if x is not None)))
-    replica["id_gaps"].replace(sync.remaining_gaps(gaps, fetched))
+    if top is not None:
+        replica["open_blocks"].put(arrivals.arrived(blocks, fetched, as_of))
+    if audit:
+        replica.put_setting(AUDIT_KEY, as_of.isoformat())
 
     tally = results.agg(
         F.count_if(F.col("outcome") == queue.DONE).alias("done"),
         F.count_if(F.col("outcome").isin(queue.VANISHED, queue.OVERSIZED)).alias("failed")).first()
+    seen = marked.agg(F.count_if("is_changed").alias("changed"), F.count("*").alias("read")).first()
     result.counts.update(
-        executions=marked.filter("is_changed").count(), rows_read=marked.count(), errors=failed.count(),
+        executions=seen["changed"], rows_read=seen["read"], errors=failed.count(),
         analytics_done=tally["done"], analytics_failed=tally["failed"],
-        analytics_queued=replica.executions.read().filter("analytics_status = 'pending'").count())
+        analytics_queued=settled.filter("analytics_status = 'pending'").count())
+    return before, changed
+
+
+def _is_active():
+    return F.col("status").isin(OPEN_STATUSES) | F.coalesce(F.col("analytics_status") == "pending", F.lit(False))
 
 
-def _high_water(replica: Replica, stored: DataFrame, incoming: DataFrame) -> int | None:
+def _working(replica: Replica) -> DataFrame:
+    """Open and pending rows. A copy that was filled otherwise is searched once."""
+    if replica.setting(ACTIVE_KEY) is None:
+        return replica.executions.read().filter(_is_active())
+    return replica.executions.of_ids(replica["active"].read())
+
+
+def _high_water(replica: Replica, incoming: DataFrame, as_of: dt.datetime) -> int | None:
     """The greatest id that a cycle has fetched, never above the source's own maximum.
 
-    A copy that was filled otherwise takes its greatest id, and everything missing below it is a gap.
+    A copy that was filled otherwise takes its greatest id, and everything missing below it is open.
     """
     noted = replica.setting(HIGH_KEY)
     if noted is not None:
         last = incoming.agg(F.max("id")).first()[0]
         return int(noted) if last is None else min(int(noted), last)
+    stored = replica.executions.read()
     mark = sync.high_water(stored, incoming).first()["high_water"]
     if mark is not None:
         low = stored.agg(F.min("id")).first()[0]
-        replica["id_gaps"].replace(sync.remaining_gaps(sync.id_ranges(replica.spark, low, mark), stored))
+        replica["open_blocks"].put(arrivals.arrived(arrivals.blocks(replica.spark, low, mark), stored, as_of))
     return mark
 
 
-def _note_gaps(replica: Replica, fetched: DataFrame, mark: int | None) -> DataFrame:
-    """Ranges of ids that had not arrived before this cycle, and those its new rows leave out."""
-    known = replica["id_gaps"].read()
+def _audit_due(replica: Replica, as_of: dt.datetime, options: Options) -> bool:
+    last = replica.setting(AUDIT_KEY)
+    return last is None or dt.datetime.fromisoformat(last) <= as_of - options.audit_every
+
+
+def _note_blocks(replica: Replica, fetched: DataFrame, mark: int | None) -> DataFrame:
+    """Open blocks of ids before this cycle, and those its new rows reach into."""
     low, high = fetched.agg(F.min("id"), F.max("id")).first()
     begin = low if mark is None else mark + 1
     if high is not None and high >= begin:
-        fresh = sync.remaining_gaps(sync.id_ranges(replica.spark, begin, high), fetched)
-        replica["id_gaps"].replace(known.union(fresh).distinct())
-        known = replica["id_gaps"].read()
-    return known
+        replica["open_blocks"].put(replica["open_blocks"].read().union(arrivals.blocks(replica.spark, begin, high)).dropDuplicates(["bucket", "low", "high"]))
+    return replica["open_blocks"].read()
 
 
-def _refresh_volume(replica: Replica, as_of: dt.datetime) -> None:
-    table, executions = replica["volume"], replica.executions.read()
+def _refresh_volume(replica: Replica, before: DataFrame, after: DataFrame, as_of: dt.datetime) -> None:
+    """The cache takes over what changed. It is counted anew only at first, after a cycle that did not get this far,
+    and while rows start later than the window ends."""
+    table = replica["volume"]
     cache = table.read()
-    if not changed_buckets(executions, cache, as_of).isEmpty():
-        table.replace(refreshed_cache(executions, cache, as_of))
+    pending = replica.setting(RECOUNT_KEY)
+    end = rolling_origin(as_of) + VOLUME_BUCKETS * VOLUME_STEP
+    fresh = not after.isEmpty()
+    if cache.isEmpty() or pending == "again" or (pending == "yes" and not fresh):
+        table.put(refreshed_cache(replica.executions.read(), cache, as_of))
+        ahead = not replica.executions.read().filter(F.col("started_at") >= ts(end)).isEmpty()
+    else:
+        table.put(merged_cache(cache, before, after, as_of))
+        ahead = fresh and not after.filter(F.col("started_at") >= ts(end)).isEmpty()
+    replica.put_setting(RECOUNT_KEY, "again" if ahead else "no")
 
 
 def _reclassify(replica: Replica, result: CycleResult) -> None:
@@ -240,17 +293,27 @@ def _expire(replica: Replica, as_of: dt.datetime, options: Options, result: Cycl
 
 
 def _backfill(replica: Replica, source: Source, result: CycleResult) -> None:
-    """Columns added to the copy later, filled once for rows the source still has."""
+    """Columns added to the copy later, filled once for rows the source still has.
+
+    One block of ids after another, from the last to the first as new rows are most asked for; the number of the
+    last finished block is stored, so a walk that is cut off goes on from there.
+    """
     columns = present_columns(source.executions, schemas.EXECUTION_OPTIONAL)
     result.counts["backfilled"] = 0
-    if "mode" not in columns or replica.setting(BACKFILL_KEY) == "done":
+    cursor = replica.setting(BACKFILL_KEY)
+    if "mode" not in columns or cursor == "done":
         return
-    pending = replica.executions.read().filter(F.col("mode").isNull()).select("id")
-    filled = source_executions(source.executions).join(pending, "id", "left_semi").select("id", *columns)
-    filled = filled.checkpoint()
-    replica.executions.upsert(filled)
+    table = replica.executions
+    for number in reversed(table.blocks()):
+        if cursor is not None and number >= int(cursor):
+            continue
+        pending = table.block(number).filter(F.col("mode").isNull()).select("id")
+        within = F.col("id").between(number * table.block_size, (number + 1) * table.block_size - 1)
+        filled = source_executions(source.executions).filter(within).join(pending, "id", "left_semi").select("id", *columns).checkpoint()
+        table.upsert(filled)
+        replica.put_setting(BACKFILL_KEY, str(number))
+        result.counts["backfilled"] += filled.count()
     replica.put_setting(BACKFILL_KEY, "done")
-    result.counts["backfilled"] = filled.count()
 
 
 def _record(replica: Replica, started: dt.datetime, options: Options, result: CycleResult) -> None:

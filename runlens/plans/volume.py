@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.timegrid import bucket_index, duration_seconds, floor_to_step, spine, ts
@@ -53,6 +53,22 @@ def refreshed_cache(executions: DataFrame, cache: DataFrame, as_of: dt.datetime)
     return insert_missing(volume_series(executions, origin), live, "timestamp")
 
 
+def merged_cache(cache: DataFrame, before: DataFrame, after: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The cache after one cycle from what changed alone: rows count in the bucket of their start, and no longer
+    in the one they had ``before``. Buckets that came into range are empty until something counts in them."""
+    origin = rolling_origin(as_of)
+    window = _in_window(origin)
+    signed = before.filter(window).select("started_at", F.lit(-1).alias("n")).union(after.filter(window).select("started_at", F.lit(1).alias("n")))
+    moved = signed.groupBy(bucket_index(F.col("started_at"), origin, STEP_SECONDS).alias("bucket_idx")).agg(F.sum("n").alias("moved"))
+    grid = spine(cache.sparkSession, origin, STEP_SECONDS, VOLUME_BUCKETS, "timestamp")
+    return (grid.join(moved, "bucket_idx", "left").join(cache.select("timestamp", F.col("started_count").alias("known")), "timestamp", "left")
+            .select("timestamp", (F.coalesce("known", F.lit(0)) + F.coalesce("moved", F.lit(0))).alias("started_count")))
+
+
+def _in_window(origin: dt.datetime) -> Column:
+    return before("started_at", origin, origin + VOLUME_BUCKETS * VOLUME_STEP)
+
+
 def changed_buckets(executions: DataFrame, cache: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Buckets whose cached count is absent or out of date."""
     return changed_rows(cache, volume_series(executions, rolling_origin(as_of)),

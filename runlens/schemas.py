@@ -68,7 +68,8 @@ PROJECT = _schema(("id", _S), ("name", _S), ("type", _S))
 PROJECT_RELATION = _schema(("project_id", _S), ("user_id", _S), ("role", _S))
 SHARED_WORKFLOW = _schema(("workflow_id", _S), ("project_id", _S), ("role", _S))
 SETTINGS = _schema(("key", _S), ("value", _S))
-ID_GAP = _schema(("low", _L), ("high", _L))
+OPEN_BLOCK = _schema(("bucket", _L), ("low", _L), ("high", _L), ("bits", T.BinaryType()), ("quiet_since", _TS))
+ACTIVE = _schema(("id", _L))
 CHAT = _schema(("id", _L), ("user_id", _S), ("role", _S), ("content", _S), ("sql_used", _S),
                ("created_at", _TS))
 SYNC_RUN = _schema(

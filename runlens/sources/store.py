@@ -32,6 +32,22 @@ class BlockTable:
     def _exists(self) -> bool:
         return any(name.startswith(f"{BLOCK}=") for name in _children(self.spark, self.path))
 
+    def blocks(self) -> list[int]:
+        """Numbers of the blocks that have rows, in order."""
+        return sorted(int(n.partition("=")[2]) for n in _children(self.spark, self.path) if n.startswith(f"{BLOCK}="))
+
+    def block(self, number: int) -> DataFrame:
+        """Rows of one block; only its folder is read."""
+        return self._files().filter(F.col(BLOCK) == number).select(*self.schema.fieldNames())
+
+    def of_ids(self, ids: DataFrame) -> DataFrame:
+        """Rows of a set of ids; only the folders of their blocks are read."""
+        blocks = [r[0] for r in ids.select(self._block().alias("b")).distinct().collect()]
+        if not blocks or not self._exists():
+            return self.spark.createDataFrame([], self.schema)
+        rows = self._files().filter(F.col(BLOCK).isin(blocks)).select(*self.schema.fieldNames())
+        return rows.join(ids.select("id"), "id", "left_semi")
+
     def read(self, above_id: int | None = None) -> DataFrame:
         """The table, or only ids above a bound, which also skips whole blocks."""
         if not self._exists():
@@ -94,6 +110,14 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={done[-1]}")
 
+    def put(self, df: DataFrame) -> bool:
+        """Write the next version if it has other rows than the last one; says whether it did."""
+        rows = conform(df, self.schema)
+        if self.versions() and _digest(self.read()) == _digest(rows):
+            return False
+        self.replace(rows)
+        return True
+
     def replace(self, df: DataFrame) -> None:
         """Write the next version; a failed write leaves the last one in force."""
         taken = [int(n[2:]) for n in _children(self.spark, self.path) if n.startswith("v=")]
@@ -102,6 +126,12 @@ class VersionedTable:
             _remove(self.spark, f"{self.path}/v={old}")
 
 
+def _digest(df: DataFrame) -> tuple:
+    """Number of rows and two sums of 64-bit digests over all values and nulls, whatever the order; one pass without a shuffle of rows."""
+    values = [F.col(c) for c in df.columns] + [F.col(c).isNull() for c in df.columns]
+    return tuple(df.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(seed), *values).cast("decimal(38,0)")) for seed in (1, 2)]).first())
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     handle = jvm.org.apache.hadoop.fs.Path(path)

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from fixed import AS_OF, rows
 from runlens import schemas
 from runlens.functions.errors import RULES_VERSION
-from runlens.operators import care, queue, settings, sync
+from runlens.operators import arrivals, care, queue, settings, sync
 from runlens.operators.scope import access_graph
 from runlens.operators.upsert import EXECUTION_RULES, changed_rows, latest_by_key, upsert
 from runlens.params import BadRequest
-from runlens.plans import sync_cycle
+from runlens.plans import sync_cycle, volume
 from runlens.plans.sync_cycle import Options, Replica, Source, run_cycle
 from runlens.schemas import conform
 from runlens.sources.readers import source_executions
@@ -255,12 +255,25 @@ def test_batch_limit_leaves_the_rest_queued(spark, cycle):
     assert rows(replica.errors.read(), "id") == [(1,), (2,)]
 
 
-def test_gaps_of_ids(spark):
-    ranges = sync.id_ranges(spark, 5, 3_000_005)
-    ids = spark.createDataFrame([(5,), (6,), (9,), (1_000_000,), (2_999_999,), (7_000_000,)], "id long")
-    left = sorted(rows(sync.remaining_gaps(ranges, ids)))
-    assert left == [(7, 8), (10, 999_999), (1_000_001, 1_999_999), (2_000_000, 2_999_998), (3_000_000, 3_000_005)]
-    assert sync.id_ranges(spark, 3, 2).count() == 0
+def test_bitmaps_of_ids(spark):
+    ids = spark.createDataFrame([(5,), (6,), (9,), (32_768,), (32_769,), (99_999,), (7_000_000,)], "id long")
+    left = arrivals.arrived(arrivals.blocks(spark, 5, 100_000), ids, AS_OF)
+    assert rows(left, "bucket", "low", "high") == [(1, 5, 32_768), (2, 32_769, 65_536), (3, 65_537, 98_304), (4, 98_305, 100_000)]
+    assert rows(left, F.bitmap_count("bits")) == [(0,), (1,), (1,), (4,)]
+    source = spark.range(0, 200_000)
+    got = {r.id for r in arrivals.late_rows(source, left).collect()}
+    assert got == set(range(5, 100_001)) - {r.id for r in ids.collect()}
+    # What comes closes its block, and a complete block is forgotten.
+    more = arrivals.arrived(left, spark.range(5, 98_305), AS_OF)
+    assert rows(more, "bucket") == [(4,)]
+    assert arrivals.arrived(more, spark.range(98_305, 100_001), AS_OF).count() == 0
+    assert arrivals.blocks(spark, 3, 2).count() == 0 and arrivals.late_rows(source, more.limit(0)).count() == 0
+
+
+def test_many_blocks_are_asked_by_their_outer_bounds(spark, monkeypatch):
+    monkeypatch.setattr(arrivals, "RANGES", 1)
+    left = arrivals.arrived(arrivals.blocks(spark, 1, 100_000), spark.range(1, 50_000), AS_OF)
+    assert arrivals.late_rows(spark.range(0, 300_000), left).count() == 50_001
 
 
 def test_late_commits_come_however_late(spark, cycle):
@@ -279,3 +292,85 @@ def test_last_setting_wins_and_keeps_its_fraction(spark):
     entries = spark.createDataFrame([(1, "b", 5.0, 1.0), (3, "a", 0.9, None), (2, "a", 7.0, 9.0)] + [(10 + i, "b", float(i), 2.0) for i in range(1500)],
                                     "position int, workflow_id string, saved_time_seconds double, hourly_rate double")
     assert rows(settings.update_roi_settings(current, entries, workflows)) == [("a", 0.9, 0.0), ("b", 1499.0, 2.0)]
+
+
+def _files(replica):
+    """Data files of the copy, without the record of runs."""
+    found = {}
+    for folder, _, names in os.walk(replica.root):
+        if "sync_runs" not in folder:
+            found.update({os.path.join(folder, n): os.stat(os.path.join(folder, n)).st_mtime_ns for n in names if n.startswith("part-")})
+    return found
+
+
+def test_an_idle_cycle_writes_nothing_and_reads_nothing_below_the_mark(spark, cycle, monkeypatch):
+    replica, source = cycle
+    data = [(1, "a", "success", AS_OF, AS_OF), (3, "a", "running", AS_OF, None), (600, "a", "error", AS_OF, AS_OF), (603, "a", "error", AS_OF, AS_OF)]
+    payloads = [(600, PAYLOAD % "boom"), (603, "broken")]
+    run_cycle(replica, source(data, payloads), AS_OF)
+    before = _files(replica)
+    second = dt.timedelta(seconds=1)
+    assert run_cycle(replica, source(data, payloads), AS_OF + second).status == "ok"
+    assert _files(replica) == before
+    # Ids that stayed away for long are no longer asked for, but audits still find them.
+    asked = []
+    monkeypatch.setattr(sync, "late_rows", lambda rows, blocks: asked.append(blocks.count()) or arrivals.late_rows(rows, blocks))
+    patient = Options(gap_patience=H, audit_every=dt.timedelta(days=3))
+    run_cycle(replica, source(data, payloads), AS_OF + 2 * H, patient)
+    assert asked == [0]
+    late = [*data, (77, "a", "success", AS_OF, AS_OF)]
+    assert run_cycle(replica, source(late, payloads), AS_OF + 3 * H, patient).counts["executions"] == 0
+    assert run_cycle(replica, source(late, payloads), AS_OF + dt.timedelta(days=4), patient).counts["executions"] == 1
+    assert asked[-1] > 0 and 77 in dict(state(replica, "status"))
+
+
+def test_volume_takes_over_changes_alone(spark, cycle, monkeypatch):
+    replica, source = cycle
+    counted = []
+    real = sync_cycle.refreshed_cache
+    monkeypatch.setattr(sync_cycle, "refreshed_cache", lambda *a: counted.append(1) or real(*a))
+    minute = dt.timedelta(minutes=1)
+    data = [(i, "a", "running" if i % 3 else "success", AS_OF - i * minute, None) for i in range(1, 40)]
+    run_cycle(replica, source(data, []), AS_OF)
+    data = [*data[:30], *[(i, "a", "success", AS_OF - i * 7 * minute, AS_OF) for i in range(40, 60)], (60, "a", "success", None, None)]
+    at = AS_OF + 11 * minute
+    run_cycle(replica, source(data, []), at)
+
+    def same():
+        want = volume.volume_series(replica.executions.read(), volume.rolling_origin(at))
+        assert rows(replica["volume"].read()) == rows(want)
+
+    same()
+    assert len(counted) == 1
+    # A cycle that ends between the rows and the cache makes the next one count again.
+    monkeypatch.setattr(sync_cycle, "_refresh_volume", lambda *a: 1 / 0)
+    data.append((61, "a", "success", AS_OF, AS_OF))
+    assert run_cycle(replica, source(data, []), at).status == "failed"
+    monkeypatch.undo()
+    data.append((62, "a", "success", AS_OF, AS_OF))
+    run_cycle(replica, source(data, []), at)
+    same()
+
+
+def test_a_backfill_goes_on_where_it_was_cut_off(spark, cycle, monkeypatch):
+    replica, source = cycle
+    old = [(i, "a", "success", AS_OF, AS_OF) for i in (5, 105, 205, 305)]
+    replica.executions.upsert(execs(spark, old))
+    given = source([(*r, f"m{r[0]}") for r in old], [], ", mode string")
+    real, done = replica.executions.upsert, []
+
+    def failing(rows_, rules=None):
+        if "mode" in rows_.columns and rows_.columns == ["id", "mode"]:
+            if len(done) == 2:
+                raise RuntimeError("lost")
+            done.append([r.id for r in rows_.collect()])
+        real(rows_, rules)
+
+    monkeypatch.setattr(replica.executions, "upsert", failing)
+    assert run_cycle(replica, given, AS_OF).status == "failed"
+    assert done == [[305], [205]] and replica.setting(sync_cycle.BACKFILL_KEY) == "2"
+    assert dict(state(replica, "mode")) == {5: None, 105: None, 205: "m205", 305: "m305"}
+    done.clear()
+    assert run_cycle(replica, given, AS_OF).status == "ok"
+    assert done == [[105], [5]] and replica.setting(sync_cycle.BACKFILL_KEY) == "done"
+    assert dict(state(replica, "mode")) == {i: f"m{i}" for i in (5, 105, 205, 305)}
