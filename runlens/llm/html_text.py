@@ -27,7 +27,7 @@ from runlens.llm.registry import query, table
 #: As in browsers, elements nested deeper than this are put beside each other; no text is lost.
 MAX_DEPTH = 512
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_TAG_NAME = re.compile(r"/?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
@@ -67,6 +67,61 @@ class Element:
     children: list = field(default_factory=list)
 
 
+class Scanner:
+    """Tags, comments and declarations of a page, in one pass: no part of the page is gone over more than a few times,
+    whatever it holds. What looks like a tag but does not end outside quotes is text."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.special, self.name_end = (_Next(page, re.compile(p)) for p in (r"""[>"']""", r"[\s/>]"))
+        self.dead: set[int] = set()  # quotes from which no end was found
+
+    def token(self, at: int) -> tuple[int, int, str, str] | None:
+        """Begin, end, name (with its slash, '' where there is none) and attributes of the next token."""
+        page = self.page
+        at = page.find("<", at)
+        while 0 <= at < self.last or (at >= 0 and page.startswith("<!--", at)):
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), "", ""
+            if page[at + 1] in "!?":
+                return at, page.find(">", at) + 1, "", ""
+            if _TAG_NAME.match(page, at + 1):
+                stop = self.name_end(at + 1 + (page[at + 1] == "/"))
+                end = self._end(stop)
+                if end is not None:
+                    return at, end + 1, page[at + 1:stop], page[stop:end]
+            at = page.find("<", at + 1)
+        return None
+
+    def _end(self, at: int) -> int | None:
+        """Where the tag ends whose attributes begin at ``at``."""
+        met = []
+        while (at := self.special(at)) < len(self.page) and at not in self.dead:
+            quote = self.page[at]
+            if quote == ">":
+                return at
+            met.append(at)
+            at = self.page.find(quote, at + 1) + 1
+            if not at:
+                break
+        self.dead.update(met)
+        return None
+
+
+class _Next:
+    """The next place where a pattern matches; places before a known one are not searched again."""
+
+    def __init__(self, page: str, pattern: re.Pattern):
+        self.page, self.pattern, self.low, self.high = page, pattern, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.low <= at <= self.high:
+            m = self.pattern.search(self.page, at)
+            self.low, self.high = at, m.start() if m else len(self.page)
+        return self.high
+
+
 class Tree:
     """Elements of one page; ``root`` is its html element."""
 
@@ -77,26 +132,28 @@ class Tree:
         self._read(page)
 
     def _read(self, page: str) -> None:
+        scan = Scanner(page)
         at, n = 0, len(page)
         while at < n:
-            m = _TOKEN.search(page, at)
-            if m is None:
+            found = scan.token(at)
+            if found is None:
                 self._text(page[at:])
                 return
-            self._text(page[at:m.start()])
-            at = m.end()
-            if not m[2]:
+            begin, end, name, rest = found
+            self._text(page[at:begin])
+            at = end
+            if not name:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            tag = name.lstrip("/").lower()
+            if name[0] == "/":
                 self._end(tag)
                 continue
-            self._start(tag, m[3] or "")
+            self._start(tag, rest)
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                body = page[at:stop.start()]
-                self._raw(tag, body)
-                at = stop.end()
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                close = page.find(">", stop.end()) if stop else -1
+                self._raw(tag, page[at:stop.start()] if close >= 0 else page[at:])
+                at = close + 1 if close >= 0 else n
 
     def _raw(self, tag: str, body: str) -> None:
         if body:
@@ -219,6 +276,8 @@ class Frame:
         self.gap = False          # an empty line is due before what follows
         self.counter = 0
         self.rows: list[list[list[str]]] = []   # of a table: cells as lines
+        self.column = 0
+        self.taken: dict[int, int] = {}  # of a table: column and the last row that a cell above reaches down to
 
     def text(self, value: str) -> None:
         self.inline.append(value)
@@ -256,6 +315,22 @@ class Frame:
         self.gap = False
         self.lines.extend(lines)
 
+    def row(self) -> None:
+        self.rows.append([])
+        self.column = 0
+
+    def cell(self, lines: list[str], across: int, down: int) -> None:
+        """A cell in the next column that no cell above reaches into."""
+        at = self.column
+        while self.taken.get(at, -1) >= len(self.rows) - 1:
+            at += 1
+        row = self.rows[-1]
+        row.extend([_NOTHING] * (at - len(row)))
+        row.append(lines)
+        self.column = at + across
+        if down > 1:
+            self.taken.update(dict.fromkeys(range(at, self.column), len(self.rows) + down - 2))
+
     def finish(self) -> list[str]:
         self.flush()
         if self.rows:
@@ -266,6 +341,14 @@ class Frame:
         return head + [(self.indent + x) if x else x for x in self.lines[1:]]
 
 
+_NOTHING: list[str] = []
+
+
+def _span(value: str, most: int) -> int:
+    """Columns or rows of a cell; what is no plain number of at most five digits is 1."""
+    return min(int(value), most) if re.fullmatch(r"[0-9]{1,5}", value) else 1
+
+
 def aligned(rows: list[list[list[str]]]) -> list[str]:
     """Rows of cells as lines: each column as wide as its widest line, two spaces between columns."""
     width: list[int] = []
@@ -325,7 +408,10 @@ def _enter(frames: list[Frame], e: Element) -> None:
             mark = f"{lists.counter}. "
         frames.append(Frame(e, pre, mark, " " * len(mark)))
     elif e.tag == "tr":
-        next((f for f in reversed(frames) if f.element.tag == "table"), frames[0]).rows.append([])
+        next((f for f in reversed(frames) if f.element.tag == "table"), frames[0]).row()
+        frames.append(Frame(e, pre))
+    elif e.tag in ROW_GROUP:
+        next((f for f in reversed(frames) if f.element.tag == "table"), frames[0]).taken.clear()  # cells end with their group
         frames.append(Frame(e, pre))
     elif e.tag in BLOCK or e.tag in ("td", "th", *ROW_GROUP):
         indent = "  " if e.tag in ("blockquote", "dd") else ""
@@ -347,9 +433,8 @@ def _leave(frames: list[Frame], e: Element) -> None:
     if e.tag in ("td", "th"):
         home = next((f for f in reversed(frames) if f.element.tag == "table"), None)
         if home is not None and home.rows:
-            span = e.attributes.get("colspan", "1")
-            home.rows[-1].append(lines)
-            home.rows[-1].extend([] for _ in range(min(int(span), 1000) - 1 if span.isdigit() else 0))
+            down = _span(e.attributes.get("rowspan", "1"), 65_534)
+            home.cell(lines, max(_span(e.attributes.get("colspan", "1"), 1000), 1), down or 65_534)  # 0: to the end of the group
             return
     nested = e.tag in ("ul", "ol") and any(f.element.tag == "li" for f in frames)
     frames[-1].block(lines, e.tag in SPACED and not nested)  # a list inside an item is not set off by empty lines

@@ -88,6 +88,41 @@ def test_no_visible_word_is_lost(parts):
     assert Counter(re.findall(r"w\d", shown)) == Counter(re.findall(r"w\d", "".join(parts)))
 
 
+@pytest.mark.parametrize("part", ["x <y ", "<" + "a" * 60, "<a ", '<a b="', "<a b='", "<a<", "</script ", "<!x ", "<?x ", '<a "" ', "<a '\"' ", "&lt;<b"])
+@pytest.mark.parametrize("head", ["", "<script>", "<table><tr>"])
+def test_html_of_any_kind_takes_linear_time(part, head):
+    import time
+
+    took = {}
+    for size in (100_000, 400_000):
+        page = head + part * (size // len(part)) + '">"'
+        begun = time.process_time()
+        html_text.visible_text(page)
+        took[size] = time.process_time() - begun
+    assert took[400_000] < 8 * took[100_000] + 0.5
+
+
+@pytest.mark.parametrize("span", ["\u00b2", "9" * 5000, "", "-1", "x", "1e3", "\u0663"])
+def test_html_odd_spans_count_as_one(span):
+    page = f"<table><tr><td colspan='{span}' rowspan='{span}'>a<td>b<tr><td>c<td>d</table>"
+    assert html_text.visible_text(page) == "a  b\nc  d"
+
+
+def test_html_cells_over_several_rows():
+    page = "<table><tr><td rowspan=2>aa<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>"
+    assert html_text.visible_text(page) == "aa  b  c\n    d  e\nf   g  h"
+    page = "<table><tr><td>x<td rowspan=2 colspan=2>yy<td>z<tr><td>1<td>2</table>"
+    assert html_text.visible_text(page) == "x  yy    z\n1        2"
+    page = "<table><thead><tr><th rowspan=0>h<th>i<tr><th>j<tbody><tr><td>k<td>l</table>"
+    assert html_text.visible_text(page) == "h  i\n   j\nk  l"
+
+
+def test_html_tags_that_do_not_end_are_text():
+    assert html_text.visible_text('1 <b and "2') == '1 <b and "2'
+    assert html_text.visible_text('<a "<b>" x') == '<a "" x'
+    assert html_text.visible_text("a<b c='>'>d</b >e<!-- f") == "ade"
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "<p>a", "old"), (None, None, None), (1, "<p>a", "old")], "page_id long, html string, text string")
     assert sorted(map(tuple, html_text.extract(pages).collect()), key=repr) == [(1, "a"), (1, "a"), (None, "")]
