@@ -78,13 +78,13 @@ _CHANGES = """changes AS (
   SELECT id, old_type, old_message, error_type, error_message, error_category,
     CASE WHEN length(old_message) % 2 = 0 THEN 'data' ELSE 'unknown' END AS old_category,
     CASE WHEN old_message IS NOT DISTINCT FROM error_message THEN
-           CASE WHEN error_type <> old_type THEN 'error_type recovered' ELSE 'reclassified only' END
-         WHEN trim(old_message, ' ' || chr(10)) = error_message THEN 'whitespace trimmed only'
-         WHEN trim(old_message, ' ' || chr(10)) = '' AND TRUE THEN 'empty message filled from stack'
-         WHEN error_message IS NULL THEN 'message could not be read -> null'
-         WHEN starts_with(error_message, trim(old_message, ' ' || chr(10))) THEN 'truncated message completed from stack'
-         WHEN trim(old_message, ' ' || chr(10)) = error_type THEN 'error class name replaced by real message'
-         ELSE 'message replaced (unexpected)' END AS change_kind
+           CASE WHEN error_type <> old_type THEN 'type' ELSE 'category' END
+         WHEN trim(old_message, ' ' || chr(10)) = error_message THEN 'trimmed'
+         WHEN trim(old_message, ' ' || chr(10)) = '' AND TRUE THEN 'filled'
+         WHEN error_message IS NULL THEN 'lost'
+         WHEN starts_with(error_message, trim(old_message, ' ' || chr(10))) THEN 'extended'
+         WHEN trim(old_message, ' ' || chr(10)) = error_type THEN 'unmasked'
+         ELSE 'other' END AS change_kind
   FROM resolved
   WHERE old_message IS DISTINCT FROM error_message OR old_type <> error_type
     OR error_category <> CASE WHEN length(old_message) % 2 = 0 THEN 'data' ELSE 'unknown' END)"""

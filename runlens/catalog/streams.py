@@ -20,6 +20,8 @@ def _events(t: SampleTables):
 
 
 BATCHES = 3
+#: Files of a batch, written and read by as many tasks.
+FILES = 4
 
 
 def _live(t: SampleTables, replay: bool = False):
@@ -30,8 +32,8 @@ def _live(t: SampleTables, replay: bool = False):
     """
     path, events = work_path(t.spark, "arrivals"), t.raw("events")
     for number in [*range(BATCHES), *([0] if replay else [])]:
-        events.where(F.col("event_id") % BATCHES == number).coalesce(1).write.mode("append").parquet(path)
-    return executions_of(sync_stream.file_stream(t.spark, path, events.schema, files_per_trigger=1))
+        events.where(F.col("event_id") % BATCHES == number).repartition(FILES).write.mode("append").parquet(path)
+    return executions_of(sync_stream.file_stream(t.spark, path, events.schema, files_per_trigger=FILES))
 
 
 def _finish(stream) -> None:

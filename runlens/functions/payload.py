@@ -259,7 +259,7 @@ def _first(*values: str) -> str:
     return f"coalesce({', '.join(values)})"
 
 
-def _http_status(*error: str | int) -> str:
+def http_status(*error: str | int) -> str:
     """HTTP status of an error: the first candidate that is a whole number in 100..599. Text counts by its leading digits."""
     def at(*path: str) -> str:
         return leaf(*error, *path)
@@ -326,7 +326,7 @@ def extract(df: DataFrame, data: str = "data", *, with_subtrees: bool = True) ->
         F.coalesce(dump(0), F.lit("")).alias("input_data"),
         F.coalesce(dump(1), F.lit("")).alias("metadata"),
         F.expr(_first(_body("executionData", "runtimeData", "source"), "''")).alias("execution_source"),
-        F.expr(_pick(_http_status(*_ROOT), _http_status(*_LISTED), _http_status(*_DIRECT))).alias("http_code"),
+        F.expr(_pick(http_status(*_ROOT), http_status(*_LISTED), http_status(*_DIRECT))).alias("http_code"),
         F.col("started_at").alias("timestamp"),
     )
 

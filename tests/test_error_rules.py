@@ -109,15 +109,15 @@ def test_resolve_end_to_end(spark):
 
 def test_change_kinds(spark):
     cases = [
-        ("same", "A", "same", "A", "reclassified only"),
-        ("same", None, "same", "A", "error_type recovered"),
-        (" x ", "", "x", "", "whitespace trimmed only"),
-        (None, "", "x", "", "empty message filled from stack"),
-        (" ", "", "x", "", "empty message filled from stack"),
-        ("x", "", None, "", "message could not be read -> null"),
-        ("ab", "", "abc", "", "truncated message completed from stack"),
-        ("TypeError", "", "real", "TypeError", "error class name replaced by real message"),
-        ("q", "", "real", "", "message replaced (unexpected)"),
+        ("same", "A", "same", "A", "category"),
+        ("same", None, "same", "A", "type"),
+        (" x ", "", "x", "", "trimmed"),
+        (None, "", "x", "", "filled"),
+        (" ", "", "x", "", "filled"),
+        ("x", "", None, "", "lost"),
+        ("ab", "", "abc", "", "extended"),
+        ("TypeError", "", "real", "TypeError", "unmasked"),
+        ("q", "", "real", "", "other"),
     ]
     df = spark.createDataFrame([c[:4] for c in cases], "om string, ot string, nm string, nt string").coalesce(1)
     kind = rules.change_kind(F.col("om"), F.col("ot"), F.col("nm"), F.col("nt"))
@@ -132,7 +132,7 @@ def test_http_status(spark):
         ('{"status":404.5}', None), ('{"status":true}', None), ('{"httpCode":"7"}', 502),
     ]
     tail = '"503",{"httpCode":401},{"status":404},"boom","none",{"httpCode":7,"statusCode":500}," 502 x"'
-    df = spark.createDataFrame([(f"[{error},{tail}]",) for error, _ in cases], "data string").coalesce(1)
-    decoded = payload.decode(df).selectExpr("doc", f"{payload._members('root', *payload.ERROR_MEMBERS)} as e")
-    got = [r[0] for r in decoded.select(F.expr(payload.http_status("doc", "e"))).collect()]
+    texts = [('[{"resultData":{"error":%s}},%s]' % (error, tail),) for error, _ in cases]
+    decoded = payload.decode(spark.createDataFrame(texts, "data string").coalesce(1))
+    got = [r[0] for r in decoded.select(F.expr(payload.http_status("resultData", "error"))).collect()]
     assert got == [code for _, code in cases]
