@@ -222,8 +222,8 @@ def decode(df: DataFrame, data: str = "data", *, subtrees: bool = False, full: b
                  pa.array(columns[2], strings), pa.array(columns[3], pa.string())],
                 names=[*keep, "n_items", "leaves", "subtrees", "full"])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
-    return df.mapInArrow(follow, f"{shape}, n_items int, leaves array<string>, subtrees array<string>, full string")
+    shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
+    return df.mapInArrow(follow, ", ".join([*shape, "n_items int", "leaves array<string>", "subtrees array<string>", "full string"]))
 
 
 def _valid(text: str | None) -> str | None:
