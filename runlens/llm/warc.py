@@ -254,10 +254,11 @@ def records(parts: DataFrame) -> DataFrame:
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, lower(sha1(h)) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
 SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
            (CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) % 32 AS INT), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to,
+       TRUE AS intact
 FROM d
 """)
 def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
