@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.registry import stored
+from runlens.llm.registry import discard, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,6 +24,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = roots.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "met").alias("root"))
         above = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
         nxt = stored(lower.join(above, "root").select("node", "was", F.least("root", "top").alias("root")), "roots")
+        discard(roots)
         if nxt.where("root <> was").isEmpty():
+            discard(both)
             return nxt.select("node", "root")
-        roots = nxt.select("node", "root")
+        roots = nxt

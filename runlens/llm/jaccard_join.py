@@ -7,10 +7,16 @@ do without (``prefix_length``). Products inside this block are summed per pair;
 sizes rule the threshold out is discarded, and only the others get the product of the remaining columns,
 as an intersection of their whole sets.
 
-Documents with one and the same set are one row of the matrix. Columns with many rows are first
-multiplied with one pivot row per band of sizes; pairs that these links already connect are not formed again. The
-order of n-grams takes the ``MAX_HOT`` most frequent ones of a part of the documents; it decides how many
-pairs are looked at, never which are found.
+Documents with one and the same set are one row of the matrix. Rows that meet in columns with many rows are
+grouped around pivot rows and written as differences: with d the symmetric difference of a row and its pivot,
+two rows x, y of one pivot differ by |d(x)| + |d(y)| - 2 |d(x) d(y)| elements. Columns that a whole family shares are
+in no difference, so the product of the differences has few terms, while that of the rows has one per pair of
+the family. Pairs whose differences are so small that they link without a common element both link with the
+pivot, so that their component is known; all others need a common element among the first ones of both differences, those
+that are not in the pivot coming first. Pairs of rows that have no pivot in common get the product of the rows.
+
+The order of n-grams takes the ``MAX_HOT`` most frequent ones of a part of the documents; it and the choice of
+pivots decide how many pairs are looked at, never which are found.
 """
 
 from __future__ import annotations
@@ -24,13 +30,12 @@ from pyspark.sql import functions as F
 
 from runlens.llm import bytes as B
 from runlens.llm.components import components
-from runlens.llm.registry import query, stored, table
+from runlens.llm.registry import discard, query, stored, table
 
 WORDS = 3
 PERCENT = 90
 MAX_HOT = 65_536
 PART = 32
-PIVOTS = 1
 LONG_COLUMN = 32
 BROADCAST_IDS = 1_000_000
 _HOT = 1 << 62
@@ -140,11 +145,94 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return rows.select("nid", "node", "text").mapInArrow(emit, "nid long, whole binary")
 
 
+def _differences(docs: DataFrame, nodes: DataFrame, star: DataFrame, words: int, percent: int) -> DataFrame:
+    """(nid, pivot, n, np, d, prefix): each row's first elements of the symmetric difference with its pivot, and its size.
+
+    Elements that are not in the pivot come first. Rows that differ by more than half their size are left out.
+    """
+    named = star.select(F.col("pivot").alias("nid")).distinct()
+    pivots = _whole_sets(docs, stored(nodes.join(named, "nid").select("id", "nid", "node"), "jaccard-pivot-ids"), words)
+    pivots = stored(pivots.dropDuplicates(["nid"]).select(F.col("nid").alias("pivot"), F.col("whole")), "jaccard-pivots")
+    ids = stored(nodes.join(star, "nid").select("id", "nid", "node", "pivot"), "jaccard-star")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in B.slices(batch["text"]):
+                doc, h = _sets(run, words)
+                cut = np.searchsorted(doc, np.arange(run.n + 1))
+                own = [s.tobytes() for s in _signatures(doc, h, run.n)]
+                of = batch.slice(run.first, run.n)
+                out = []
+                for i, (nid, node, pivot) in enumerate(zip(of["nid"].to_pylist(), of["node"].to_pylist(), of["pivot"].to_pylist())):
+                    if own[i] != node:  # ids may repeat with another text
+                        continue
+                    x, y = h[cut[i]:cut[i + 1]], np.frombuffer(of["whole"][i].as_buffer(), B.U64)
+                    added, gone = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                    d = len(added) + len(gone)
+                    if 2 * d <= len(x):
+                        first = np.concatenate([added, gone])[:len(x) * (100 - percent) // percent + 1]
+                        out.append((nid, pivot, len(x), len(y), d, B.signed(first)))
+                nid, pivot, n, np_, d, prefix = zip(*out) if out else ((),) * 6
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in (nid, pivot, n, np_, d)), pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["nid", "pivot", "n", "np", "d", "prefix"])
+
+    few = ids.count() <= BROADCAST_IDS
+    wanted = ids.withColumnRenamed("id", "of")
+    rows = docs.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("of"))).join(pivots, "pivot")
+    out = rows.select("nid", "node", "pivot", "whole", "text").mapInArrow(
+        emit, "nid long, pivot long, n long, np long, d long, prefix array<long>")
+    out = stored(out.dropDuplicates(["nid"]), "jaccard-differences")
+    discard(pivots, ids)
+    return out
+
+
+def _families(block: DataFrame, percent: int) -> DataFrame:
+    """(nid, pivot) for rows in long columns: of the pivots of its columns the one it shares most of them with.
+
+    The pivot of a column, among rows of about one size, is the one with the most long columns, which
+    has the fewest elements of its own.
+    """
+    long = block.where(F.col("rows") >= LONG_COLUMN).withColumn(
+        "band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))))
+    long = long.join(long.groupBy("nid").agg(F.count("*").alias("columns")), "nid")
+    best = F.max_by(F.struct("nid", "columns"), F.struct("columns", F.xxhash64("nid"), "nid")).alias("best")
+    pivots = long.groupBy("k", "band").agg(best)
+    met = long.join(pivots, ["k", "band"]).groupBy("nid", F.col("best.nid").alias("pivot")).agg(
+        F.count("*").alias("shared"), F.first("best.columns").alias("columns"))
+    return met.groupBy("nid").agg(F.max_by("pivot", F.struct("shared", "columns", F.xxhash64("pivot"), "pivot")).alias("pivot"))
+
+
+def _family_pairs(near: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one pivot that are not connected yet and have a common element where their differences need one.
+
+    Rows a, b link if d(a) + d(b) - 2 common <= r (n(a) + n(b)), r = (100 - percent) / (100 + percent). So the first
+    common element stands at a place of at most half of d(a) - d(b) + r (n(a) + n(b)) in a, and the other way round in b.
+    ``small`` marks the places a row needs as the one with the smaller difference: half of r (n(a) + n(b)) at most, and
+    if it links with the pivot less, since the partner then does not and has the larger difference for it.
+    """
+    up, down = 100 + percent, 100 - percent
+    most = F.col("n") * (down / percent)
+    linked = F.col("d") * up <= (F.col("n") + F.col("np")) * down
+    least = F.when(linked, F.greatest(F.col("d"), (F.col("n") * (percent / 100) + F.col("np")) * (down / up))).otherwise(F.col("d"))
+    rows = (near.join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+            .select("nid", "pivot", "n", "d", F.coalesce("root", "nid").alias("root"),
+                    ((F.col("d") - least + most) / 2 + 0.001).alias("reach"), F.posexplode("prefix").alias("pos", "e")))
+    small = rows.where(F.col("pos") <= F.col("reach")).drop("reach").toDF("nid_b", "pivot", "n_b", "d_b", "root_b", "pos_b", "e")
+    larger = F.struct("d", "nid") > F.struct(F.col("d_b").alias("d"), F.col("nid_b").alias("nid"))
+    room = (F.col("n") + F.col("n_b")) * down
+    apart = (F.col("d") - F.col("d_b")) * up
+    return (rows.drop("reach").join(small, ["pivot", "e"])
+            .where(larger & (F.col("root") != F.col("root_b")) & _fits(F.col("n"), F.col("n_b"), percent)
+                   & (2 * up * F.col("pos") <= room + apart) & (2 * up * F.col("pos_b") <= room - apart))
+            .select(F.least("nid", "nid_b").alias("a"), F.greatest("nid", "nid_b").alias("b")))
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold, with their overlap."""
-    pairs = stored(pairs, "jaccard-pairs")
+    """The pairs (a, b) of the stored table ``pairs`` whose whole sets reach the threshold, with their overlap."""
     named = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
-    sets = stored(_whole_sets(docs, stored(nodes.join(named, "nid").select("id", "nid", "node"), "jaccard-ids"), words), "jaccard-sets")
+    ids = stored(nodes.join(named, "nid").select("id", "nid", "node"), "jaccard-ids")
+    sets = stored(_whole_sets(docs, ids, words).dropDuplicates(["nid"]), "jaccard-sets")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +245,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, p
 
     both = (pairs.join(sets.select(F.col("nid").alias("a"), F.col("whole").alias("whole_a")), "a")
             .join(sets.select(F.col("nid").alias("b"), F.col("whole").alias("whole_b")), "b"))
-    return both.mapInArrow(overlap, "a long, b long, overlap long")
+    out = stored(both.mapInArrow(overlap, "a long, b long, overlap long"), "jaccard-links")
+    discard(ids, sets)
+    return out
 
 
 def _fits(na: Column, nb: Column, percent: int) -> Column:
@@ -196,37 +286,37 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     shared = block.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1")
     block = stored(block.join(shared, "k"), "jaccard-block")
 
-    # Long columns: pivot rows, chosen by digests, among rows of about the same size.
-    long = block.where(F.col("rows") >= LONG_COLUMN).withColumn(
-        "band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))))
-    chosen = [F.min_by(F.struct("nid", "n"), F.xxhash64("nid", "k", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = long.groupBy("k", "band").agg(*chosen).select("k", "band", F.explode(F.array_distinct(
-        F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("pivot"))
-    star = (long.join(pivots, ["k", "band"]).where(F.col("nid") != F.col("pivot.nid"))
-            .where(_fits(F.col("n"), F.col("pivot.n"), percent))
-            .select(F.least("nid", "pivot.nid").alias("a"), F.greatest("nid", "pivot.nid").alias("b")).distinct())
-    rows_of = F.struct("n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), "prefix")
-    star = (star.join(nodes.select(F.col("nid").alias("a"), rows_of.alias("x")), "a")
-            .join(nodes.select(F.col("nid").alias("b"), rows_of.alias("y")), "b")
-            .where(_possible(F.size(F.array_intersect("x.prefix", "y.prefix")), "x", "y", percent)).select("a", "b"))
-    first = stored(_verified(rows, nodes, star, words, percent), "jaccard-links")
+    star = stored(_families(block, percent), "jaccard-families")
+    near = _differences(rows, nodes, star, words, percent)
+    first = near.where((F.col("nid") != F.col("pivot")) & (F.col("d") * (100 + percent) <= (F.col("n") + F.col("np")) * (100 - percent))) \
+        .select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
     roots = components(first)
 
-    # All products of the block between rows that are not connected yet, summed per pair.
-    known = block.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    # Products of the block between rows that are not connected yet and have no pivot in common. In each column, rows
+    # of its largest family are only met by the others.
+    known = (block.drop("rows").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+             .join(near.select("nid", "pivot"), "nid", "left").withColumn("family", F.coalesce("pivot", F.lit(-1).cast("long"))).drop("pivot"))
     known = stored(known, "jaccard-rooted")
-    mixed = known.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
-    open_ = known.join(mixed, "k").select("k", "nid", "n", "p", "last", "root")
-    other = open_.select("k", *[F.col(c).alias(f"{c}_b") for c in ("nid", "n", "p", "last", "root")])
-    products = (open_.join(other, "k").where((F.col("nid") < F.col("nid_b")) & (F.col("root") != F.col("root_b")))
+    main = (known.where("family >= 0").groupBy("k", "family").agg(F.count("*").alias("c"))
+            .groupBy("k").agg(F.max_by("family", F.struct("c", "family")).alias("main")))
+    side = (F.col("family") < 0) | (F.col("family") != F.coalesce("main", F.lit(-1).cast("long")))
+    known = stored(known.join(main, "k", "left").withColumn("side", side).drop("main"), "jaccard-sides")
+    other = known.select("k", *[F.col(c).alias(f"{c}_b") for c in ("nid", "n", "p", "last", "root", "family", "side")])
+    products = (known.where("side").join(other, "k")
+                .where((~F.col("side_b") | (F.col("nid") < F.col("nid_b"))) & (F.col("root") != F.col("root_b")))
+                .where((F.col("family") < 0) | (F.col("family") != F.col("family_b")))
                 .where(_fits(F.col("n"), F.col("n_b"), percent)))
-    sums = products.groupBy("nid", "nid_b").agg(
-        F.count("*").alias("c"), F.first(F.struct("n", "p", "last")).alias("x"),
-        F.first(F.struct(F.col("n_b").alias("n"), F.col("p_b").alias("p"), F.col("last_b").alias("last"))).alias("y"))
+    ordered = F.col("nid") < F.col("nid_b")
+    mine, theirs = F.struct("n", "p", "last"), F.struct(*(F.col(f"{c}_b").alias(c) for c in ("n", "p", "last")))
+    products = products.select(F.least("nid", "nid_b").alias("nid"), F.greatest("nid", "nid_b").alias("nid_b"),
+                               F.when(ordered, mine).otherwise(theirs).alias("x"), F.when(ordered, theirs).otherwise(mine).alias("y"))
+    sums = products.groupBy("nid", "nid_b").agg(F.count("*").alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
     left = sums.where(_possible(F.col("c"), "x", "y", percent)) \
         .select(F.col("nid").alias("a"), F.col("nid_b").alias("b"))
+    left = stored(left.union(_family_pairs(near, roots, percent)).distinct(), "jaccard-pairs")
     second = _verified(rows, nodes, left, words, percent)
-    links = stored(first.union(second).select("a", "b").distinct(), "jaccard-all-links")
+    links = stored(first.union(second.select("a", "b")), "jaccard-all-links")
+    discard(block, star, near, known, left, second)
 
     roots = components(links)
     placed = (nodes.select("node", "nid", "id")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from runlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_OPEN: list[list[str]] = []
 
 
 def query(name: str, sql: str | None = None):
@@ -34,7 +36,36 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _OPEN:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete work tables; a path that is gone already is no error."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from ``stored`` whose readers are all done: what was made of them has been written in turn."""
+    for df in tables:
+        remove(df.sparkSession, [df.stored_at])
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The list of the tables that ``stored`` writes inside the block."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
