@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import bytes as B
-from runlens.llm.registry import query, remainder, stored, table
+from runlens.llm.registry import discard, query, release, remainder, stored, table
 
 FOLDS, LEFT_OUT, HELD = 7, 2, 3
 HEAD = 1 << 17
@@ -255,7 +255,7 @@ def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
 
 def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.ndarray], new: float, other: int,
                  other_kept: int) -> DataFrame:
-    """(key, n, ratio, bucket, held, held_bucket, held_cell) of every pair.
+    """(key, n, ratio, bucket, held, held_bucket, held_cell) of every pair of the stored table ``pairs``, which is deleted.
 
     ``ratio`` is the pair's relative frequency over the class model's probability, ``bucket`` that of the count of
     the word before. The last two are the same from kept documents only, the ratio in steps of its logarithm.
@@ -301,8 +301,11 @@ def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.
         own = counts.select(F.col("word").alias("on"), (F.col("kept") + F.col("held")).alias(f"c{x}"), F.col("kept").alias(f"k{x}"))
         met = met.withColumn("on", on).join(own, "on", "left").drop("on")
     met = met.select(*columns, *(F.coalesce(c, zero).alias(c) for c in ("cv", "kv", "cw", "kw")))
-    return stored(plain.unionByName(met).mapInArrow(
+    out = stored(plain.unionByName(met).mapInArrow(
         weigh, "key long, n long, ratio float, bucket byte, held long, held_bucket byte, held_cell short"), "lm-pairs")
+    discard(pairs)
+    release(pairs.sparkSession)
+    return out
 
 
 def _pair_weights(ratios: DataFrame) -> np.ndarray:
@@ -359,7 +362,9 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
                                            F.coalesce(F.sum(F.when(F.col("kept") == 0, F.col("held"))), F.lit(0))).first()
     new = (unseen + 1) / (other_held + 2)
     floor = np.log10(float(n + v + 1))
-    ratios = _pair_ratios(_word_pairs(rows, head), counts, head, [log_class, log_kept], new, other, other - other_held)
+    pairs = stored(_word_pairs(rows, head), "lm-pair-counts")
+    release(docs.sparkSession)
+    ratios = _pair_ratios(pairs, counts, head, [log_class, log_kept], new, other, other - other_held)
     weight = F.element_at(F.array(*(F.lit(float(x)) for x in _pair_weights(ratios))), F.col("bucket").cast("int") + 1)
     gains = ratios.select("key", "n", F.log10(weight * F.col("ratio").cast("double") + 1 - weight).alias("gain"))
     send = docs.sparkSession.sparkContext.broadcast(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -57,6 +58,12 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, [df.stored_at])
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's JVM collects their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def noted() -> Iterator[list[str]]:
     """The list of the tables that ``stored`` writes inside the block."""
