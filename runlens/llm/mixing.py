@@ -106,7 +106,7 @@ def _laid_out(docs: DataFrame, runs: int) -> DataFrame:
     per_run = rows.groupBy("_source", "_run").agg(F.sum("_size").alias("_words"))
     before = F.sum("_words").over(Window.partitionBy("_source").orderBy("_run")) - F.col("_words")
     per_run = per_run.select("_source", "_run", before.alias("_before"))
-    inner = Window.partitionBy("_source", "_run").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_source", "_run").orderBy("_key", "_id", "_size", "_digest", "_row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_within", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
     return rows.join(per_run, ["_source", "_run"]).withColumn("_at", F.col("_before") + F.col("_within")) \
         .drop("_key", "_run", "_before", "_within")
@@ -114,17 +114,18 @@ def _laid_out(docs: DataFrame, runs: int) -> DataFrame:
 
 def plan(docs: DataFrame, source: str = "source", row_id: str = "doc_id", text: str = "text",
          weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS,
-         slots_per_shard: int = SLOTS_PER_SHARD, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+         slots_per_shard: int = SLOTS_PER_SHARD, seed: int = 17, key: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with sizes and targets, pieces of documents in blocks, slots of the mix).
 
-    Pieces: source number, block, id, first word, words. Slots: source number, block, mix shard,
+    Pieces: source number, block, row, id, first word, words. Slots: source number, block, mix shard,
     slot. A null or empty text has no words and is never taken; a null source is a source of its
-    own; rows that share an id are packed one after the other and reported as one id. An empty
-    table gives three empty results.
+    own; rows that share an id are rows of their own, told apart by ``_row``: the column ``key``, whose
+    values differ, or a number given here. An empty table gives three empty results.
     """
     spark = docs.sparkSession
     rows = stored(docs.select(F.col(row_id).alias("_id"), F.col(source).alias("_name"),
-                              word_count(F.col(text)).alias("_size")), "mix-sizes")
+                              word_count(F.col(text)).alias("_size"), F.xxhash64(text).alias("_digest"),
+                              (F.col(key) if key else F.monotonically_increasing_id()).alias("_row")), "mix-sizes")
     per_source = rows.groupBy("_name").agg(F.sum("_size").alias("words"), F.count("*").alias("rows"))
     held = per_source.limit(MAX_SOURCES + 1).collect()
     if len(held) > MAX_SOURCES:
@@ -142,7 +143,6 @@ def plan(docs: DataFrame, source: str = "source", row_id: str = "doc_id", text:
     numbered = spark.createDataFrame([(n, i, int(sizes[n]), float(wanted[n])) for i, n in enumerate(names)],
                                      "_of string, _source int, source_size long, target double")
     rows = rows.join(numbered, F.col("_name").eqNullSafe(F.col("_of"))).drop("_of")
-    # Rows of one id in one source are told apart by the order in which they are packed only.
     laid = _laid_out(rows, runs)
     step = F.lit(block_words)
     first_block = F.floor(F.col("_at") / step)
@@ -150,8 +150,8 @@ def plan(docs: DataFrame, source: str = "source", row_id: str = "doc_id", text:
     block = F.explode(F.sequence(first_block, last_block)).alias("block")
     begin = F.greatest(F.col("block") * step, F.col("_at"))
     end = F.least((F.col("block") + 1) * step, F.col("_at") + F.col("_size"))
-    pieces = (laid.where("_size > 0").select("_source", "_id", "_at", "_size", block)
-              .select("_source", "block", "_id", (begin - F.col("_at")).alias("first_word"),
+    pieces = (laid.where("_size > 0").select("_source", "_row", "_id", "_at", "_size", block)
+              .select("_source", "block", "_row", "_id", (begin - F.col("_at")).alias("first_word"),
                       (end - begin).alias("n_words")))
     slots = _slots(spark, counts, blocks, seed)
     return rows, pieces, slots
@@ -198,32 +198,35 @@ def mixed_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
                     max_epochs: int = MAX_EPOCHS, **options) -> DataFrame:
     """The mix as documents: row u of a document holds the words of it that are used u times or more.
 
-    Ids tell documents apart here: rows that share an id also share its words' uses.
+    Rows that share an id are documents of their own: where there are such, ``docs`` is written with a number per row.
     Words keep their order and are joined by one space where words between them are missing; a
     document used whole keeps its text as it is, spacing included. ``n_chars`` follows the text.
     """
-    _, used = taken_pieces(docs, text=text, row_id=row_id, source=source, max_epochs=max_epochs, **options)
-    copies = (used.select("_id", "first_word", "n_words", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))).alias("_copy"))
-              .groupBy("_id", "_copy").agg(F.sum("n_words").alias("_kept"),
+    columns, key = docs.columns, row_id
+    if not docs.groupBy(row_id).count().where("count > 1").isEmpty():
+        docs, key = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows"), "_mix_row"
+    _, used = taken_pieces(docs, text=text, row_id=row_id, source=source, max_epochs=max_epochs, key=key, **options)
+    copies = (used.select("_row", "first_word", "n_words", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))).alias("_copy"))
+              .groupBy("_row", "_copy").agg(F.sum("n_words").alias("_kept"),
                                            F.collect_set(F.struct("first_word", "n_words")).alias("_parts")))
     words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
     part = F.transform(F.array_sort("_parts"), lambda p: F.slice(
         F.col("_words"), (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")))
     joined = F.array_join(F.flatten(part), " ")
-    out = docs.join(copies, F.col(row_id).eqNullSafe(F.col("_id")))
+    out = docs.join(copies, F.col(key).eqNullSafe(F.col("_row")))
     partly = F.col("_kept") < word_count(F.col(text))
     body = F.when(~partly, F.col(text)).otherwise(joined)
     out = out.withColumn("_words", F.when(partly, words)).withColumn(text, body)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*columns)
 
 
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     rows, used = taken_pieces(docs)
-    taken = used.groupBy(F.col("_id").alias("taken_id")).agg(F.sum(F.col("n_words") * F.col("uses")).alias("taken"))
-    return rows.join(taken, F.col("_id").eqNullSafe(F.col("taken_id")), "left").select(
+    taken = used.groupBy("_row").agg(F.sum(F.col("n_words") * F.col("uses")).alias("taken"))
+    return rows.join(taken, "_row", "left").select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
         F.coalesce("taken", F.lit(0)).alias("taken"))
