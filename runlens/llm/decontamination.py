@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm.registry import query, stored, table
+from runlens.llm.registry import discard, query, release, stored, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -157,8 +157,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_id: str
     marked = items.select("item", "words", "h", F.xxhash64("item", "h").alias("key")).dropDuplicates(["key"])
     entered = with_fingerprint(marked, ["key"])
     rows = docs.select(F.col(row_id).alias("doc"), F.col(text).alias("text"))
-    near = stored(_candidates(rows, probes), "leak-candidates").withColumnRenamed("doc", "of")
-    read = rows.join(near, F.col("doc").eqNullSafe(F.col("of"))).select("doc", filled_words_of(F.col("text")).alias("w"))
+    near = stored(_candidates(rows, probes), "leak-candidates")
+    read = rows.join(near.withColumnRenamed("doc", "of"), F.col("doc").eqNullSafe(F.col("of"))).select("doc", filled_words_of(F.col("text")).alias("w"))
     read = stored(with_shingles(read).select("doc", "h", F.monotonically_increasing_id().alias("row")), "leak-shingles")
     hits = read.select("row", F.posexplode("h").alias("pos", "probe")).join(probes.select("probe", "words").distinct(), "probe")
     about = hits.groupBy("row").agg(F.collect_set(F.struct("pos", "words")).alias("hits"))
@@ -170,7 +170,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", row_id: str
     windows = (found.select("doc", "h", starts.alias("at"))
                .select("doc", "at.start", "at.words", F.slice("h", F.col("at.start") + 1, F.col("at.words") - (WORDS - 1)).alias("h"))
                .withColumn("key", F.xxhash64("doc", "start", "words", "h")).where(F.size("h") > 0))
-    windows = stored(with_fingerprint(stored(windows, "leak-windows").dropDuplicates(["key"]), ["key"]), "leak-marked")
+    plain = stored(windows, "leak-windows")
+    discard(near, read)
+    windows = stored(with_fingerprint(plain.dropDuplicates(["key"]), ["key"]), "leak-marked")
+    discard(plain)
+    release(docs.sparkSession)
     pairs = within_radius(windows.select(F.col("key").alias("doc"), "start", "words", "fp"),
                           entered.select(F.col("key").alias("item"), "words", "fp"))
     checked = (pairs.select(F.col("doc").alias("key"), F.col("item").alias("item_key"))

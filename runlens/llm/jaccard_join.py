@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm import bytes as B
 from runlens.llm.components import components
-from runlens.llm.registry import discard, query, stored, table
+from runlens.llm.registry import discard, query, release, stored, table
 
 WORDS = 3
 PERCENT = 90
@@ -286,10 +286,12 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     shared = block.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1")
     block = stored(block.join(shared, "k"), "jaccard-block")
 
+    release(docs.sparkSession)
     star = stored(_families(block, percent), "jaccard-families")
     near = _differences(rows, nodes, star, words, percent)
     first = near.where((F.col("nid") != F.col("pivot")) & (F.col("d") * (100 + percent) <= (F.col("n") + F.col("np")) * (100 - percent))) \
         .select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
+    first = stored(first, "jaccard-pivot-links")
     roots = components(first)
 
     # Products of the block between rows that are not connected yet and have no pivot in common. In each column, rows
@@ -297,10 +299,13 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     known = (block.drop("rows").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
              .join(near.select("nid", "pivot"), "nid", "left").withColumn("family", F.coalesce("pivot", F.lit(-1).cast("long"))).drop("pivot"))
     known = stored(known, "jaccard-rooted")
+    discard(block)
     main = (known.where("family >= 0").groupBy("k", "family").agg(F.count("*").alias("c"))
             .groupBy("k").agg(F.max_by("family", F.struct("c", "family")).alias("main")))
     side = (F.col("family") < 0) | (F.col("family") != F.coalesce("main", F.lit(-1).cast("long")))
-    known = stored(known.join(main, "k", "left").withColumn("side", side).drop("main"), "jaccard-sides")
+    rooted, known = known, stored(known.join(main, "k", "left").withColumn("side", side).drop("main"), "jaccard-sides")
+    discard(rooted)
+    release(docs.sparkSession)
     other = known.select("k", *[F.col(c).alias(f"{c}_b") for c in ("nid", "n", "p", "last", "root", "family", "side")])
     products = (known.where("side").join(other, "k")
                 .where((~F.col("side_b") | (F.col("nid") < F.col("nid_b"))) & (F.col("root") != F.col("root_b")))
@@ -314,9 +319,11 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     left = sums.where(_possible(F.col("c"), "x", "y", percent)) \
         .select(F.col("nid").alias("a"), F.col("nid_b").alias("b"))
     left = stored(left.union(_family_pairs(near, roots, percent)).distinct(), "jaccard-pairs")
+    discard(star, near, known)
+    release(docs.sparkSession)
     second = _verified(rows, nodes, left, words, percent)
     links = stored(first.union(second.select("a", "b")), "jaccard-all-links")
-    discard(block, star, near, known, left, second)
+    discard(left, first, second)
 
     roots = components(links)
     placed = (nodes.select("node", "nid", "id")
