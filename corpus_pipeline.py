@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from runlens.llm.registry import stored, table
+from runlens.llm.registry import noted, release, remove, stored, table
 
 #: Rows of whole texts that Spark hands to Python at a time; its own default is sized for narrow rows.
 ARROW_ROWS = "1000"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_made: list[str] = []
+
+
+def tidy(stage: Callable) -> Callable:
+    """A stage that begins by deleting the work tables of those before it, unless its ``docs`` still read them.
+
+    What earlier stages return has been written by then, or is read through ``docs``.
+    """
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        # A path without scheme is found inside the name of a file with one.
+        gone = [path for path in _made if not any(path.split(":", 1)[-1].strip("/") in f for f in files)]
+        remove(spark, gone)
+        _made[:] = [path for path in _made if path not in gone]
+        release(spark)
+        with noted() as made:
+            out = stage(spark, docs, sf_dir)
+        _made.extend(made)
+        return out
+
+    return run_stage
 
 
+@tidy
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -20,6 +46,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@tidy
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the documents that n-gram Jaccard links connect, the one with the smallest id stays."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -29,16 +56,19 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.select(*COLUMNS).join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
 
 
+@tidy
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontamination.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
+@tidy
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and with those of their words, as the mix takes them."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
+@tidy
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards of near-equal bytes; the last stage, so ``shard`` and ``slot`` follow the columns of documents."""
     return sharding.shard(docs.select(*COLUMNS))
