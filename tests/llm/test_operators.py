@@ -367,6 +367,25 @@ def test_mix_of_odd_rows(odd, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c " * 40, "s"), (1, "d e " * 60, "t"), (2, "x y " * 50, "s"), (1, "d e " * 60, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, used = mixing.taken_pieces(docs)
+    taken = Counter()
+    for r in used.collect():
+        taken[r._row] += r.n_words * r.uses
+    got = sizes.collect()
+    assert len({r._row for r in got}) == 4
+    assert all(taken[r._row] <= 3 * r._size for r in got)
+    per_source = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        per_source[r.source] += len(words(r.text))
+    want = Counter()
+    for r in got:
+        want[r._name] += taken[r._row]
+    assert per_source == want
+
+
 def test_mixed_documents_hold_what_is_taken(spark, prose):
     docs = spark.createDataFrame([(i, prose(20 + i * 7, i), "en", "ab"[i % 2] if i % 5 else None, 0) for i in range(60)],
                                  "doc_id long, text string, lang string, source string, n_chars long")
