@@ -18,6 +18,11 @@ the known ones their relative frequency of the rest. Scoring uses the counts of
 What is counted per word and per word pair over the corpus stays a distributed table. On the driver there
 are at most ``HEAD`` frequent words, ``PAIR_HEAD`` frequent pairs and CLASSES**2 class pairs, whatever the
 corpus; words and pairs beyond the frequent ones meet their counts in a join.
+
+Pairs travel as stripes: a word before with the list of words after it, cut into shares by the word after
+where the word before is common. A pair of two frequent words that the corpus holds once is not written
+down. The document that holds it is the only one that asks for it and knows the count, so every such pair
+is first scored as met once, in that document; the table of the others has what that falls short of.
 """
 
 from __future__ import annotations
@@ -26,18 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import bytes as B
 from runlens.llm.registry import discard, query, release, remainder, stored, table
 
 FOLDS, LEFT_OUT, HELD = 7, 2, 3
-HEAD = 1 << 17
-PAIR_HEAD = 1 << 19
+HEAD = 1 << 19
+PAIR_HEAD = 1 << 20
 CLASSES = 1024
 STEPS = 64
-PAIR_TOKENS = 1 << 21
+#: Tokens (fewer than twice as many) whose pairs are summed in a task at a time; three counts of them fit a long.
+PAIR_TOKENS = 1 << 20
+COUNT_BITS = 21
+#: A share of a word before holds about one in so many tokens, or less.
+SHARES = 1 << 12
 OTHER, END = 0, 1
 ROUNDS = 40
 BUCKETS = 40
@@ -120,6 +130,23 @@ def pair_keys(v: np.ndarray, w: np.ndarray, frequent: int) -> np.ndarray:
     return np.where(both, np.where(both, v, 0) << 31 | np.where(both, w, 0), mixed | np.int64(-1 << 63))
 
 
+def _lists(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[pa.ListArray]]:
+    """Values as one list per distinct combination of keys."""
+    order = np.lexsort(tuple(reversed(keys)))
+    keys = [k[order] for k in keys]
+    starts = np.ones(len(order), bool)
+    if len(order):
+        starts[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(starts)
+    cut = pa.array(np.append(at, len(order)), pa.int32())
+    return [k[at] for k in keys], [pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in values]
+
+
+def _bucket(count: Column) -> Column:
+    """``buckets`` as a column: the number of binary digits, which is exact."""
+    return F.when(count > 0, F.least(F.length(F.bin(count)), F.lit(BUCKETS - 1))).otherwise(0)
+
+
 def _folds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fold", remainder(F.col("id"), FOLDS))
 
@@ -179,6 +206,14 @@ class Head:
         at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
         return np.where(self.ids[at] == ids, at, B.signed(ids))
 
+    def shares(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Which share of the word before a pair belongs to."""
+        if not len(self.ids):
+            return np.zeros(len(v), np.int32)
+        hit = (v >= 0) & (v < len(self.ids))
+        parts = 1 + np.where(hit, self.n[np.where(hit, v, 0)], 0) * SHARES // max(int(self.n.sum()), 1)
+        return (w % parts).astype(np.int32)
+
     def pairs(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of the word before, number of the word, key of the pair) of each token."""
         w = self.numbers(t.ids)
@@ -220,45 +255,65 @@ def _pair_counts(rows: DataFrame, head: Head, classes: int) -> np.ndarray:
 
 
 def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
-    """(v, w, kept, held, n, rare) of every pair of a word and the word before it in the whole corpus.
+    """(v, w, kept, held, n, rare) of the pairs of a word and the word before it in the whole corpus, but for
+    pairs of frequent words that it holds once.
 
     Summed over ``PAIR_TOKENS`` tokens before the shuffle; ``n`` has the documents that are left out of training, too.
     """
+    send = rows.sparkSession.sparkContext.broadcast((head.ids, head.n, head.cls, head.kept))
+    names = ["v", "share", "frequent", "other", "counts"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = Head.of(*send.value)
         parts: list[tuple] = []
 
-        def summed() -> pa.RecordBatch:
+        def summed() -> Iterator[pa.RecordBatch]:
             v, w, key, fold = (np.concatenate(c) for c in zip(*parts))
             parts.clear()
             _, first, at = np.unique(key, return_index=True, return_inverse=True)
-            n, held, out = (np.bincount(at[chosen], minlength=len(first)) for chosen in
+            n, held, out = (np.bincount(at[chosen], minlength=len(first)).astype(np.int64) for chosen in
                             (slice(None), fold == HELD, fold == LEFT_OUT))
-            return pa.RecordBatch.from_pydict({"v": v[first], "w": w[first], "kept": n - held - out, "held": held, "n": n,
-                                               "rare": (key[first] < 0).astype(np.int8)})
+            packed = n - held - out | held << COUNT_BITS | out << 2 * COUNT_BITS
+            v, w, rare = v[first], w[first], key[first] < 0
+            (before, share), (after, counts) = _lists([v[~rare], head.shares(v[~rare], w[~rare])], [w[~rare].astype(np.int32), packed[~rare]])
+            yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(share), after, pa.nulls(len(before), pa.list_(pa.int64())), counts], names)
+            (before, share), (after, counts) = _lists([v[rare], head.shares(v[rare], w[rare])], [w[rare], packed[rare]])
+            yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(share), pa.nulls(len(before), pa.list_(pa.int32())), after, counts], names)
 
         size = 0
         for batch in batches:
             fold = batch["fold"].to_numpy(zero_copy_only=False)
             for run in B.slices(batch["text"]):
                 t = Tokens(run)
-                parts.append((*head.pairs(t), fold[run.first + t.doc].astype(np.int8)))
-                size += len(t.ids)
-                if size >= PAIR_TOKENS:
-                    yield summed()
-                    size = 0
+                every = (*head.pairs(t), fold[run.first + t.doc].astype(np.int8))
+                for at in range(0, len(t.ids), PAIR_TOKENS):
+                    parts.append(tuple(x[at:at + PAIR_TOKENS] for x in every))
+                    size += len(parts[-1][0])
+                    if size >= PAIR_TOKENS:
+                        yield from summed()
+                        size = 0
         if parts:
-            yield summed()
+            yield from summed()
 
-    return rows.select("text", "fold").mapInArrow(count, "v long, w long, kept long, held long, n long, rare byte").groupBy("v", "w").agg(
-        F.sum("kept").alias("kept"), F.sum("held").alias("held"), F.sum("n").alias("n"), F.max("rare").alias("rare"))
+    stripes = rows.select("text", "fold").mapInArrow(
+        count, "v long, share int, frequent array<int>, other array<long>, counts array<long>").repartition("v", "share")
+    mask = F.lit((1 << COUNT_BITS) - 1)
+    kept, held, out = (F.sum(F.shiftright("packed", COUNT_BITS * k).bitwiseAND(mask)) for k in range(3))
+    pairs = (stripes.withColumn("w", F.coalesce(F.col("frequent").cast("array<long>"), "other")).withColumn("packed", F.col("counts"))
+             .select("v", "share", F.isnotnull("other").alias("rare"), F.inline(F.arrays_zip("w", "packed")))
+             .groupBy("v", "share", "w", "rare").agg(kept.alias("kept"), held.alias("held"), out.alias("out")))
+    return pairs.select("v", "w", "kept", "held", (F.col("kept") + F.col("held") + F.col("out")).alias("n"), "rare").where(
+        (F.col("n") > 1) | F.col("rare"))
 
 
 def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.ndarray], new: float, other: int,
                  other_kept: int) -> DataFrame:
-    """(key, n, ratio, bucket, held, held_bucket, held_cell) of every pair of the stored table ``pairs``, which is deleted.
+    """(v, share, w, key, n, seen, unit, bucket, held, held_bucket, held_cell) of every pair of the stored table ``pairs``,
+    which is deleted.
 
-    ``ratio`` is the pair's relative frequency over the class model's probability, ``bucket`` that of the count of
-    the word before. The last two are the same from kept documents only, the ratio in steps of its logarithm.
+    Pairs of frequent words have ``v``, ``share`` and ``w``, others ``key``. ``seen`` counts the training documents,
+    ``unit`` is the relative frequency of a pair met once over the class model's probability, ``bucket`` that of the count of the word before.
+    The last two are bucket and ratio of both from kept documents only, the ratio in steps of its logarithm.
     """
     send = pairs.sparkSession.sparkContext.broadcast((head.ids, head.n, head.cls, head.kept, *logs))
     size = len(head.ids)
@@ -284,17 +339,20 @@ def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.
                 inside = np.where(c > 0, (1 - new) * c / max(total, 1), new)
                 return 10 ** log[class_v, class_w].astype(float) * np.where(class_w == OTHER, inside, 1.0)
 
-            ratio = (kept + held) / (np.maximum(cv, 1) * lower(log_every, cw, other))
+            unit = 1 / (np.maximum(cv, 1) * lower(log_every, cw, other))
             past = kept / (np.maximum(kv, 1) * lower(log_kept, kw, other_kept))
             cell = np.where((held > 0) & (kept > 0), np.rint(STEPS * np.log2(np.where(kept > 0, past, 1.0))), -(1 << 15))
+            key = pair_keys(v, w, size)
             yield pa.RecordBatch.from_pydict({
-                "key": pair_keys(v, w, size), "n": n, "ratio": ratio.astype(np.float32), "bucket": buckets(cv).astype(np.int8),
+                "v": pa.array(v, mask=key < 0), "share": pa.array(head.shares(v, w), mask=key < 0), "w": pa.array(w, mask=key < 0),
+                "key": pa.array(key, mask=key >= 0), "n": n, "seen": kept + held,
+                "unit": unit, "bucket": buckets(cv).astype(np.int8),
                 "held": held, "held_bucket": np.where(held > 0, buckets(kv), 0).astype(np.int8), "held_cell": cell.astype(np.int16)})
 
     zero = F.lit(0).cast("long")
     columns = ["v", "w", "kept", "held", "n"]
-    plain = pairs.where(F.col("rare") == 0).select(*columns, *(zero.alias(c) for c in ("cv", "kv", "cw", "kw")))
-    met = pairs.where(F.col("rare") == 1).select(*columns)
+    plain = pairs.where(~F.col("rare")).select(*columns, *(zero.alias(c) for c in ("cv", "kv", "cw", "kw")))
+    met = pairs.where(F.col("rare")).select(*columns)
     for x in "vw":
         # Frequent words carry their counts already; they go past the join under the pair's own digest.
         on = F.when(F.col(x).between(0, size - 1), F.xxhash64("v", "w")).otherwise(F.col(x))
@@ -302,19 +360,27 @@ def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.
         met = met.withColumn("on", on).join(own, "on", "left").drop("on")
     met = met.select(*columns, *(F.coalesce(c, zero).alias(c) for c in ("cv", "kv", "cw", "kw")))
     out = stored(plain.unionByName(met).mapInArrow(
-        weigh, "key long, n long, ratio float, bucket byte, held long, held_bucket byte, held_cell short"), "lm-pairs")
+        weigh, "v long, share int, w long, key long, n long, seen long, unit double, bucket byte, held long, held_bucket byte, held_cell short"), "lm-pairs")
     discard(pairs)
     release(pairs.sparkSession)
     return out
 
 
-def _pair_weights(ratios: DataFrame) -> np.ndarray:
-    """How much word pairs weigh against the class model, per bucket of the count of the word before."""
+def _pair_weights(ratios: DataFrame, counts: DataFrame) -> np.ndarray:
+    """How much word pairs weigh against the class model, per bucket of the count of the word before.
+
+    Every held-out token follows a word; those whose pair has no row are met once in the corpus, so never in kept documents.
+    """
     got = ratios.where(F.col("held") > 0).groupBy("held_bucket", "held_cell").agg(F.sum("held").alias("n")).toArrow()
-    cell = got["held_cell"].to_numpy().astype(float)
-    ratio = np.where(cell > -(1 << 15), np.exp2(cell / STEPS), 0.0)
-    return mixture_weights(np.stack([ratio, np.ones(len(ratio))], 1), got["held_bucket"].to_numpy().astype(np.int64),
-                           got["n"].to_numpy().astype(float))[:, 0]
+    every = counts.where(F.col("held") > 0).groupBy(_bucket(F.col("kept")).alias("b")).agg(F.sum("held").alias("n")).collect()
+    cell, n, bucket = (got[c].to_numpy() for c in ("held_cell", "n", "held_bucket"))
+    once = np.zeros(BUCKETS)
+    for b, held in every:
+        once[b] = held
+    once -= np.bincount(bucket, n, BUCKETS)
+    ratio = np.append(np.where(cell > -(1 << 15), np.exp2(cell.astype(float) / STEPS), 0.0), np.zeros(BUCKETS))
+    return mixture_weights(np.stack([ratio, np.ones(len(ratio))], 1), np.append(bucket.astype(np.int64), np.arange(BUCKETS)),
+                           np.append(n, once).astype(float))[:, 0]
 
 
 def _frequent_pairs(gains: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +392,8 @@ def _frequent_pairs(gains: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarra
         if sizes[b] > room:
             break
         room, lowest = room - sizes[b], b
-    got = gains.where(band >= lowest).select("key", "gain").toArrow()
+    key = F.coalesce("key", F.shiftleft("v", 31).bitwiseOR(F.col("w")))
+    got = gains.where(band >= lowest).select(key.alias("key"), "gain").toArrow()
     keys, gain = got["key"].to_numpy(), got["gain"].to_numpy()
     order = np.argsort(keys)
     return keys[order], gain[order]
@@ -365,15 +432,44 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     pairs = stored(_word_pairs(rows, head), "lm-pair-counts")
     release(docs.sparkSession)
     ratios = _pair_ratios(pairs, counts, head, [log_class, log_kept], new, other, other - other_held)
-    weight = F.element_at(F.array(*(F.lit(float(x)) for x in _pair_weights(ratios))), F.col("bucket").cast("int") + 1)
-    gains = ratios.select("key", "n", F.log10(weight * F.col("ratio").cast("double") + 1 - weight).alias("gain"))
+    weights = _pair_weights(ratios, counts)
+    weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.col("bucket").cast("int") + 1)
+
+    def gain(ratio: Column) -> Column:
+        return F.log10(weight * ratio + 1 - weight)
+
+    gains = ratios.select("v", "share", "w", "key", "n", gain(F.col("seen") * F.col("unit")).alias("gain"), gain(F.col("unit")).alias("once"),
+                          gain(F.lit(0.0)).alias("never"))
     send = docs.sparkSession.sparkContext.broadcast(
-        (head.ids, head.n, head.cls, head.kept, *_frequent_pairs(gains, pair_limit), log_class))
+        (head.ids, head.n, head.cls, head.kept, *_frequent_pairs(gains, pair_limit), log_class, weights))
+
+    kind = rows.schema["id"].dataType.simpleString()
+    columns = (f"row long, id {kind}, n_tokens long, n_known long, base double, total double, "
+               "waiting array<struct<word: long, times: int>>, pairs array<struct<key: long, times: int>>, "
+               "v long, share int, trained boolean, place array<int>, w array<int>, times array<int>")
+    names = ["row", "id", "n_tokens", "n_known", "base", "total", "waiting", "pairs", "v", "share", "trained", "place", "w", "times"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *frequent, pair_key, pair_gain, log_class = send.value
+        *frequent, pair_key, pair_gain, log_class, weights = send.value
         head = Head.of(*frequent)
+        row = TaskContext.get().partitionId() << 33
+        # Pairs of frequent words that wait for their counts, of all documents since row ``begun``.
+        late_pairs: list[tuple] = []
+        begun, size = row, 0
+
+        def stripes(id_type: pa.DataType) -> pa.RecordBatch:
+            place, key, times, trained = (np.concatenate(c) for c in zip(*late_pairs))
+            v, w = key >> 31, key & ((1 << 31) - 1)
+            (before, share, fit), lists = _lists([v, head.shares(v, w), trained], [place, w.astype(np.int32), times])
+            m = len(before)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m, begun)), pa.nulls(m, id_type), *(pa.nulls(m, x) for x in absent),
+                 pa.array(before), pa.array(share), pa.array(fit), *lists], names=names)
+
+        absent: list[pa.DataType] = []
         for batch in batches:
+            trained = batch["fold"].to_numpy(zero_copy_only=False) != LEFT_OUT
+            id_type = batch["id"].type
             for run in B.slices(batch["text"]):
                 t = Tokens(run)
                 done, c, cls = head.find(t.ids)
@@ -383,27 +479,44 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
                 if not len(head.ids):
                     done = t.ids == B.U64(_END_ID)
                 base = np.bincount(t.doc, np.where(done, np.log10(c + 1.0) - floor, 0), run.n)
-                key = head.pairs(t)[2]
+                v, _, key = head.pairs(t)
                 at = np.minimum(np.searchsorted(pair_key, key), max(len(pair_key) - 1, 0))
                 met = pair_key[at] == key if len(pair_key) else np.zeros(len(key), bool)
+                once = np.flatnonzero(~met & (key >= 0))
+                fit = trained[run.first + t.doc[once]]
+                weight = weights[buckets(head.n[v[once]])] if len(once) else np.zeros(0)
+                unit = np.where(fit, 1 / (np.maximum(head.n[v[once]], 1) * 10 ** model[once]), 0) if len(once) else np.zeros(0)
+                model[once] += np.log10(weight * unit + 1 - weight)
                 model[met] += pair_gain[at[met]]
                 total = np.bincount(t.doc, model, run.n)
-                # Words and pairs that are not frequent wait for the join with their counts, each once per document.
+                value, times, cut = _once_a_document(t.doc[once], key[once], run.n)
+                doc = np.repeat(np.arange(run.n), np.diff(cut))
+                late_pairs.append(((row - begun + doc).astype(np.int32), value, times, trained[run.first + doc]))
+                size += len(value)
+                # Words and pairs of words that are not frequent wait for the join with their counts, each once per document.
                 lists = []
-                for name, values, late in (("word", B.signed(t.ids), ~done), ("key", key, ~met)):
+                for name, values, late in (("word", B.signed(t.ids), ~done), ("key", key, ~met & (key < 0))):
                     value, times, cut = _once_a_document(t.doc[late], values[late], run.n)
                     lists.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(
                         [pa.array(value), pa.array(times)], [name, "times"])))
+                own = [pa.array(np.bincount(t.doc, minlength=run.n)),
+                       pa.array(np.bincount(t.doc[done], (c[done] > 0), run.n).astype(np.int64)), pa.array(base), pa.array(total), *lists]
+                absent = [x.type for x in own]
+                no_list = pa.nulls(run.n, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(run.first, run.n), pa.array(np.bincount(t.doc, minlength=run.n)),
-                     pa.array(np.bincount(t.doc[done], (c[done] > 0), run.n).astype(np.int64)), pa.array(base), pa.array(total), *lists],
-                    names=["id", "n_tokens", "n_known", "base", "total", "waiting", "pairs"])
+                    [pa.array(np.arange(row, row + run.n)), batch["id"].slice(run.first, run.n), *own, pa.nulls(run.n, pa.int64()),
+                     pa.nulls(run.n, pa.int32()), pa.nulls(run.n, pa.bool_()), no_list, no_list, no_list], names=names)
+                row += run.n
+                if size >= PAIR_TOKENS:
+                    yield stripes(id_type)
+                    late_pairs.clear()
+                    begun, size = row, 0
+        if size:
+            yield stripes(id_type)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = stored(rows.select("id", "text").mapInArrow(
-        score, f"id {kind}, n_tokens long, n_known long, base double, total double, "
-               "waiting array<struct<word: long, times: int>>, pairs array<struct<key: long, times: int>>")
-        .withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    written = stored(rows.select("id", "text", "fold").mapInArrow(score, columns), "lm-scored")
+    release(docs.sparkSession)
+    scored = written.where(F.col("v").isNull()).select("row", "id", "n_tokens", "n_known", "base", "total", "waiting", "pairs")
     waiting = scored.select("row", F.explode("waiting").alias("t")).select("row", "t.*")
     c = F.coalesce(every, F.lit(0))
     inside = F.when(c > 0, F.log10(F.lit(1 - new) * c / F.lit(float(max(other, 1))))).otherwise(F.lit(float(np.log10(new))))
@@ -412,8 +525,18 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
         (F.col("times") * inside).alias("m"))
     rest = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
                                   F.sum("b").alias("b"), F.sum("m").alias("m"))
-    paired = (scored.select("row", F.explode("pairs").alias("t")).select("row", "t.*").join(gains.select("key", "gain"), "key")
-              .groupBy("row").agg(F.sum(F.col("times") * F.col("gain")).alias("g")))
+    rare = (scored.select("row", F.explode("pairs").alias("t")).select("row", "t.*")
+            .join(gains.where(F.col("key").isNotNull()).select("key", "gain"), "key")
+            .select("row", (F.col("times") * F.col("gain")).alias("g")))
+    # Both sides are dealt by word before and share, so that stripes are opened behind the shuffle.
+    asked = (written.where(F.col("v").isNotNull()).select("row", "v", "share", "trained", "place", "w", "times").repartition("v", "share")
+             .select("row", "v", "share", "trained", F.inline(F.arrays_zip("place", "w", "times"))).withColumn("w", F.col("w").cast("long")))
+    told = gains.where(F.col("v").isNotNull()).select("v", "share", "w", "gain", "once", "never").repartition("v", "share")
+    short = F.col("gain") - F.when(F.col("trained"), F.col("once")).otherwise(F.col("never"))
+    frequent = asked.join(told, ["v", "share", "w"]).select((F.col("row") + F.col("place")).alias("row"), (F.col("times") * short).alias("g"))
+    # Summed first on each side: the shuffle by row has at most one number per document and task of each join.
+    paired = rare.groupBy("row").agg(F.sum("g").alias("g")).unionByName(frequent.groupBy("row").agg(F.sum("g").alias("g"))).groupBy(
+        "row").agg(F.sum("g").alias("g"))
     out = scored.drop("waiting", "pairs").join(rest, "row", "left").join(paired, "row", "left")
     zero = F.lit(0)
     return out.select(
