@@ -130,16 +130,18 @@ def pair_keys(v: np.ndarray, w: np.ndarray, frequent: int) -> np.ndarray:
     return np.where(both, np.where(both, v, 0) << 31 | np.where(both, w, 0), mixed | np.int64(-1 << 63))
 
 
-def _lists(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[pa.ListArray]]:
-    """Values as one list per distinct combination of keys."""
-    order = np.lexsort(tuple(reversed(keys)))
-    keys = [k[order] for k in keys]
-    starts = np.ones(len(order), bool)
-    if len(order):
-        starts[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(starts)
-    cut = pa.array(np.append(at, len(order)), pa.int32())
-    return [k[at] for k in keys], [pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in values]
+def _lists(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[pa.ListArray]]:
+    """(distinct keys, values as one list per key)."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    cut = pa.array(np.append(at, len(key)), pa.int32())
+    return key[at], [pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in values]
+
+
+def _band(count: Column) -> Column:
+    """Small counts by themselves, others by powers of two."""
+    return F.when(count < 64, count).otherwise(F.length(F.bin(count)) + 57).cast("int")
 
 
 def _bucket(count: Column) -> Column:
@@ -176,9 +178,9 @@ class Head:
 
     def __init__(self, counts: DataFrame, limit: int = HEAD, classes: int = CLASSES):
         total = F.col("kept") + F.col("held")
-        band = F.floor(F.log2(total.cast("double"))).cast("int")
+        band = _band(total)
         sizes = dict(counts.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect())
-        lowest, room = 64, limit
+        lowest, room = 128, limit
         for b in sorted(sizes, reverse=True):
             if sizes[b] > room:
                 break
@@ -214,18 +216,22 @@ class Head:
         parts = 1 + np.where(hit, self.n[np.where(hit, v, 0)], 0) * SHARES // max(int(self.n.sum()), 1)
         return (w % parts).astype(np.int32)
 
-    def pairs(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the word before, number of the word, key of the pair) of each token."""
-        w = self.numbers(t.ids)
+    def pairs(self, t: Tokens, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the word before, number of the word, key of the pair) of each token; ``w`` if known already."""
+        w = self.numbers(t.ids) if w is None else w
         v = t.before(w, int(self.numbers(np.array([_END_ID], B.U64))[0]))
         return v, w, pair_keys(v, w, len(self.ids))
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(is frequent, count, class) of each token."""
+        return self.look(ids, self.numbers(ids))
+
+    def look(self, ids: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``find`` with the ``numbers`` of the tokens."""
         if not len(self.ids):
             return np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), np.where(ids == B.U64(_END_ID), END, OTHER)
-        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-        hit = self.ids[at] == ids
+        hit = (number >= 0) & (number < len(self.ids))
+        at = np.where(hit, number, 0)
         return hit, np.where(hit, self.n[at], 0), np.where(hit, self.cls[at], np.where(ids == B.U64(_END_ID), END, OTHER))
 
 
@@ -261,7 +267,7 @@ def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
     Summed over ``PAIR_TOKENS`` tokens before the shuffle; ``n`` has the documents that are left out of training, too.
     """
     send = rows.sparkSession.sparkContext.broadcast((head.ids, head.n, head.cls, head.kept))
-    names = ["v", "share", "frequent", "other", "counts"]
+    names = ["v", "share", "after", "counts", "w", "packed"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = Head.of(*send.value)
@@ -275,10 +281,14 @@ def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
                             (slice(None), fold == HELD, fold == LEFT_OUT))
             packed = n - held - out | held << COUNT_BITS | out << 2 * COUNT_BITS
             v, w, rare = v[first], w[first], key[first] < 0
-            (before, share), (after, counts) = _lists([v[~rare], head.shares(v[~rare], w[~rare])], [w[~rare].astype(np.int32), packed[~rare]])
-            yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(share), after, pa.nulls(len(before), pa.list_(pa.int64())), counts], names)
-            (before, share), (after, counts) = _lists([v[rare], head.shares(v[rare], w[rare])], [w[rare], packed[rare]])
-            yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(share), pa.nulls(len(before), pa.list_(pa.int32())), after, counts], names)
+            share = head.shares(v, w)
+            place, (after, counts) = _lists(v[~rare] * (2 * SHARES) + share[~rare], w[~rare].astype(np.int32), packed[~rare])
+            none = pa.nulls(len(place), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place // (2 * SHARES)), pa.array((place % (2 * SHARES)).astype(np.int32)), after, counts, none, none], names)
+            none = (pa.nulls(int(rare.sum()), x.type) for x in (after, counts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[rare]), pa.array(share[rare]), *none, pa.array(w[rare]), pa.array(packed[rare])], names)
 
         size = 0
         for batch in batches:
@@ -296,11 +306,12 @@ def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
             yield from summed()
 
     stripes = rows.select("text", "fold").mapInArrow(
-        count, "v long, share int, frequent array<int>, other array<long>, counts array<long>").repartition("v", "share")
+        count, "v long, share int, after array<int>, counts array<long>, w long, packed long").repartition("v", "share")
     mask = F.lit((1 << COUNT_BITS) - 1)
     kept, held, out = (F.sum(F.shiftright("packed", COUNT_BITS * k).bitwiseAND(mask)) for k in range(3))
-    pairs = (stripes.withColumn("w", F.coalesce(F.col("frequent").cast("array<long>"), "other")).withColumn("packed", F.col("counts"))
-             .select("v", "share", F.isnotnull("other").alias("rare"), F.inline(F.arrays_zip("w", "packed")))
+    pairs = (stripes.select("v", "share", "w", "packed", F.inline_outer(F.arrays_zip("after", "counts")))
+             .select("v", "share", F.isnotnull("w").alias("rare"), F.coalesce("w", F.col("after").cast("long")).alias("w"),
+                     F.coalesce("packed", "counts").alias("packed"))
              .groupBy("v", "share", "w", "rare").agg(kept.alias("kept"), held.alias("held"), out.alias("out")))
     return pairs.select("v", "w", "kept", "held", (F.col("kept") + F.col("held") + F.col("out")).alias("n"), "rare").where(
         (F.col("n") > 1) | F.col("rare"))
@@ -383,11 +394,11 @@ def _pair_weights(ratios: DataFrame, counts: DataFrame) -> np.ndarray:
                            np.append(n, once).astype(float))[:, 0]
 
 
-def _frequent_pairs(gains: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys in order, gains) of the most frequent pairs, whole powers of two of the count, at most ``limit``."""
-    band = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+def _frequent_pairs(gains: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(keys in order, gains) of the most frequent pairs, and those that are not among them; at most ``limit``."""
+    band = _band(F.col("n"))
     sizes = dict(gains.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect())
-    lowest, room = 64, limit
+    lowest, room = 128, limit
     for b in sorted(sizes, reverse=True):
         if sizes[b] > room:
             break
@@ -396,7 +407,7 @@ def _frequent_pairs(gains: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarra
     got = gains.where(band >= lowest).select(key.alias("key"), "gain").toArrow()
     keys, gain = got["key"].to_numpy(), got["gain"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], gain[order]
+    return keys[order], gain[order], gains.where(band < lowest)
 
 
 def _once_a_document(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -438,10 +449,10 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     def gain(ratio: Column) -> Column:
         return F.log10(weight * ratio + 1 - weight)
 
-    gains = ratios.select("v", "share", "w", "key", "n", gain(F.col("seen") * F.col("unit")).alias("gain"), gain(F.col("unit")).alias("once"),
-                          gain(F.lit(0.0)).alias("never"))
+    pair_key, pair_gain, others = _frequent_pairs(
+        ratios.select("*", gain(F.col("seen") * F.col("unit")).alias("gain")), pair_limit)
     send = docs.sparkSession.sparkContext.broadcast(
-        (head.ids, head.n, head.cls, head.kept, *_frequent_pairs(gains, pair_limit), log_class, weights))
+        (head.ids, head.n, head.cls, head.kept, pair_key, pair_gain, log_class, weights))
 
     kind = rows.schema["id"].dataType.simpleString()
     columns = (f"row long, id {kind}, n_tokens long, n_known long, base double, total double, "
@@ -460,8 +471,9 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
         def stripes(id_type: pa.DataType) -> pa.RecordBatch:
             place, key, times, trained = (np.concatenate(c) for c in zip(*late_pairs))
             v, w = key >> 31, key & ((1 << 31) - 1)
-            (before, share, fit), lists = _lists([v, head.shares(v, w), trained], [place, w.astype(np.int32), times])
-            m = len(before)
+            at, lists = _lists((v * (2 * SHARES) + head.shares(v, w)) * 2 + trained, place, w.astype(np.int32), times)
+            before, share, fit = at // (4 * SHARES), (at // 2 % (2 * SHARES)).astype(np.int32), at % 2 == 1
+            m = len(at)
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(m, begun)), pa.nulls(m, id_type), *(pa.nulls(m, x) for x in absent),
                  pa.array(before), pa.array(share), pa.array(fit), *lists], names=names)
@@ -472,14 +484,15 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
             id_type = batch["id"].type
             for run in B.slices(batch["text"]):
                 t = Tokens(run)
-                done, c, cls = head.find(t.ids)
+                number = head.numbers(t.ids)
+                done, c, cls = head.look(t.ids, number)
                 model = log_class[t.before(cls), cls].astype(float)
                 known = np.flatnonzero(done & (cls == OTHER))
                 model[known] += np.log10((1 - new) * c[known] / max(other, 1))
                 if not len(head.ids):
                     done = t.ids == B.U64(_END_ID)
                 base = np.bincount(t.doc, np.where(done, np.log10(c + 1.0) - floor, 0), run.n)
-                v, _, key = head.pairs(t)
+                v, _, key = head.pairs(t, number)
                 at = np.minimum(np.searchsorted(pair_key, key), max(len(pair_key) - 1, 0))
                 met = pair_key[at] == key if len(pair_key) else np.zeros(len(key), bool)
                 once = np.flatnonzero(~met & (key >= 0))
@@ -525,18 +538,20 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
         (F.col("times") * inside).alias("m"))
     rest = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
                                   F.sum("b").alias("b"), F.sum("m").alias("m"))
-    rare = (scored.select("row", F.explode("pairs").alias("t")).select("row", "t.*")
-            .join(gains.where(F.col("key").isNotNull()).select("key", "gain"), "key")
-            .select("row", (F.col("times") * F.col("gain")).alias("g")))
-    # Both sides are dealt by word before and share, so that stripes are opened behind the shuffle.
+    # Both sides are dealt by word before and share, so that stripes are opened behind the shuffle. The joins run one
+    # after another, each into a table of one number per document, so that the shuffle files of one go before the next.
     asked = (written.where(F.col("v").isNotNull()).select("row", "v", "share", "trained", "place", "w", "times").repartition("v", "share")
              .select("row", "v", "share", "trained", F.inline(F.arrays_zip("place", "w", "times"))).withColumn("w", F.col("w").cast("long")))
-    told = gains.where(F.col("v").isNotNull()).select("v", "share", "w", "gain", "once", "never").repartition("v", "share")
-    short = F.col("gain") - F.when(F.col("trained"), F.col("once")).otherwise(F.col("never"))
-    frequent = asked.join(told, ["v", "share", "w"]).select((F.col("row") + F.col("place")).alias("row"), (F.col("times") * short).alias("g"))
-    # Summed first on each side: the shuffle by row has at most one number per document and task of each join.
-    paired = rare.groupBy("row").agg(F.sum("g").alias("g")).unionByName(frequent.groupBy("row").agg(F.sum("g").alias("g"))).groupBy(
-        "row").agg(F.sum("g").alias("g"))
+    told = others.where(F.col("v").isNotNull()).select("v", "share", "w", "seen", "unit", "bucket").repartition("v", "share")
+    seen = F.col("seen") * F.col("unit")
+    short = gain(seen) - gain(F.when(F.col("trained"), F.col("unit")).otherwise(0.0))
+    frequent = stored(asked.join(told, ["v", "share", "w"]).groupBy((F.col("row") + F.col("place")).alias("row"))
+                      .agg(F.sum(F.col("times") * short).alias("g")), "lm-pair-gains")
+    rare = stored(scored.select("row", F.explode("pairs").alias("t")).select("row", "t.*")
+                  .join(others.where(F.col("key").isNotNull()).select("key", gain(seen).alias("gain")), "key")
+                  .groupBy("row").agg(F.sum(F.col("times") * F.col("gain")).alias("g")), "lm-rare-gains")
+    discard(ratios)
+    paired = frequent.unionByName(rare).groupBy("row").agg(F.sum("g").alias("g"))
     out = scored.drop("waiting", "pairs").join(rest, "row", "left").join(paired, "row", "left")
     zero = F.lit(0)
     return out.select(

@@ -14,6 +14,7 @@ from runlens.session import work_path
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 _OPEN: list[list[str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def query(name: str, sql: str | None = None):
@@ -36,7 +37,13 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends there."""
     spark = df.sparkSession
     path = work_path(spark, purpose)
-    df.write.parquet(path)
+    # Once the table is written nothing reads the shuffles that made it; Spark deletes their files when the write ends.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     for made in _OPEN:
         made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
