@@ -28,6 +28,7 @@ is first scored as met once, in that document; the table of the others has what
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import bytes as B
-from runlens.llm.registry import discard, query, release, remainder, stored, table
+from runlens.llm.registry import CLEANUP, ZSTD, discard, query, remainder, setting, stored, table
 
 FOLDS, LEFT_OUT, HELD = 7, 2, 3
 HEAD = 1 << 19
@@ -49,6 +50,10 @@ COUNT_BITS = 21
 #: A share of a word before holds about one in so many tokens, or less.
 SHARES = 1 << 12
 OTHER, END = 0, 1
+#: Kinds of counted pairs: of two frequent words, with another word, of classes.
+PLAIN, RARE, CLASS = 0, 1, 2
+#: Pairs wait for their counts in so many rounds, so that shuffle files of one round go before the next.
+PARTS = 2
 ROUNDS = 40
 BUCKETS = 40
 _END_ID = 0x1D1E5EED0E0D0C0B
@@ -235,34 +240,18 @@ class Head:
         return hit, np.where(hit, self.n[at], 0), np.where(hit, self.cls[at], np.where(ids == B.U64(_END_ID), END, OTHER))
 
 
-def _pair_counts(rows: DataFrame, head: Head, classes: int) -> np.ndarray:
+def _class_pairs(pairs: DataFrame, classes: int) -> np.ndarray:
     """(2, classes, classes): how often a class follows another in kept and in held-out training documents."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((2, classes * classes), np.int64)
-        for batch in batches:
-            fold = batch["fold"].to_numpy(zero_copy_only=False)
-            for run in B.slices(batch["text"]):
-                t = Tokens(run)
-                cls = head.find(t.ids)[2]
-                held = fold[run.first + t.doc] == HELD
-                cell = t.before(cls) * classes + cls
-                for side in (0, 1):
-                    pairs[side] += np.bincount(cell[held == side], minlength=classes * classes)
-        for side in (0, 1):
-            cell = np.flatnonzero(pairs[side])
-            yield pa.RecordBatch.from_pydict({"cell": cell * 2 + side, "n": pairs[side][cell]})
-
-    got = (rows.where(F.col("fold") != LEFT_OUT).select("text", "fold").mapInArrow(count, "cell long, n long")
-           .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
-    cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
+    got = pairs.where(F.col("kind") == CLASS).select((F.col("v") * classes + F.col("w")).alias("cell"), "kept", "held").toArrow()
     matrix = np.zeros((2, classes * classes), np.int64)
-    matrix[cell % 2, cell // 2] = n
+    for side, name in enumerate(("kept", "held")):
+        matrix[side, got["cell"].to_numpy()] = got[name].to_numpy()
     return matrix.reshape(2, classes, classes)
 
 
 def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
-    """(v, w, kept, held, n, rare) of the pairs of a word and the word before it in the whole corpus, but for
-    pairs of frequent words that it holds once.
+    """(v, w, kept, held, n, kind) of the pairs of a word and the word before it in the whole corpus, but for
+    pairs of frequent words that it holds once, and of the pairs of their classes.
 
     Summed over ``PAIR_TOKENS`` tokens before the shuffle; ``n`` has the documents that are left out of training, too.
     """
@@ -274,12 +263,22 @@ def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
         parts: list[tuple] = []
 
         def summed() -> Iterator[pa.RecordBatch]:
-            v, w, key, fold = (np.concatenate(c) for c in zip(*parts))
+            v, w, key, cell, fold = (np.concatenate(c) for c in zip(*parts))
             parts.clear()
-            _, first, at = np.unique(key, return_index=True, return_inverse=True)
-            n, held, out = (np.bincount(at[chosen], minlength=len(first)).astype(np.int64) for chosen in
-                            (slice(None), fold == HELD, fold == LEFT_OUT))
-            packed = n - held - out | held << COUNT_BITS | out << 2 * COUNT_BITS
+
+            def counted(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                _, first, at = np.unique(of, return_index=True, return_inverse=True)
+                n, held, out = (np.bincount(at[chosen], minlength=len(first)).astype(np.int64) for chosen in
+                                (slice(None), fold == HELD, fold == LEFT_OUT))
+                return first, n - held - out | held << COUNT_BITS | out << 2 * COUNT_BITS
+
+            first, packed = counted(cell)
+            cell = cell[first]
+            place, (after, counts) = _lists(cell >> 31, (cell & ((1 << 31) - 1)).astype(np.int32), packed)
+            none = pa.nulls(len(place), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place), pa.array(np.full(len(place), -1, np.int32)), after, counts, none, none], names)
+            first, packed = counted(key)
             v, w, rare = v[first], w[first], key[first] < 0
             share = head.shares(v, w)
             place, (after, counts) = _lists(v[~rare] * (2 * SHARES) + share[~rare], w[~rare].astype(np.int32), packed[~rare])
@@ -295,7 +294,9 @@ def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
             fold = batch["fold"].to_numpy(zero_copy_only=False)
             for run in B.slices(batch["text"]):
                 t = Tokens(run)
-                every = (*head.pairs(t), fold[run.first + t.doc].astype(np.int8))
+                number = head.numbers(t.ids)
+                cls = head.look(t.ids, number)[2]
+                every = (*head.pairs(t, number), t.before(cls) << 31 | cls, fold[run.first + t.doc].astype(np.int8))
                 for at in range(0, len(t.ids), PAIR_TOKENS):
                     parts.append(tuple(x[at:at + PAIR_TOKENS] for x in every))
                     size += len(parts[-1][0])
@@ -310,11 +311,11 @@ def _word_pairs(rows: DataFrame, head: Head) -> DataFrame:
     mask = F.lit((1 << COUNT_BITS) - 1)
     kept, held, out = (F.sum(F.shiftright("packed", COUNT_BITS * k).bitwiseAND(mask)) for k in range(3))
     pairs = (stripes.select("v", "share", "w", "packed", F.inline_outer(F.arrays_zip("after", "counts")))
-             .select("v", "share", F.isnotnull("w").alias("rare"), F.coalesce("w", F.col("after").cast("long")).alias("w"),
+             .select("v", "share", F.when(F.col("share") < 0, CLASS).when(F.isnotnull("w"), RARE).otherwise(PLAIN).alias("kind"), F.coalesce("w", F.col("after").cast("long")).alias("w"),
                      F.coalesce("packed", "counts").alias("packed"))
-             .groupBy("v", "share", "w", "rare").agg(kept.alias("kept"), held.alias("held"), out.alias("out")))
-    return pairs.select("v", "w", "kept", "held", (F.col("kept") + F.col("held") + F.col("out")).alias("n"), "rare").where(
-        (F.col("n") > 1) | F.col("rare"))
+             .groupBy("v", "share", "w", "kind").agg(kept.alias("kept"), held.alias("held"), out.alias("out")))
+    return pairs.select("v", "w", "kept", "held", (F.col("kept") + F.col("held") + F.col("out")).alias("n"), "kind").where(
+        (F.col("n") > 1) | (F.col("kind") != PLAIN))
 
 
 def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.ndarray], new: float, other: int,
@@ -362,8 +363,8 @@ def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.
 
     zero = F.lit(0).cast("long")
     columns = ["v", "w", "kept", "held", "n"]
-    plain = pairs.where(~F.col("rare")).select(*columns, *(zero.alias(c) for c in ("cv", "kv", "cw", "kw")))
-    met = pairs.where(F.col("rare")).select(*columns)
+    plain = pairs.where(F.col("kind") == PLAIN).select(*columns, *(zero.alias(c) for c in ("cv", "kv", "cw", "kw")))
+    met = pairs.where(F.col("kind") == RARE).select(*columns)
     for x in "vw":
         # Frequent words carry their counts already; they go past the join under the pair's own digest.
         on = F.when(F.col(x).between(0, size - 1), F.xxhash64("v", "w")).otherwise(F.col(x))
@@ -371,9 +372,8 @@ def _pair_ratios(pairs: DataFrame, counts: DataFrame, head: Head, logs: list[np.
         met = met.withColumn("on", on).join(own, "on", "left").drop("on")
     met = met.select(*columns, *(F.coalesce(c, zero).alias(c) for c in ("cv", "kv", "cw", "kw")))
     out = stored(plain.unionByName(met).mapInArrow(
-        weigh, "v long, share int, w long, key long, n long, seen long, unit double, bucket byte, held long, held_bucket byte, held_cell short"), "lm-pairs")
+        weigh, "v long, share int, w long, key long, n long, seen long, unit double, bucket byte, held long, held_bucket byte, held_cell short"), "lm-pairs", ZSTD)
     discard(pairs)
-    release(pairs.sparkSession)
     return out
 
 
@@ -431,8 +431,6 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     every = F.col("kept") + F.col("held")
     n, v, n_kept = counts.agg(F.coalesce(F.sum(every), F.lit(0)), F.count("*"), F.coalesce(F.sum("kept"), F.lit(0))).first()
     head = Head(counts, head_limit, classes)
-    matrix = _pair_counts(rows, head, classes)
-    log_class, log_kept = class_models(matrix[0], matrix[1])
     # Words of the shared class: how much of the held-out words was never seen among the kept ones.
     own = np.sort(head.ids[head.cls != OTHER])
     shared = counts.where(~F.col("word").isin(B.signed(own).tolist())) if len(own) <= classes else counts
@@ -440,8 +438,9 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
                                            F.coalesce(F.sum(F.when(F.col("kept") == 0, F.col("held"))), F.lit(0))).first()
     new = (unseen + 1) / (other_held + 2)
     floor = np.log10(float(n + v + 1))
-    pairs = stored(_word_pairs(rows, head), "lm-pair-counts")
-    release(docs.sparkSession)
+    pairs = stored(_word_pairs(rows, head), "lm-pair-counts", ZSTD)
+    matrix = _class_pairs(pairs, classes)
+    log_class, log_kept = class_models(matrix[0], matrix[1])
     ratios = _pair_ratios(pairs, counts, head, [log_class, log_kept], new, other, other - other_held)
     weights = _pair_weights(ratios, counts)
     weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.col("bucket").cast("int") + 1)
@@ -527,8 +526,7 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
         if size:
             yield stripes(id_type)
 
-    written = stored(rows.select("id", "text", "fold").mapInArrow(score, columns), "lm-scored")
-    release(docs.sparkSession)
+    written = stored(rows.select("id", "text", "fold").mapInArrow(score, columns), "lm-scored", ZSTD)
     scored = written.where(F.col("v").isNull()).select("row", "id", "n_tokens", "n_known", "base", "total", "waiting", "pairs")
     waiting = scored.select("row", F.explode("waiting").alias("t")).select("row", "t.*")
     c = F.coalesce(every, F.lit(0))
@@ -538,20 +536,27 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
         (F.col("times") * inside).alias("m"))
     rest = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"),
                                   F.sum("b").alias("b"), F.sum("m").alias("m"))
-    # Both sides are dealt by word before and share, so that stripes are opened behind the shuffle. The joins run one
-    # after another, each into a table of one number per document, so that the shuffle files of one go before the next.
-    asked = (written.where(F.col("v").isNotNull()).select("row", "v", "share", "trained", "place", "w", "times").repartition("v", "share")
-             .select("row", "v", "share", "trained", F.inline(F.arrays_zip("place", "w", "times"))).withColumn("w", F.col("w").cast("long")))
-    told = others.where(F.col("v").isNotNull()).select("v", "share", "w", "seen", "unit", "bucket").repartition("v", "share")
+    # Both sides are dealt by word before and share, and stripes are opened behind that shuffle; without the setting Spark
+    # would deal the opened rows once more by all three columns. The joins run one after another, each into a table of one
+    # number per document, so that the shuffle files of one go before the next.
+    def asked(part: int) -> DataFrame:
+        return (written.where(F.col("v") % PARTS == part).select("row", "v", "share", "trained", "place", "w", "times")
+                .repartition("v", "share").select("row", "v", "share", "trained", F.inline(F.arrays_zip("place", "w", "times")))
+                .withColumn("w", F.col("w").cast("long")))
+
+    def told(part: int) -> DataFrame:
+        return others.where(F.col("v") % PARTS == part).select("v", "share", "w", "seen", "unit", "bucket").repartition("v", "share")
+
     seen = F.col("seen") * F.col("unit")
     short = gain(seen) - gain(F.when(F.col("trained"), F.col("unit")).otherwise(0.0))
-    frequent = stored(asked.join(told, ["v", "share", "w"]).groupBy((F.col("row") + F.col("place")).alias("row"))
-                      .agg(F.sum(F.col("times") * short).alias("g")), "lm-pair-gains")
+    with setting(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        frequent = [stored(asked(part).join(told(part), ["v", "share", "w"]).groupBy((F.col("row") + F.col("place")).alias("row"))
+                           .agg(F.sum(F.col("times") * short).alias("g")), "lm-pair-gains") for part in range(PARTS)]
     rare = stored(scored.select("row", F.explode("pairs").alias("t")).select("row", "t.*")
                   .join(others.where(F.col("key").isNotNull()).select("key", gain(seen).alias("gain")), "key")
                   .groupBy("row").agg(F.sum(F.col("times") * F.col("gain")).alias("g")), "lm-rare-gains")
     discard(ratios)
-    paired = frequent.unionByName(rare).groupBy("row").agg(F.sum("g").alias("g"))
+    paired = reduce(DataFrame.unionByName, frequent, rare).groupBy("row").agg(F.sum("g").alias("g"))
     out = scored.drop("waiting", "pairs").join(rest, "row", "left").join(paired, "row", "left")
     zero = F.lit(0)
     return out.select(
@@ -562,4 +567,5 @@ def score_documents(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
 @query("op8_lm")
 def op8_lm(spark: SparkSession, folder: str) -> DataFrame:
-    return score_documents(table(spark, folder, "documents"))
+    with setting(spark, CLEANUP, "true"):
+        return score_documents(table(spark, folder, "documents"))

@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 _OPEN: list[list[str]] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ZSTD = "zstd"
 
 
 def query(name: str, sql: str | None = None):
@@ -33,17 +34,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside the block alone."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage ends there."""
     spark = df.sparkSession
     path = work_path(spark, purpose)
     # Once the table is written nothing reads the shuffles that made it; Spark deletes their files when the write ends.
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path, compression=compression)
     for made in _OPEN:
         made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
