@@ -37,6 +37,7 @@ PERCENT = 90
 MAX_HOT = 65_536
 PART = 32
 LONG_COLUMN = 32
+FAMILY = 8
 BROADCAST_IDS = 1_000_000
 _HOT = 1 << 62
 
@@ -191,7 +192,8 @@ def _families(block: DataFrame, percent: int) -> DataFrame:
     """(nid, pivot) for rows in long columns: of the pivots of its columns the one it shares most of them with.
 
     The pivot of a column, among rows of about one size, is the one with the most long columns, which
-    has the fewest elements of its own.
+    has the fewest elements of its own. A row that shares less than a tenth of its first block with its pivot has
+    met it by chance, in a frequent n-gram: it is left out, and so are pivots with fewer than ``FAMILY`` other rows.
     """
     long = block.where(F.col("rows") >= LONG_COLUMN).withColumn(
         "band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))))
@@ -199,8 +201,12 @@ def _families(block: DataFrame, percent: int) -> DataFrame:
     best = F.max_by(F.struct("nid", "columns"), F.struct("columns", F.xxhash64("nid"), "nid")).alias("best")
     pivots = long.groupBy("k", "band").agg(best)
     met = long.join(pivots, ["k", "band"]).groupBy("nid", F.col("best.nid").alias("pivot")).agg(
-        F.count("*").alias("shared"), F.first("best.columns").alias("columns"))
-    return met.groupBy("nid").agg(F.max_by("pivot", F.struct("shared", "columns", F.xxhash64("pivot"), "pivot")).alias("pivot"))
+        F.count("*").alias("shared"), F.first("best.columns").alias("columns"), F.first("p").alias("p"))
+    star = met.groupBy("nid").agg(F.max_by(F.struct("pivot", "shared", "p"), F.struct(
+        "shared", "columns", F.xxhash64("pivot"), "pivot")).alias("best")).select("nid", "best.*")
+    star = star.where((F.col("nid") == F.col("pivot")) | (F.col("shared") * 10 >= F.col("p")))
+    large = star.where("nid <> pivot").groupBy("pivot").agg(F.count("*").alias("others")).where(F.col("others") >= FAMILY)
+    return star.join(large, "pivot", "left_semi").select("nid", "pivot")
 
 
 def _family_pairs(near: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -281,10 +287,15 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", words: int
     nodes = stored(matrix.where("n > 0").groupBy("node").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .withColumn("nid", F.monotonically_increasing_id()), "jaccard-nodes")
+    # From here on the first blocks are read from the nodes alone, and once the columns are written from these.
+    whole, matrix = matrix, stored(matrix.select("id", "node", "n"), "jaccard-rows")
+    discard(whole)
     block = nodes.select("nid", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"),
                          F.explode("prefix").alias("k"))
     shared = block.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1")
     block = stored(block.join(shared, "k"), "jaccard-block")
+    whole, nodes = nodes, stored(nodes.select("nid", "id", "node"), "jaccard-node-ids")
+    discard(whole)
 
     release(docs.sparkSession)
     star = stored(_families(block, percent), "jaccard-families")

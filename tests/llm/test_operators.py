@@ -546,6 +546,16 @@ def test_join_of_a_near_copy_family(spark, prose, seed):
     assert got == join_by_hand(rows)
 
 
+def test_chance_meetings_make_no_family(spark):
+    """Rows that share one frequent n-gram only are not compared with a pivot, which costs its whole set for each."""
+    alone = [(i, 400, 41, 7, 1, 60) for i in range(60)]
+    family = [(100 + i, 400, 41, 7, 10 + k, 40) for i in range(40) for k in range(30)]
+    few = [(200 + i, 400, 41, 7, 50 + k, 32) for i in range(4) for k in range(30)]
+    block = spark.createDataFrame(alone + family + few, "nid long, n long, p int, last long, k long, rows long")
+    got = {r.nid: r.pivot for r in jaccard_join._families(block, 90).collect()}
+    assert set(got) == {100 + i for i in range(40)} and len(set(got.values())) == 1
+
+
 def test_join_claims_no_count_of_links(odd):
     """Pairs inside a connected component are not compared, so a count of links would be too low."""
     assert jaccard_join.join(odd).columns == ["doc_id", "n_shingles", "component_id"]
