@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of state of the missing-row timers.
+SHARES = 1024
 
 
 @contextmanager
@@ -71,10 +73,11 @@ def hit_windows(log: DataFrame, key: str, moment: str, window: dt.timedelta) ->
 
 
 class MissingTimer(StatefulProcessor):
-    """Grace period of an open execution the source no longer shows.
+    """Grace periods of the open executions of one share of the ids that the source no longer shows.
 
-    The first missing sighting starts an event-time timer, a later sighting
-    clears it, and a timer that fires declares the status unknown.
+    The first missing sighting of an id starts its grace period, a later sighting in time ends it, and when event
+    time has passed its end the status is declared unknown. The state is the ids that wait, with the moment since
+    when, as two runs of 64-bit integers; one timer stands at the earliest end.
     """
 
     def __init__(self, grace_ms: int):
@@ -82,44 +85,76 @@ class MissingTimer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.since = handle.getValueState("since", "since long")
+        self.waiting = handle.getValueState("waiting", "ids binary, since binary, nameless long, due long")
+
+    def _load(self) -> tuple[dict[int | None, int], int | None]:
+        if not self.waiting.exists():
+            return {}, None
+        ids, since, nameless, due = self.waiting.get()
+        waiting = dict(zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(since, np.int64).tolist()))
+        if nameless is not None:
+            waiting[None] = nameless
+        return waiting, due
+
+    def _store(self, waiting: dict[int | None, int], due: int | None) -> None:
+        """Keep what waits; ``due`` is the timer that stands."""
+        first = min(waiting.values()) + self.grace_ms if waiting else None
+        if first != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if not waiting:
+            self.waiting.clear()
+            return
+        named = {i: at for i, at in waiting.items() if i is not None}
+        self.waiting.update((np.fromiter(named, np.int64, len(named)).tobytes(),
+                             np.fromiter(named.values(), np.int64, len(named)).tobytes(), waiting.get(None), first))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sightings = pd.concat([f[["at_ms", "found"]] for f in rows]).sort_values("at_ms")
-        for at, found in sightings.itertuples(index=False):
-            since = self.since.get()[0] if self.since.exists() else None
-            if since is not None and (found or at >= since + self.grace_ms):
-                # Sighted again in time, or already overdue and about to fire.
-                if found and at < since + self.grace_ms:
-                    self.handle.deleteTimer(since + self.grace_ms)
-                    self.since.clear()
-            elif not found and since is None:
-                self.since.update((int(at),))
-                self.handle.registerTimer(int(at) + self.grace_ms)
+        # A null id is an execution of its own. Ids come as text, since pandas has no whole numbers beside a null.
+        sightings = pd.concat([f[["id", "at_ms", "found"]] for f in rows]).sort_values("at_ms", kind="stable")
+        waiting, due = self._load()
+        for name, at, found in zip(sightings["id"].tolist(), sightings["at_ms"].tolist(), sightings["found"].tolist()):
+            name = int(name) if isinstance(name, str) else None
+            since = waiting.get(name)
+            if since is None:
+                if not found:
+                    waiting[name] = at
+            elif found and at < since + self.grace_ms:
+                # Sighted again in time; one that is overdue is about to be declared.
+                del waiting[name]
+        self._store(waiting, due)
         yield pd.DataFrame(columns=["id", "missing_since_ms", "status"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        since = self.since.get()[0] if self.since.exists() else None
-        self.since.clear()
-        if since is not None:
-            yield pd.DataFrame({"id": [key[0]], "missing_since_ms": [since], "status": ["unknown"]})
+        waiting, _ = self._load()
+        # As for timers: what ends before the watermark has run out.
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        over = {name: at for name, at in waiting.items() if at + self.grace_ms < now}
+        # The timer that fired is removed by Spark.
+        self._store({name: at for name, at in waiting.items() if name not in over}, None)
+        yield pd.DataFrame({"id": pd.array(list(over), "Int64"), "missing_since_ms": list(over.values()),
+                            "status": ["unknown"] * len(over)})
 
     def close(self) -> None:
         pass
 
 
 def missing_timers(sightings: DataFrame, grace: dt.timedelta, lateness: str = "10 minutes",
-                   only: Column | None = None) -> DataFrame:
+                   only: Column | None = None, shares: int = SHARES) -> DataFrame:
     """Ids whose grace period ran out. ``sightings``: ``id``, ``at``, ``found``.
 
-    Rows that fail ``only`` move the clock but are not tracked.
+    Rows that fail ``only`` move the clock but are not tracked. The state has one row for each of ``shares`` shares of
+    the ids, dealt by digest, so that calls of the state store grow with the shares and not with the ids.
     """
     rows = sightings.withWatermark("at", lateness)
     if only is not None:
         # Mentions the clock column, or the filter would be moved before it.
         rows = rows.filter(F.when(F.col("at").isNotNull(), only))
-    rows = rows.select("id", "at", F.unix_millis("at").alias("at_ms"), "found")
-    return rows.groupBy("id").transformWithStateInPandas(
+    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(shares)).alias("share"), F.col("id").cast("string").alias("id"), "at",
+                       F.unix_millis("at").alias("at_ms"), "found")
+    return rows.groupBy("share").transformWithStateInPandas(
         statefulProcessor=MissingTimer(int(grace.total_seconds() * 1000)),
         outputStructType="id long, missing_since_ms long, status string",
         outputMode="Append", timeMode="EventTime")
