@@ -48,6 +48,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_KEPT_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """``powers``, kept for the next run where they are no longer than those of a slice."""
+    if n > SLICE_BYTES + 1:
+        return powers(base, n)
+    if base not in _KEPT_POWERS:
+        _KEPT_POWERS[base] = powers(base, SLICE_BYTES + 1)
+    return _KEPT_POWERS[base][:n]
+
+
 @dataclass
 class Run:
     """A run of consecutive documents: rows ``first`` to ``first + len(ends)`` of the batch."""
@@ -94,8 +106,8 @@ def digest_table(buf: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray
     n = len(buf)
     base = (_BASE + 2 * seed * 0x51ED270B) % (1 << 64) | 1
     sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_VALUES[buf] * powers(base, n), out=sums[1:])
-    return sums, powers(pow(base, -1, 1 << 64), n + 1)
+    np.cumsum(_BYTE_VALUES[buf] * _powers(base, n), out=sums[1:])
+    return sums, _powers(pow(base, -1, 1 << 64), n + 1)
 
 
 def digests(table: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

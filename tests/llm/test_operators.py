@@ -500,6 +500,46 @@ def test_mixture_weights_raise_the_likelihood():
     assert (held * model).sum() > (held * np.log10(one)).sum()
 
 
+def test_pairs_are_summed_and_stored_by_group(spark, prose):
+    """One row per group of pairs, not one per pair: a pair then costs a few array operations, not a row in each step."""
+    texts = [prose(30 + i % 7, i // 3) for i in range(60)] + ["rare%d common rare%d" % (i, i) for i in range(20)] + ["", None]
+    rows = lm._folds(spark.createDataFrame(list(enumerate(texts)), "id long, text string").fillna(""))
+    head = lm.Head(lm._word_counts(rows), 40, 8)
+    groups = 5
+    got = lm._word_pairs(rows, head, 8, groups).collect()
+    assert len(got) <= 2 * groups + 1 and len({(r.kind, r.grp) for r in got}) == len(got)
+    plain, rare, cells = Counter(), Counter(), Counter()
+    for i, text in enumerate(texts):
+        t = lm.Tokens(next(B.slices(pa.array([text or ""]))))
+        v, w, key = head.pairs(t)
+        cls = head.find(t.ids)[2]
+        fold = zlib.crc32(str(i).encode()) % 7
+        side = 1 if fold == lm.HELD else 2 if fold == lm.LEFT_OUT else 0
+        for a, b, k, c, d in zip(v.tolist(), w.tolist(), key.tolist(), t.before(cls).tolist(), cls.tolist()):
+            (plain if k >= 0 else rare)[(k, side) if k >= 0 else (a, b, side)] += 1
+            cells[c * 8 + d, side] += side < 2
+    have = {kind: {} for kind in (lm.PLAIN, lm.RARE, lm.CLASS)}
+    for r in got:
+        for j, k in enumerate(r.key):
+            have[r.kind][(k, r.w[j]) if r.kind == lm.RARE else k] = (r.kept[j], r.held[j], r.n[j] if r.n else None)
+    by_hand = {k: tuple(plain[k, s] for s in range(3)) for k, _ in plain}
+    assert have[lm.PLAIN] == {k: (c[0], c[1], sum(c)) for k, c in by_hand.items() if sum(c) > 1}
+    by_hand = {(a, b): tuple(rare[a, b, s] for s in range(3)) for a, b, _ in rare}
+    assert have[lm.RARE] == {k: (c[0], c[1], sum(c)) for k, c in by_hand.items()}
+    assert have[lm.CLASS] == {k: (cells[k, 0], cells[k, 1], None) for k, s in cells if cells[k, 0] or cells[k, 1]}
+    assert len(have[lm.PLAIN]) > 20 and len(have[lm.RARE]) > 20
+
+
+def test_lookup_of_digests():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500, dtype=np.uint64) * B.U64(2), np.arange(40, dtype=np.uint64),
+                                     np.array([(1 << 64) - 1, (1 << 64) - 2], np.uint64)]))
+    ask = np.concatenate([keys, keys + B.U64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64)])
+    places = {int(k): i for i, k in enumerate(keys)}
+    for n in (0, 1, 2, len(keys)):
+        assert lm.Lookup(keys[:n]).find(ask).tolist() == [p if (p := places.get(int(a), -1)) < n else -1 for a in ask]
+
+
 # ---------------------------------------------------------------- 10 Jaccard join
 
 def join_by_hand(rows, n=3, percent=90):
