@@ -49,6 +49,8 @@ STEPS = 64
 #: Tokens (fewer than twice as many) whose pairs are summed in a task at a time; three counts of them fit a long.
 PAIR_TOKENS = 1 << 20
 COUNT_BITS = 21
+#: Class pairs are summed in groups of so many cells from so many tasks.
+CLASS_CELLS, CLASS_TASKS = 1 << 13, 64
 #: A group holds the pairs of about so many training tokens.
 GROUP_TOKENS = 1 << 19
 OTHER, END = 0, 1
@@ -56,7 +58,7 @@ OTHER, END = 0, 1
 #: task: held-out counts by bucket and ratio, and how many pairs there are by band of their count.
 PLAIN, RARE, CLASS, HELD_SUMS, BAND_SUMS = range(5)
 #: Pairs wait for their counts in so many rounds, so that shuffle files of one round go before the next.
-PARTS = 2
+PARTS = 4
 ROUNDS = 40
 BUCKETS = 40
 _END_ID = 0x1D1E5EED0E0D0C0B
@@ -307,16 +309,17 @@ class Head:
 
 def _class_pairs(pairs: DataFrame, classes: int) -> np.ndarray:
     """(2, classes, classes): how often a class follows another in kept and in held-out training documents."""
-    got = pairs.where(F.col("kind") == CLASS).select("key", "kept", "held").toArrow()
+    cells = pairs.where(F.col("kind") == CLASS).select(F.inline(F.arrays_zip("key", "kept", "held")))
+    got = cells.groupBy("key").agg(F.sum("kept").alias("kept"), F.sum("held").alias("held")).toArrow()
     matrix = np.zeros((2, classes * classes), np.int64)
     for side, name in enumerate(("kept", "held")):
-        matrix[side, _flat(got, "key")] = _flat(got, name)
+        matrix[side, got["key"].to_numpy()] = got[name].to_numpy()
     return matrix.reshape(2, classes, classes)
 
 
 def _word_pairs(rows: DataFrame, head: Head, classes: int, groups: int) -> DataFrame:
     """(kind, grp, key, w, kept, held, n), a row per group with an array entry per pair of a word and the word before it in
-    the whole corpus, but for pairs of frequent words that it holds once, and per pair of their classes.
+    the whole corpus, but for pairs of frequent words that it holds once, and per pair of their classes in each share of the tasks.
 
     ``key`` is that of ``pair_keys``; where a word is not frequent the word before, beside ``w``. Summed over
     ``PAIR_TOKENS`` tokens before the shuffle; ``n`` has the documents that are left out of training, too.
@@ -367,7 +370,9 @@ def _word_pairs(rows: DataFrame, head: Head, classes: int, groups: int) -> DataF
             yield from summed()
         met = np.flatnonzero(cells.reshape(-1, 2).any(axis=1))
         if len(met):
-            yield dealt(CLASS, met >> 16, met, cells[2 * met + 1], cells[2 * met])
+            parts_of_cells = classes * classes // CLASS_CELLS + 1
+            share = TaskContext.get().partitionId() // CLASS_TASKS
+            yield dealt(CLASS, share * parts_of_cells + met % parts_of_cells, met, cells[2 * met + 1], cells[2 * met])
 
     def add(rows: pa.Table) -> pa.Table:
         kind, grp, key, packed = rows["kind"][0].as_py(), rows["grp"][0].as_py(), _flat(rows, "key"), _flat(rows, "packed")
