@@ -20,6 +20,7 @@ SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SOLID = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 # Random odd base and random values of the bytes, fixed by the seed.
@@ -128,7 +129,7 @@ class Words:
 def words(run: Run, lower: bool = False, seed: int = 0) -> Words:
     """The words of every document of the run with a 64-bit digest of each."""
     buf = _LOWER[run.buf] if lower else run.buf
-    solid = ~_SPACE[buf]
+    solid = _SOLID[run.buf]
     # A word never crosses a document: a document's first byte starts a word, its last ends one.
     begins, stops = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
