@@ -191,7 +191,8 @@ def _best(blocks: DataFrame, chunks: DataFrame, keep: int, same: bool) -> DataFr
     names = [x.split()[0] for x in _PACKED.split(", ")]
     lanes = chunks.agg(F.max("lane")).first()[0]
     spread = blocks.select("block", "windows", *names, F.explode(F.sequence(F.lit(0), F.lit(lanes or 0))).alias("lane"))
-    paired = spread.join(chunks.select("lane", *(F.col(c).alias(f"c_{c}") for c in names)), "lane")
+    # Spark's estimate of ``spread`` is that of ``blocks``, without the copies for the lanes, and would send all of them through the driver.
+    paired = spread.hint("merge").join(chunks.select("lane", *(F.col(c).alias(f"c_{c}") for c in names)), "lane")
     return paired.select("block", "windows", *names, *(f"c_{c}" for c in names)).mapInArrow(meet, _BEST)
 
 

@@ -72,6 +72,24 @@ def test_no_rows(spark):
     assert got(hard_negatives.mine(spark.createDataFrame([], SHAPE), F.col("id") % 10 == 0)) == []
 
 
+def test_blocks_reach_lanes_without_the_driver(spark):
+    """However small the table of blocks: the driver never holds its copies for the lanes."""
+    data = vectors(60, 4, 6)
+    rows = spark.createDataFrame([(k, i, l, [float(math.floor(256 * x)) for x in v]) for k, (i, l, v) in enumerate(data)],
+                                 "row long, id long, label long, v array<double>").coalesce(1)
+    packed = [hard_negatives.stored(rows.mapInArrow(hard_negatives._pack(n), hard_negatives._PACKED), "test-packed") for n in (20, 10)]
+    blocks = packed[0].select(F.monotonically_increasing_id().alias("block"), F.lit(None).cast("array<struct<anchor: int, least: long, most: long>>").alias("windows"), "*")
+    chunks = packed[1].select("*", (F.monotonically_increasing_id() % 3).cast("int").alias("lane"))
+    best = hard_negatives._best(blocks, chunks, 1, True)
+    found = {}
+    for r in best.collect():
+        found[r.anchor_row] = max(found.get(r.anchor_row, r.score), r.score)
+    scored = rows.select("row", "label", "v").collect()
+    assert found == {a.row: max(sum(int(x * y) for x, y in zip(a.v, b.v)) for b in scored if b.label == a.label and b.row != a.row) for a in scored}
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_bounds_leave_rows_unscored():
     """Near anchors: children of the tree score far fewer rows than the root."""
     rng = np.random.default_rng(4)
