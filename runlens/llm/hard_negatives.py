@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.registry import query, stored, table
+from runlens.llm.registry import discard, query, setting, stored, table
 
 ANCHORS, ROWS = 256, 4096
 #: Components in one chunk at most, and chunks of one lane where there are many.
 COMPONENTS, LANE, LANES = 1 << 20, 64, 64
+#: Bytes of pairs, each a block and a chunk, that Spark hands to Python at a time; its default, 64 MB, is held several times by each task.
+BATCH, PAIRS = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _EXACT = 2.0 ** 53
 _LAST = 2 ** 63 - 1
 _PACKED = "ids binary, labels binary, rows binary, width int, vectors binary"
@@ -227,17 +229,21 @@ def mine(rows: DataFrame, is_anchor: Column, *, row_id: str = "vec_id", label: C
     near = (valid.where(is_anchor).select("row", "id", "label", "v").mapInArrow(_near(), "row long, id long, label long, v array<double>, near long"))
     sort = near.repartitionByRange(F.col("near"), F.col("row")).sortWithinPartitions("near", "row").drop("near")
     blocks = stored(sort.mapInArrow(_pack(ANCHORS), _PACKED).select(F.monotonically_increasing_id().alias("block"), "*"), "mine-anchors")
+    discard(valid)
     no_windows = F.lit(None).cast("array<struct<anchor: int, least: long, most: long>>")
-    best = stored(_first(_best(blocks.withColumn("windows", no_windows), chunks, positives, True), positives)
-                  .select("block", "anchor", "anchor_id", "anchor_row", F.col("rank").alias("positive_rank"), F.col("id").alias("positive_id"),
-                          F.col("score").alias("positive_score"), F.col("row").alias("positive_row")), "mine-positives")
+    with setting(rows.sparkSession, BATCH, PAIRS):
+        best = stored(_first(_best(blocks.withColumn("windows", no_windows), chunks, positives, True), positives)
+                      .select("block", "anchor", "anchor_id", "anchor_row", F.col("rank").alias("positive_rank"), F.col("id").alias("positive_id"),
+                              F.col("score").alias("positive_score"), F.col("row").alias("positive_row")), "mine-positives")
     # In whole numbers of any size: 100 s >= least p and 100 s <= most p.
     p = F.col("positive_score").cast("decimal(24,0)")
     bound = F.greatest(F.lit(-_LAST), F.ceil(p * least / 100)).cast("long"), F.least(F.lit(_LAST), F.floor(p * most / 100)).cast("long")
     windows = best.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("anchor", "positive_rank", bound[0].alias("least"), bound[1].alias("most")))).alias("w"))
     asked = blocks.join(windows.select("block", F.transform("w", lambda x: F.struct(x.anchor.alias("anchor"), x.least.alias("least"), x.most.alias("most"))).alias("windows")), "block")
-    found = _first(_best(asked, chunks, negatives, False), negatives).select(
-        "block", "anchor", (F.col("window") + 1).alias("positive_rank"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
+    with setting(rows.sparkSession, BATCH, PAIRS):
+        found = stored(_first(_best(asked, chunks, negatives, False), negatives).select(
+            "block", "anchor", (F.col("window") + 1).alias("positive_rank"), "rank", F.col("id").alias("negative_id"),
+            F.col("score").alias("negative_score")), "mine-negatives")
     return found.join(best, ["block", "anchor", "positive_rank"]).select(
         "anchor_id", "anchor_row", "positive_id", "positive_rank", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
